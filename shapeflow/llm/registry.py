@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from shapeflow.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from shapeflow.llm.quality import op10_quality_rules
+from shapeflow.llm.toxicity import op2_toxicity
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
