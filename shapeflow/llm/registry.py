@@ -5,12 +5,14 @@ from __future__ import annotations
 from shapeflow.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from shapeflow.llm.packing import op7_packing
 from shapeflow.llm.quality import op10_quality_rules
+from shapeflow.llm.simhash import op5_simhash
 from shapeflow.llm.tokenization import op8_bpe
 from shapeflow.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
     "op10_quality_rules": op10_quality_rules,
