@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shapeflow.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from shapeflow.llm.lm_scoring import op9_lm_scoring
 from shapeflow.llm.packing import op7_packing
 from shapeflow.llm.quality import op10_quality_rules
 from shapeflow.llm.simhash import op5_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op4_exact_dedup": OP4_SQL}
