@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shapeflow.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from shapeflow.llm.license_scan import OP1_SQL, op1_license_scan
 from shapeflow.llm.lm_scoring import op9_lm_scoring
 from shapeflow.llm.packing import op7_packing
 from shapeflow.llm.quality import op10_quality_rules
@@ -11,6 +12,7 @@ from shapeflow.llm.tokenization import op8_bpe
 from shapeflow.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
@@ -19,4 +21,4 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+ORACLES = {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL}
