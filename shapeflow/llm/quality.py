@@ -80,37 +80,39 @@ def raw_score(weights: np.ndarray, bias: float, text: bytes) -> float:
 SCALE = 40.0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, seed: int = 0) -> tuple[np.ndarray, float, float, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, seed: int = 0) -> tuple[np.ndarray, float, float, float]:
     """Weights, bias and calibration from at most ``max_rows`` labelled rows, the first by a hash of the id.
 
     Labels 1 are good rows. A fifth of the sample, by hash too, is held back for the
     calibration. Without rows of both labels the model accepts everything.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("target"))
-    sample = docs.select("doc_id", "text").join(known, "doc_id").withColumn("rank", F.xxhash64("doc_id", F.lit(seed))).orderBy("rank", "doc_id", "text").limit(max_rows)
-    # every fact of a row in one ordered array each: bounded by the sample
-    schema = arrow_schema("rank long, target int, buckets array<int>, shares array<float>")
+    chosen = known.withColumn("rank", F.xxhash64("doc_id", F.lit(seed))).orderBy("rank", "doc_id").limit(max_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
+    ddl = "rank long, target int, buckets binary, shares binary"  # int32 and float32 arrays
+    schema = arrow_schema(ddl)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list] = ([], [])
             for text in byte_texts(batch.column("text")):
                 both = [np.unique(x, return_counts=True) for x in feature_codes(text)]
-                out[0].append(np.concatenate([k for k, _ in both]).astype(np.int32))
-                out[1].append(np.concatenate([c / max(1, c.sum()) * SCALE for _, c in both]).astype(np.float32))
+                out[0].append(np.concatenate([k for k, _ in both]).astype(np.int32).tobytes())
+                out[1].append(np.concatenate([c / max(1, c.sum()) * SCALE for _, c in both]).astype(np.float32).tobytes())
             yield record_batch(schema, [batch.column("rank"), batch.column("target").cast(pa.int32()), *out])
 
-    rows = sorted(sample.mapInArrow(features, "rank long, target int, buckets array<int>, shares array<float>").collect(), key=lambda r: (r["rank"], r["buckets"]))
+    rows = sorted(sample.mapInArrow(features, ddl).collect(), key=lambda r: (r["rank"], r["buckets"]))
     target = np.array([r["target"] for r in rows], dtype=np.float64)
     if not 0 < target.sum() < len(target):
         return np.zeros(1 << BITS, dtype=np.float32), 10.0, 1.0, 0.0
-    row = np.repeat(np.arange(len(rows)), [len(r["buckets"]) for r in rows])
-    buckets, shares = (np.fromiter((x for r in rows for x in r[k]), dtype=t) for k, t in (("buckets", np.int64), ("shares", np.float64)))
-    held = np.arange(len(rows)) % 5 == 4
+    row = np.repeat(np.arange(len(rows)), [len(r["buckets"]) // 4 for r in rows])
+    buckets, shares = (np.frombuffer(b"".join(r[k] for r in rows), dtype=t) for k, t in (("buckets", np.int32), ("shares", np.float32)))
+    del rows
+    held = np.arange(len(target)) % 5 == 4
     inside = ~held[row]
     place = np.cumsum(~held) - 1
     weights, bias = fit_logistic(place[row[inside]], buckets[inside], shares[inside], target[~held], 1 << BITS)
-    z = np.bincount(row, shares * weights[buckets], minlength=len(rows)) + bias
+    z = np.bincount(row, shares * weights[buckets], minlength=len(target)) + bias
     return weights, bias, *fit_platt(z[held], target[held])
 
 
