@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shapeflow.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from shapeflow.llm.license_scan import OP1_SQL, op1_license_scan
+from shapeflow.llm.line_dedup import op6_line_dedup
 from shapeflow.llm.lm_scoring import op9_lm_scoring
 from shapeflow.llm.packing import op7_packing
 from shapeflow.llm.quality import op10_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
     "op9_lm_scoring": op9_lm_scoring,
