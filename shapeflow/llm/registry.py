@@ -9,12 +9,14 @@ from shapeflow.llm.lm_scoring import op9_lm_scoring
 from shapeflow.llm.packing import op7_packing
 from shapeflow.llm.quality import op10_quality_rules
 from shapeflow.llm.simhash import op5_simhash
+from shapeflow.llm.suffix_dedup import op3_suffix_dedup
 from shapeflow.llm.tokenization import op8_bpe
 from shapeflow.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_line_dedup": op6_line_dedup,
