@@ -119,9 +119,10 @@ def telling_terms(row: np.ndarray, flat: np.ndarray, soft: np.ndarray, least: in
     """Mask of the terms that stand in ``least`` texts or more and whose posterior labels there differ from the
     prior by ``deviation`` standard errors or more."""
     _, place = np.unique(flat, return_inverse=True)
-    pairs = np.unique(np.stack((place, row)), axis=1)
-    support = np.bincount(pairs[0])
-    toxic = np.bincount(pairs[0], soft[pairs[1]])
+    first = np.ones(len(flat), dtype=bool)  # a text's codes are sorted: the first of equal ones stands for the text
+    first[1:] = (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])
+    support = np.bincount(place[first])
+    toxic = np.bincount(place[first], soft[row[first]])
     prior = float(np.clip(soft.mean(), 1e-3, 1 - 1e-3))
     return ((support >= least) & (np.abs(toxic - support * prior) >= deviation * np.sqrt(support * prior * (1 - prior))))[place]
 
@@ -138,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> tuple[np.
     labels the model calls every text clean.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("target"))
-    sample = docs.select("doc_id", "text").join(known, "doc_id").withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id", "text").limit(max_rows)
+    chosen = known.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(max_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
     ddl = "rank long, target int, shout boolean, codes binary"
     schema = arrow_schema(ddl)
 
