@@ -66,7 +66,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> L
     n, k = votes.shape
     q = np.clip(start, 0.02, 0.98)
     model = LabelModel(0.5, np.full((k, 2, 3), 1 / 3), np.ones(k))
-    for _ in range(rounds):
+    for step in range(2 * rounds):
         model.prior = float(np.clip(q.mean(), 0.001, 0.999))
         for v in range(k):
             for c, weight in ((0, 1 - q), (1, q)):
@@ -76,13 +76,15 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> L
         value[value == 1] = -1.0
         value[value == 2] = 1.0
         mean = model.chances[:, :, 2] - model.chances[:, :, 1]
-        rest = value - (q[:, None] * mean[:, 1] + (1 - q)[:, None] * mean[:, 0])
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        tie = (rest.T @ rest) / n / np.outer(spread, spread)
+        apart = [value - mean[:, c] for c in (0, 1)]
+        shared = (apart[0].T @ (apart[0] * (1 - q)[:, None]) + apart[1].T @ (apart[1] * q[:, None])) / n  # covariance given the class
+        spread = np.sqrt(np.diag(shared)) + 1e-9
+        tie = shared / np.outer(spread, spread)
         np.fill_diagonal(tie, 0)
-        model.weights = 1 / (1 + np.clip(tie, 0, None).sum(axis=0))
+        if step >= rounds:  # accuracies settle first: under vague classes all voters look tied
+            model.weights = 1 / (1 + np.clip(tie, 0, None).sum(axis=0))
         after = model.posterior(votes)
-        if np.abs(after - q).max() < 1e-6:
+        if step >= rounds and np.abs(after - q).max() < 1e-6:
             break
         q = np.clip(after, 1e-6, 1 - 1e-6)
     return model
