@@ -42,21 +42,22 @@ CHAINS = {
 
 
 def level_sql(name: str, x: str) -> str:
-    """The word of an SQL expression's value, as SQL."""
+    """The word of an SQL expression's value, as SQL. Values count to nine digits, so the order of sums moves none over an edge."""
     edges, top = LEVELS[name]
-    return "CASE " + " ".join(f"WHEN {x} < {edge} THEN '{word}'" for edge, word in edges) + f" ELSE '{top}' END"
+    return "CASE " + " ".join(f"WHEN round({x}, 9) < {edge} THEN '{word}'" for edge, word in edges) + f" ELSE '{top}' END"
 
 
 def chain_sql(name: str, **parts: str) -> str:
     rules, rest = CHAINS[name]
-    return "CASE " + " ".join(f"WHEN {rule.format(**parts)} THEN '{word}'" for rule, word in rules) + f" ELSE '{rest}' END"
+    return "CASE " + " ".join(f"WHEN {rule.format(**{k: f'round({v}, 9)' for k, v in parts.items()})} THEN '{word}'" for rule, word in rules) + f" ELSE '{rest}' END"
 
 
 def level(name: str, x: Column) -> Column:
     edges, top = LEVELS[name]
     out = None
     for edge, word in edges:
-        out = F.when(x < edge, word) if out is None else out.when(x < edge, word)
+        at = F.round(x, 9) < edge
+        out = F.when(at, word) if out is None else out.when(at, word)
     return out.otherwise(top)
 
 

@@ -68,11 +68,11 @@ def segs(spark, sf, source=derived.sparse_packets):
 
 
 def _rounded(df, whole, real, n=6):
-    return df.select(*whole, *(F.round(F.col(c).cast("double"), n).alias(c) for c in real))
+    return df.select(*whole, *(F.round(F.col(c).cast("double") + 1e-9, n).alias(c) for c in real))
 
 
 def _rounded_sql(whole, real, n=6):
-    return ", ".join((*whole, *(f"round(CAST({c} AS DOUBLE), {n}) AS {c}" for c in real)))
+    return ", ".join((*whole, *(f"round(CAST({c} AS DOUBLE) + 1e-9, {n}) AS {c}" for c in real)))
 
 
 def g1(spark, sf):
@@ -172,7 +172,7 @@ QUERIES = {
     "g1_g2_g3_segments": g1,
     "m1_m26_measures": m_all,
     "m1_m26_measures_dense": lambda s, d: m_all(s, d, derived.packets),
-    "m14_bins": lambda s, d: M.bin_table(M.members(M.prepare(segs(s, d)))).select("iface", "tick_end", "bin", F.round("packets", 6).alias("packets"), F.round("up", 6).alias("up")),
+    "m14_bins": lambda s, d: M.bin_table(M.members(M.prepare(segs(s, d)))).select("iface", "tick_end", "bin", F.round(F.col("packets") + 1e-9, 6).alias("packets"), F.round(F.col("up") + 1e-9, 6).alias("up")),
     "l1_l28_shapes": shapes,
     "w16_m27_minute_rhythm": rhythm,
     "l18_shapes_with_rhythm": shapes_with_rhythm,
@@ -188,7 +188,7 @@ ORACLES = {
     "g1_g2_g3_segments": f"{_DENSE} SELECT {_rounded_sql(_SEG_WHOLE, _SEG_REAL)}, array_to_string(splt_direction, ',') AS splt_direction, array_to_string(splt_ps, ',') AS splt_ps, array_to_string(splt_piat_ms, ',') AS splt_piat_ms FROM segs",
     "m1_m26_measures": f"{_SPARSE}, {MEASURES_SQL} SELECT {_rounded_sql(('iface', 'tick_end', *_WHOLE, 'burst_starts'), _REAL)} FROM measures",
     "m1_m26_measures_dense": f"{_DENSE}, {MEASURES_SQL} SELECT {_rounded_sql(('iface', 'tick_end', *_WHOLE, 'burst_starts'), _REAL)} FROM measures",
-    "m14_bins": f"{_SPARSE}, {MEASURES_SQL} SELECT iface, tick_end, CAST(bin AS INT) AS bin, round(packets, 6) AS packets, round(up, 6) AS up FROM bins",
+    "m14_bins": f"{_SPARSE}, {MEASURES_SQL} SELECT iface, tick_end, CAST(bin AS INT) AS bin, round(packets + 1e-9, 6) AS packets, round(up + 1e-9, 6) AS up FROM bins",
     "l1_l28_shapes": _shape_sql(),
     "j1_drop_own": f"{_SPARSE} SELECT iface, key, endpoint, first_ms, last_ms FROM segs WHERE key NOT IN ('flow3', 'flow7') AND endpoint <> 'end2'",
     "j2_drop_shared": f"{_SPARSE} SELECT iface, key, first_ms, last_ms FROM segs u WHERE iface = 'vif0' AND NOT EXISTS (SELECT 1 FROM segs v WHERE v.iface <> 'vif0' AND v.first_ms % 3 = 0 AND v.key = u.key AND v.last_ms BETWEEN u.last_ms - 30000 AND u.last_ms + 1500)",
