@@ -80,7 +80,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated multi-line chunks cut from the text (the first of each stays), plus
-    lines_before and lines_removed. n_chars, where there is such a column, follows the new text.
+    lines_before and lines_removed (instead of columns of these names). n_chars, where there is such a column, follows the new text.
 
     Null text stays null (no lines). Rows that share an id are one document and lose the same
     chunks; rows without an id lose none. An empty table gives an empty result.
