@@ -171,8 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> tuple[np.
     return weights, bias, *fit_platt(z[check], soft[check])
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float, float], keep: list[str] | None = None) -> DataFrame:
-    """score (probability of toxic) and predicted (score >= 0.5) beside the columns named in ``keep`` (default doc_id).
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float, float], keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """score (probability of toxic) and predicted (score >= 0.5) beside the columns named in ``keep`` (default doc_id);
+    ``names`` renames the two where the rows have such columns already.
 
     The score of a row follows from its whole text alone. Null text counts as empty and scores
     by the bias; repeated rows score alike; an empty table gives an empty result.
@@ -183,7 +184,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float, float
     keep = keep or ["doc_id"]
     rows = docs.select(*keep, F.col("text").alias("_scored_text"))
     fields = [f for f in rows.schema.fields if f.name != "_scored_text"]
-    schema = "score double, predicted int"
+    schema = f"{names[0]} double, {names[1]} int"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, slope, shift = shared.value
@@ -203,7 +204,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float, float
                         table[w] = word_score(w)
                 scores.append(sigmoid(slope * (sum(sorted(filter(None, map(table.__getitem__, words)))) + bias) + shift))
             columns = [batch.column(f.name) for f in fields] + [pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *names])
 
     from pyspark.sql.types import StructType
 

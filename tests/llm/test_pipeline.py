@@ -54,3 +54,15 @@ def test_stages_in_order(spark):
         total[r["doc_id"]] = r["doc_tokens"]
     assert tokens == total and set(total) == set(expected)
     assert sum(r["length"] for r in pipeline.run(spark, sf).collect()) == sum(total.values())
+
+
+def test_stages_take_odd_documents(make, odd, spark):
+    docs = make([*odd, "a document without an id stays " * 3], [*range(len(odd)), None]).withColumnsRenamed({"keep_id": "n_bytes", "digest": "lines_removed"})
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = store(stage(spark, docs, "/root/testdata/sf0.001"), "odd")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_bytes", "lines_removed", "score"], name
+        assert docs.filter("doc_id is null").count() == 1 and docs.filter("doc_id = 0").first()["text"] is None, name
+    assert pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+    empty = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
