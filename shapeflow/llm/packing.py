@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, small_batches
-from shapeflow.llm.tokenization import ChunkTable, encoder, vocabulary_path
+from shapeflow.llm.tokenization import encoder, vocabulary_path, worker_table
 
 WINDOW = 4096
 #: Context sizes, short to long; each is a power of two, so a full sequence of any of them has no padding.
@@ -139,12 +140,11 @@ def pack_documents(docs: DataFrame, path: str | None = None, groups: int = 8) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        table = ChunkTable(lambda c: np.array(own.ids(c), dtype="<u4").tobytes())
+        table = worker_table(path, "ids", lambda c: struct.pack(f"<{len(ids := own.ids(c))}I", *ids))
         packer, pooled = Packer(TaskContext.get().partitionId() << 40, groups), 0
         end = np.array([DOCUMENT_END], dtype="<u4").tobytes()
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))):
-                table.trim()
                 ids = np.frombuffer(b"".join(map(table.__getitem__, own.chunks(text))) + end, dtype="<u4")
                 packer.waiting.append((doc_id, ids, 0, len(ids), len(ids)))
                 pooled += len(ids)

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks (runs without ASCII white space) kept in a task's table; beyond it the table starts anew.
-TABLE_CHUNKS = 400_000
+#: Entries of one generation of a worker's tables of chunks (runs without ASCII white space) and words.
+TABLE_ENTRIES = 400_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> list[str]:
@@ -145,10 +146,30 @@ class Encoder:
         self.words = regex.compile(steps[0]["pattern"]["Regex"])
         self.special_split = regex.compile(b"(" + b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.letters = byte_letters()
+        self.heads, self.tails = Table(self.encode_head), Table(self.encode_text)
 
     def encode_chunk(self, chunk: bytes) -> list[int]:
-        if chunk.isalpha():  # ASCII letters: one word
-            return self.automaton.encode(chunk.decode())
+        """Ids of a chunk. Most chunks are one word of Latin letters and a tail of ASCII punctuation, which
+        pre-splitting parts there; such words and tails are looked up by themselves."""
+        head = chunk.rstrip(PUNCTUATION)
+        own = self.heads[head] if head else None
+        if own is not None:
+            return [*own, *self.tails[chunk[len(head) :]]] if len(head) < len(chunk) else [*own]
+        return self.encode_text(chunk)
+
+    def encode_head(self, head: bytes) -> tuple[int, ...] | None:
+        """Ids of a word of Latin letters; None for anything else."""
+        if head.isalpha():
+            return tuple(self.automaton.encode(head.decode()))
+        text = head.decode("utf-8", "replace")
+        if not text.isalpha() or max(text) >= "\u0250":
+            return None
+        word = unicodedata.normalize("NFC", text).lower()
+        if not word.isalpha():  # lower case may add marks that are no letters
+            return None
+        return tuple(self.automaton.encode("".join(map(self.letters.__getitem__, word.encode()))))
+
+    def encode_text(self, chunk: bytes) -> list[int]:
         text = chunk.decode("utf-8", "replace")
         out: list[int] = []
         if text.isascii():
@@ -175,20 +196,24 @@ class Encoder:
         return [self.special[chunk[2:]]] if chunk[:2] == b"\0 " else self.encode_chunk(chunk)
 
 
-class ChunkTable(dict):
-    """chunk -> what ``make`` gives for it, filled on demand, of bounded size."""
+class Table(dict):
+    """key -> what ``make`` gives for it, filled on demand. Beyond TABLE_ENTRIES the entries become the old
+    generation, from which those still asked for come back; the old one before is dropped."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
-
-    def __missing__(self, chunk: bytes):
-        value = self[chunk] = self.make(chunk)
-        return value
-
-    def trim(self) -> None:
-        if len(self) > TABLE_CHUNKS:
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: bytes):
+        if key in self.old:
+            value = self.old.pop(key)
+        else:
+            value = self.make(key)
+        if len(self) >= TABLE_ENTRIES:
+            self.old = dict(self)
             self.clear()
+        self[key] = value
+        return value
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -198,15 +223,23 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_TABLES: dict[tuple, Table] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for a Python worker: its automaton's table serves all tasks that the worker runs."""
+    """One encoder for a Python worker: its automaton and tables serve all tasks that the worker runs."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+def worker_table(path: str, kind: str, make) -> Table:
+    """A worker's table of chunks for one vocabulary file and one kind of value."""
+    if (path, kind) not in _TABLES:
+        _TABLES[path, kind] = Table(make)
+    return _TABLES[path, kind]
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array) and decoded text of each row, in Arrow batches. Null text counts as empty."""
     path = path or vocabulary_path()
@@ -238,11 +271,10 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = own.ids(chunk)
             return " ".join(map(str, ids)).encode(), own.automaton.decode(ids).encode(), len(ids)
 
-        table = ChunkTable(make)
+        table = worker_table(path, "digests", make)
         for batch in batches:
             out = []
             for text in byte_texts(batch.column("text")):
-                table.trim()
                 parts = [x for x in map(table.__getitem__, own.chunks(text)) if x[2]]
                 ids, labels, counts = zip(*parts) if parts else ((), (), ())
                 out.append((sum(counts), hashlib.sha256(b" ".join(ids)).hexdigest(), hashlib.sha256(b" ".join(labels)).hexdigest()))
