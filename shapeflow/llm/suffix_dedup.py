@@ -22,10 +22,10 @@ GRAM = 16
 SPAN = LENGTH - GRAM + 1
 #: Bytes worked on at once in a task.
 SLICE = 1 << 20
-#: An anchor with more different surroundings than this has its windows counted one by one instead.
-HOT_ANCHOR = 300
-#: Segments sorted together.
+#: Segments sorted together (under 10 MB).
 COLLECTION = 20_000
+#: An anchor with more different surroundings than one collection holds has its windows counted one by one instead.
+HOT_ANCHOR = COLLECTION
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
