@@ -64,17 +64,19 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
     Chunks are grouped by digest and whole content; the aggregation combines within each task
     first, so a chunk that a third of all texts hold costs one row a task. Chunks find their
-    group by digest alone, by content where one digest has several.
+    group by digest alone, by content where one digest has several. A row without an id comes
+    last, so that it never stands for rows with ids.
     """
-    groups = _chunks(docs, True).groupBy("digest", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "chunk")).alias("first"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "chunk")
+    groups = _chunks(docs, True).groupBy("digest", "content").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     known = store(groups.groupBy("digest").agg(F.count("*").alias("contents"), F.max("n").alias("n"), F.min("first").alias("first")).filter("n > 1"), "chunk-groups")
-    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("chunk") != F.col("first.chunk"))
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("chunk") == F.col("first.chunk")))
     out = _chunks(docs, False).join(known.filter("contents = 1"), "digest").filter(later).select("doc_id", "chunk")
     shared = known.filter("contents > 1").select("digest")
     if shared.isEmpty():
         return out
     twins = _chunks(docs, True).join(shared, "digest")
-    own = twins.groupBy("digest", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "chunk")).alias("first")).filter("n > 1")
+    own = twins.groupBy("digest", "content").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     return out.union(twins.join(own, ["digest", "content"]).filter(later).select("doc_id", "chunk"))
 
 

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline as pipeline
+from shapeflow.llm import line_dedup
+from shapeflow.llm.common import store
 from shapeflow.llm.near_copies import shingles
 
 
@@ -37,3 +39,18 @@ def test_near_copies_on_given_documents(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     kept = {r["doc_id"] for r in pipeline.drop_near_copies(spark, docs, "").collect()}
     assert kept == {rows[i][0] for i in brute_kept([t for _, t in rows])}
+
+
+def test_repeated_rows_and_rows_without_ids_stay_once(make, spark):
+    long = [" ".join("%s%d" % (k, i) for i in range(90)) for k in "abc"]
+    docs = make([long[0], long[0], long[1], long[1], long[2], long[2]], [7, 7, None, 3, None, None])
+    near = store(pipeline.drop_near_copies(spark, docs, ""), "near")
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in near.collect()) == [(-1, long[2]), (3, long[1]), (7, long[0])]
+    cut = pipeline.cut_repeated_passages(spark, near, "")
+    assert sorted(r["text"] for r in cut.collect()) == sorted(long)
+
+
+def test_row_without_id_is_never_first(make):
+    text = "shared a b\nshared c d"  # one chunk
+    got = line_dedup.remove_repeated_chunks(make([text] * 3, [None, 4, 5])).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {None: text, 4: text, 5: ""}
