@@ -29,21 +29,21 @@ class Packer:
 
     A document's whole windows of the longest tier leave at once. The rest goes to the
     shortest tier that holds it, and each tier packs its pieces, long to short, each into the
-    fullest open sequence that still takes it (best fit). Long windows then fill their gaps
-    with pieces cut from the shorter tiers' documents, which go in any order. A sequence of a
-    shorter tier leaves when exactly full. At the end the last gaps are closed by cutting
-    once more, and the last sequence is cut into powers of two.
+    fullest open sequence that still takes it (best fit); sequences that become exactly full
+    leave. The gaps of long windows are then closed with pieces of the emptiest short sequences,
+    the gaps of a tier's other sequences with pieces of its own emptiest, cut where a gap ends;
+    less than a sequence of each tier waits. At the end what waits is cut into tiers.
     """
 
-    def __init__(self, base: int, groups: int) -> None:
-        self.next_id, self.groups = base, groups
+    def __init__(self, base: int, groups: int, first_group: int = 0) -> None:
+        self.next_id, self.groups, self.first_group = base, groups, first_group
         self.load = [0] * groups  # tokens given to each step group
         self.waiting: list[tuple] = []  # (doc_id, ids, start, stop, doc_tokens)
 
     def emit(self, pieces: list[tuple], out: list[tuple]) -> None:
         length = sum(p[3] - p[2] for p in pieces)
         tier = next(t for t in TIERS if length <= t)
-        group = min(range(self.groups), key=lambda g: (self.load[g], g))
+        group = min(range(self.groups), key=lambda g: (self.load[g], (g - self.first_group) % self.groups))
         self.load[group] += length if length & (length - 1) == 0 else WINDOW
         offset = 0
         for doc_id, ids, start, stop, total in pieces:
@@ -60,55 +60,65 @@ class Packer:
                 start += WINDOW
             if stop > start:
                 tiers[next(t for t in TIERS if stop - start <= t)].append((doc_id, ids, start, stop, total))
-        self.waiting = []
-        for tier in TIERS[:-1]:  # exact fits of a short tier leave whole; others serve as filling
-            full = [p for p in tiers[tier] if p[3] - p[2] == tier]
-            tiers[tier] = [p for p in tiers[tier] if p[3] - p[2] != tier]
-            for p in full:
-                self.emit([p], out)
-        filling = sorted((p for t in TIERS[:-1] for p in tiers[t]), key=lambda p: p[3] - p[2], reverse=True)
-        sizes = sorted((p for p in tiers[WINDOW]), key=lambda p: p[3] - p[2], reverse=True)
-        room: list[list] = [[] for _ in range(WINDOW + 1)]  # open windows by what still fits
-        highest = 0
-        for p in sizes:
+        short = [(t, left, window) for t in TIERS[:-1] for left, window in self.best_fit(tiers[t], t, out)]
+        short.sort(key=lambda x: x[1] / x[0])
+        self.waiting = self.close(self.best_fit(tiers[WINDOW], WINDOW, out), short, out)
+        for tier in TIERS[:-1]:
+            self.waiting += self.close([(left, window) for t, left, window in short if t == tier], [], out)
+        while self.waiting and last:
+            self.waiting = self.run_out(out)
+        return out
+
+    def best_fit(self, pieces: list[tuple], size: int, out: list[tuple]) -> list[tuple[int, list]]:
+        """Emits the sequences of ``size`` that become exactly full; (room, pieces) of the others, fullest first."""
+        room: list[list] = [[] for _ in range(size + 1)]  # open sequences by what still fits
+        used = 0  # bits of the rooms that have a sequence
+        for p in sorted(pieces, key=lambda p: p[3] - p[2], reverse=True):
             need = p[3] - p[2]
-            fit = next((r for r in range(need, highest + 1) if room[r]), None) if need <= highest else None
-            window = room[fit].pop() if fit is not None else []
-            left = (WINDOW if fit is None else fit) - need
+            enough = used >> need
+            if enough:
+                fit = need + (enough & -enough).bit_length() - 1
+                window = room[fit].pop()
+                if not room[fit]:
+                    used ^= 1 << fit
+            else:
+                fit, window = size, []
             window.append(p)
-            if left:
-                room[left].append(window)
-                highest = max(highest, left)
+            if fit > need:
+                room[fit - need].append(window)
+                used |= 1 << fit - need
             else:
                 self.emit(window, out)
-        opened = [(r, w) for r in range(1, WINDOW + 1) for w in room[r]]
-        at = 0
-        for left, window in opened:  # small gaps first
-            while left and at < len(filling):
-                doc_id, ids, start, stop, total = filling[at]
+        return [(r, w) for r in range(1, size + 1) for w in room[r]]
+
+    def close(self, opened: list[tuple[int, list]], donors: list[tuple], out: list[tuple]) -> list[tuple]:
+        """Emits open sequences, fullest first, filled with pieces of the donors' last, then of the emptiest of their own; returns what is left over."""
+        pool: list[tuple] = []
+        at, end = 0, len(opened)
+        while at < end:
+            left, window = opened[at]
+            at += 1
+            while left:
+                if not pool:
+                    if donors:
+                        pool = donors.pop()[2]
+                    elif end > at:
+                        end -= 1
+                        pool = opened[end][1]
+                    else:
+                        return window
+                doc_id, ids, start, stop, total = pool.pop()
                 take = min(left, stop - start)
                 window.append((doc_id, ids, start, start + take, total))
                 left -= take
                 if start + take < stop:
-                    filling[at] = (doc_id, ids, start + take, stop, total)
-                else:
-                    at += 1
-            if left:
-                self.waiting += window
-            else:
-                self.emit(window, out)
-        self.waiting += filling[at:]
-        while self.waiting and (sum(p[3] - p[2] for p in self.waiting) >= WINDOW or last):
-            # what no gap took: windows filled one after another, the end of the partition in powers of two
-            self.waiting, size = self.run_out(out, last)
-            if not size:
-                break
-        return out
+                    pool.append((doc_id, ids, start + take, stop, total))
+            self.emit(window, out)
+        return pool
 
-    def run_out(self, out: list[tuple], last: bool) -> tuple[list[tuple], int]:
+    def run_out(self, out: list[tuple]) -> list[tuple]:
         total = sum(p[3] - p[2] for p in self.waiting)
-        size = WINDOW if total >= WINDOW else max((t for t in TIERS if t <= total), default=total) if last else 0
-        window, at, left = [], 0, size
+        window, at, left = [], 0, max((t for t in TIERS if t <= total), default=total)
         rest = list(self.waiting)
         while left:
             doc_id, ids, start, stop, tokens = rest[at]
@@ -119,9 +129,8 @@ class Packer:
                 rest[at] = (doc_id, ids, start + take, stop, tokens)
             else:
                 at += 1
-        if window:
-            self.emit(window, out)
-        return rest[at:], size
+        self.emit(window, out)
+        return rest[at:]
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, groups: int = 8) -> DataFrame:
@@ -131,7 +140,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, groups: int = 8) ->
     made anew alike; at most the last sequence of a partition is padded (when the last
     tokens are fewer than the shortest tier and no power of two). Sequence ids hold the
     partition's number in their upper bits. ``step_group`` spreads a task's sequences over
-    ``groups`` groups of nearly equal tokens. Null text counts as empty: one piece, the end
+    ``groups`` groups of nearly equal tokens; tasks start at different groups. Null text counts as empty: one piece, the end
     token. Repeated rows are packed again; an empty table gives an empty result.
     """
     path = path or vocabulary_path()
@@ -141,7 +150,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, groups: int = 8) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         table = worker_table(path, "ids", lambda c: struct.pack(f"<{len(ids := own.ids(c))}I", *ids))
-        packer, pooled = Packer(TaskContext.get().partitionId() << 40, groups), 0
+        part = TaskContext.get().partitionId()
+        packer, pooled = Packer(part << 40, groups, part % groups), 0
         end = np.array([DOCUMENT_END], dtype="<u4").tobytes()
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))):
