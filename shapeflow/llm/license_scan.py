@@ -7,44 +7,98 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeflow.llm.common import documents, lower_ascii
+from shapeflow.llm.common import documents, lower_ascii, store
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: (words, label, base). The base phrases, then notices of the method's own.
+#: (words, label, base). The base phrases, then notices and bodies of public licenses.
 TEMPLATES = (
     ("gnu general public license", "gpl", True),
     ("apache license", "apache", True),
     ("cc by", "cc-by", True),
     ("mit license", "mit", True),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3", False),
     ("licensed under the apache license version 2 0", "apache-2.0", False),
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0", False),
     ("released under the mit license", "mit-notice", False),
+    ("this work is licensed under the gnu general public license version 3", "gpl-3", False),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0", False),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit-text", False),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-text", False),
     ("this source code form is subject to the terms of the mozilla public license", "mpl-text", False),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software"
+        " to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"
+        " and or sell copies of the software", "mit-body", False,
+    ),
+    (
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"
+        " fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages"
+        " or other liability", "mit-warranty", False,
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above"
+        " copyright notice and this permission notice appear in all copies", "isc-text", False,
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd-body", False,
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain"
+        " a copy of the license at http www apache org licenses license 2 0", "apache-header", False,
+    ),
+    (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without"
+        " warranties or conditions of any kind either express or implied", "apache-warranty", False,
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by"
+        " the free software foundation either version 3 of the license or at your option any later version", "gpl-header", False,
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file"
+        " you can obtain one at", "mpl-body", False,
+    ),
+    (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute"
+        " this software", "unlicense", False,
+    ),
 )
-#: Least share of a template's distinct words that a block must hold. Base phrases need all.
-THRESHOLD = 0.8
+#: Least share of a template's distinct words that a block must hold. Base phrases, and templates of fewer than
+#: SHORT distinct words, need all: one word less would no longer name the license.
+THRESHOLD, SHORT = 0.8, 10
 #: Words from one block's start to the next one's.
 STRIDE = 128
 
 
+def words_needed(size: int, base: bool, threshold: float = THRESHOLD) -> int:
+    return size if base or size < SHORT else math.ceil(threshold * size - 1e-9)
+
+
 def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def blocks_of(docs: DataFrame, overlap: int) -> DataFrame:
-    """(doc_id, row, n_words, block, words): each row's words in blocks of STRIDE and the ``overlap`` that follows.
+def blocks_of(docs: DataFrame, vocabulary: list[str], phrases: list[list[str]], least: int, overlap: int) -> DataFrame:
+    """(doc_id, row, n_words, start, held, words): the blocks that may meet a template, and each row's first one.
 
-    A place of up to ``overlap`` + 1 words lies whole in the block it starts in. A text
-    without words is one empty block. Null counts as empty.
+    A text's words are cut every STRIDE words, each block with the ``overlap`` that follows, so
+    that a place of up to ``overlap`` + 1 words lies whole in the block it starts in; a text
+    without words is one empty block. ``held`` are the block's distinct words of the
+    vocabulary; blocks with fewer than ``least`` of them meet no template (length filter).
+    ``words`` are kept where all words of one of the ``phrases`` are held. Texts are split
+    here and nowhere else: the result is written once and read by all that follows, which
+    also makes ``row`` the same for all of it.
     """
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("all"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("all"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(STRIDE))
-    cut = F.transform(starts, lambda s: F.struct(s.cast("long").alias("start"), F.slice(F.col("all"), s + 1, STRIDE + overlap).alias("words")))
-    return rows.select("doc_id", "row", F.size("all").cast("long").alias("n_words"), F.explode(cut).alias("b")).select("doc_id", "row", "n_words", "b.start", "b.words")
+    blocks = rows.select("doc_id", "row", F.size("all").cast("long").alias("n_words"), "all", F.explode(starts).alias("at"))
+    blocks = blocks.withColumn("words", F.slice("all", F.col("at") + 1, STRIDE + overlap)).withColumn("held", F.array_intersect("words", _array(vocabulary)))
+    whole = F.lit(False)
+    for phrase in phrases:
+        whole = whole | (F.size(F.array_intersect("held", _array(phrase))) == len(set(phrase)))
+    out = blocks.filter((F.col("at") == 0) | (F.size("held") >= least))
+    return store(out.select("doc_id", "row", "n_words", F.col("at").cast("long").alias("start"), "held", F.when(whole, F.col("words")).alias("words")), "license-blocks")
 
 
 def license_matches(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -60,13 +114,14 @@ def license_matches(docs: DataFrame, templates: tuple = TEMPLATES, threshold: fl
     split = [(t.split(), label, base) for t, label, base in templates]
     overlap = max(len(w) for w, _, _ in split) - 1
     vocabulary = sorted({w for words, _, _ in split for w in words})
-    blocks = blocks_of(docs, overlap).withColumn("held", F.array_intersect("words", _array(vocabulary)))
+    least = min(words_needed(len(set(w)), base, threshold) for w, _, base in split)
+    blocks = blocks_of(docs, vocabulary, [w for w, _, base in split if base], least, overlap)
     frequency = {r["token"]: r["count"] for r in blocks.select(F.explode("held").alias("token")).groupBy("token").count().collect()}  # one row for each template word at most
-    order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
+    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     index = []
     for k, (words, label, base) in enumerate(split):
-        tokens = sorted(set(words), key=order.index)
-        need = len(tokens) if base else math.ceil(threshold * len(tokens) - 1e-9)
+        tokens = sorted(set(words), key=order.__getitem__)
+        need = words_needed(len(tokens), base, threshold)
         index += [(tokens[i], i, k, label, base, len(tokens), need, tokens, words) for i in range(len(tokens) - need + 1)]
     prefix = docs.sparkSession.createDataFrame(index, "token string, at int, template int, label string, base boolean, size int, need int, tokens array<string>, phrase array<string>")
     probes = F.array_intersect("held", _array(sorted({x[0] for x in index})))
@@ -88,8 +143,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row for each input row.
 
     Base columns count the places where a base phrase's words stand one behind another;
-    labels also has those of templates of which some block holds THRESHOLD of the words; score is the
-    largest containment met, 0 where none is. Extra columns are ignored; repeated rows give repeated results.
+    labels also has those of templates of which some block holds enough words; score is the
+    largest containment met, 0 where none is. Null text counts as empty: no words, no labels.
+    Rows are told apart by a number of their own, so ids may be null or repeat and repeated
+    rows give repeated results. Extra columns are ignored; an empty table gives an empty result.
     """
     blocks, found = license_matches(docs)
     hits = found.groupBy("row").agg(
@@ -114,11 +171,7 @@ def _template_rows() -> str:
     def words(t: str) -> str:
         return "[" + ", ".join(f"'{w}'" for w in t.split()) + "]"
 
-    def need(t: str, base: bool) -> int:
-        n = len(set(t.split()))
-        return n if base else math.ceil(THRESHOLD * n - 1e-9)
-
-    return ", ".join(f"({words(t)}, list_distinct({words(t)}), '{label}', {str(base).lower()}, {need(t, base)})" for t, label, base in TEMPLATES)
+    return ", ".join(f"({words(t)}, list_distinct({words(t)}), '{label}', {str(base).lower()}, {words_needed(len(set(t.split())), base)})" for t, label, base in TEMPLATES)
 
 
 _OVERLAP = max(len(t.split()) for t, _, _ in TEMPLATES) - 1

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -149,7 +148,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, groups: int = 8) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        table = worker_table(path, "ids", lambda c: struct.pack(f"<{len(ids := own.ids(c))}I", *ids))
+        table = worker_table(path, "ids", own.ids)
         part = TaskContext.get().partitionId()
         packer, pooled = Packer(part << 40, groups, part % groups), 0
         end = np.array([DOCUMENT_END], dtype="<u4").tobytes()

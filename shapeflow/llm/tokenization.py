@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of one generation of a worker's tables of chunks (runs without ASCII white space) and words.
-TABLE_ENTRIES = 400_000
+#: Most entries, and most bytes of their keys, of one generation of a worker's tables of chunks (runs without ASCII white space) and words.
+TABLE_ENTRIES, TABLE_BYTES = 600_000, 16 << 20
+#: Letters by which a state's longest arc is bounded.
+HEAD = 4
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -59,18 +62,21 @@ class MergeAutomaton:
         #: Labels that a state can have arcs for, by their letters: inside a word, and at its end.
         self.inner = {t: i for t, i in vocabulary.items() if not t.endswith(end) and (t in made or len(t) == 1)}
         self.last = {t[: -len(end)]: i for t, i in vocabulary.items() if t.endswith(end) and (t in made or len(t) == 1 + len(end))}
-        #: Length of the longest label that begins with the given three letters.
+        #: Length of the longest label that begins with the given HEAD letters; without an entry, fewer than HEAD.
         self.reach: dict[str, int] = {}
         for t in (*self.inner, *self.last):
-            self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
-        self.table: dict[tuple[int, int], bool] = {}
+            if len(t) >= HEAD:
+                self.reach[t[:HEAD]] = max(self.reach.get(t[:HEAD], 0), len(t))
+        #: The transition table, one row for each state: whether it has an arc of a label. Filled for the pairs
+        #: that texts reach; there are fewer than the square of the vocabulary's size whatever the texts.
+        self.table: dict[int, dict[int, bool]] = {}
 
     def arc(self, state: int, label: int) -> bool:
         """Whether the state of a label has an arc of another label after all gadgets."""
-        known = self.table.get((state, label))
-        if known is None:
-            known = self.table[state, label] = self._after(state, label, len(self.gadget))
-        return known
+        row = self.table.setdefault(state, {})
+        if label not in row:
+            row[label] = self._after(state, label, len(self.gadget))
+        return row[label]
 
     def _after(self, x: int, y: int, rank: int) -> bool:
         """The same after the gadgets of rank below ``rank``: the later-made of both labels got its arcs from its parts."""
@@ -89,21 +95,19 @@ class MergeAutomaton:
                 x, rank = self.parts[x][1], bx  # the state's arcs were those of `right` before its gadget
 
     def encode(self, letters: str) -> list[int]:
-        """The labels of the one accepted path that spells a word; longest arcs first, back where a path ends."""
+        """The labels of the one accepted path that spells a word: longest arcs first, one arc back where a path ends."""
         path: list[int] = []
         starts: list[int] = []
-        inner, last, table, reach, whole = self.inner.get, self.last.get, self.table.get, self.reach.get, len(letters)
-        at, upto, state = 0, -1, -1
+        inner, last, table, reach, whole = self.inner.get, self.last.get, self.table, self.reach.get, len(letters)
+        at, upto, row = 0, min(whole, reach(letters[:HEAD], HEAD - 1)), None
         while at < whole:
-            if upto < 0:
-                upto = min(whole, at + max(reach(letters[at : at + 3], 2), 2))
             while upto > at:
-                label = last(letters[at:]) if upto == whole else inner(letters[at:upto])
+                label = inner(letters[at:upto]) if upto < whole else last(letters[at:])
                 if label is not None:
-                    if state < 0:
+                    if row is None:
                         break
-                    known = table((state, label))
-                    if known or known is None and self.arc(state, label):
+                    known = row.get(label)
+                    if known or known is None and self.arc(path[-1], label):
                         break
                 upto -= 1
             else:
@@ -111,11 +115,15 @@ class MergeAutomaton:
                     raise ValueError(f"no path spells {letters!r}")
                 path.pop()
                 at, upto = starts.pop(), at - 1
-                state = path[-1] if path else -1
+                row = table[path[-1]] if path else None
                 continue
             path.append(label)
             starts.append(at)
-            at, upto, state = upto, -1, label
+            at = upto
+            row = table.get(label)
+            if row is None:
+                row = table[label] = {}
+            upto = min(whole, at + reach(letters[at : at + HEAD], HEAD - 1))
         return path
 
     def decode(self, path: list[int]) -> str:
@@ -148,28 +156,28 @@ class Encoder:
         self.letters = byte_letters()
         self.heads, self.tails = Table(self.encode_head), Table(self.encode_text)
 
-    def encode_chunk(self, chunk: bytes) -> list[int]:
+    def encode_chunk(self, chunk: bytes) -> bytes:
         """Ids of a chunk. Most chunks are one word of Latin letters and a tail of ASCII punctuation, which
         pre-splitting parts there; such words and tails are looked up by themselves."""
         head = chunk.rstrip(PUNCTUATION)
         own = self.heads[head] if head else None
         if own is not None:
-            return [*own, *self.tails[chunk[len(head) :]]] if len(head) < len(chunk) else [*own]
+            return own + self.tails[chunk[len(head) :]] if len(head) < len(chunk) else own
         return self.encode_text(chunk)
 
-    def encode_head(self, head: bytes) -> tuple[int, ...] | None:
+    def encode_head(self, head: bytes) -> bytes | None:
         """Ids of a word of Latin letters; None for anything else."""
         if head.isalpha():
-            return tuple(self.automaton.encode(head.decode()))
+            return packed_ids(self.automaton.encode(head.decode()))
         text = head.decode("utf-8", "replace")
         if not text.isalpha() or max(text) >= "\u0250":
             return None
         word = unicodedata.normalize("NFC", text).lower()
         if not word.isalpha():  # lower case may add marks that are no letters
             return None
-        return tuple(self.automaton.encode("".join(map(self.letters.__getitem__, word.encode()))))
+        return packed_ids(self.automaton.encode("".join(map(self.letters.__getitem__, word.encode()))))
 
-    def encode_text(self, chunk: bytes) -> list[int]:
+    def encode_text(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
         out: list[int] = []
         if text.isascii():
@@ -181,37 +189,51 @@ class Encoder:
         else:  # letters on which Unicode's versions differ: pre-split as the file's library does
             for word, _ in self.splitter.pre_tokenizer.pre_tokenize_str(self.splitter.normalizer.normalize_str(text)):
                 out += self.automaton.encode(word)
-        return out
+        return packed_ids(out)
 
     def chunks(self, text: bytes) -> list[bytes]:
         """Chunks in lower case (A-Z); a special token is a chunk of its own behind a NUL and a space."""
-        if self.special_split is None or not any(s in text for s in self.special):
+        if self.special_split is None or not self.special_split.search(text):
             return text.lower().split()
         out: list[bytes] = []
         for part in self.special_split.split(text):
             out += [b"\0 " + part] if part in self.special else part.lower().split()
         return out
 
-    def ids(self, chunk: bytes) -> list[int]:
-        return [self.special[chunk[2:]]] if chunk[:2] == b"\0 " else self.encode_chunk(chunk)
+    def ids(self, chunk: bytes) -> bytes:
+        """A chunk's ids, four little-endian bytes each."""
+        return packed_ids([self.special[chunk[2:]]]) if chunk[:2] == b"\0 " else self.encode_chunk(chunk)
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unpacked_ids(data: bytes) -> tuple[int, ...]:
+    return struct.unpack(f"<{len(data) >> 2}I", data)
 
 
 class Table(dict):
-    """key -> what ``make`` gives for it, filled on demand. Beyond TABLE_ENTRIES the entries become the old
-    generation, from which those still asked for come back; the old one before is dropped."""
+    """key -> what ``make`` gives for it, filled on demand. Beyond TABLE_ENTRIES entries or TABLE_BYTES of keys,
+    what is held becomes the old generation, from which entries still asked for come back; the old one before is
+    dropped. Keys of over LONG_KEY bytes are not held: long runs without white space seldom come again."""
+
+    LONG_KEY = 256
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.size = make, {}, 0
 
     def __missing__(self, key: bytes):
-        if key in self.old:
-            value = self.old.pop(key)
-        else:
+        if len(key) > self.LONG_KEY:
+            return self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
             value = self.make(key)
-        if len(self) >= TABLE_ENTRIES:
-            self.old = dict(self)
+        if len(self) >= TABLE_ENTRIES or self.size > TABLE_BYTES:
+            self.old, self.size = dict(self), 0
             self.clear()
+        self.size += len(key)
         self[key] = value
         return value
 
@@ -249,8 +271,9 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        table = worker_table(path, "ids", own.ids)
         for batch in batches:
-            ids = [[i for c in own.chunks(x) for i in own.ids(c)] for x in byte_texts(batch.column("text"))]
+            ids = [list(unpacked_ids(b"".join(map(table.__getitem__, own.chunks(x))))) for x in byte_texts(batch.column("text"))]
             yield record_batch(schema, [batch.column("doc_id"), ids, [own.automaton.decode(x) for x in ids]])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
@@ -268,7 +291,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         own = encoder(path)
 
         def make(chunk: bytes) -> tuple[bytes, bytes, int]:
-            ids = own.ids(chunk)
+            ids = unpacked_ids(own.ids(chunk))
             return " ".join(map(str, ids)).encode(), own.automaton.decode(ids).encode(), len(ids)
 
         table = worker_table(path, "digests", make)
