@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of an Arrow batch: documents are long, and a batch is held by a Python worker.
-BATCH_ROWS = 512
+#: Most rows and bytes of an Arrow batch: documents are long, and a batch is held by a Python worker.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -20,14 +21,21 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a worker's memory follows the longest texts, not the row count."""
+    """Arrow batches of few rows and bytes, so that a worker's memory follows the longest text, not the row count.
+
+    This sets two options of the session, and they stay set: Spark reads them when a plan runs.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a new temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a new temporary one, but only if driver and
+    executors are one process (tests); on a cluster that raises, as no folder of one machine is seen by the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shapeflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -67,3 +75,29 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def row_key(*columns: str) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a row's columns: together they tell rows apart, whatever ids repeat or are null.
+    Rows alike in all the columns share a key."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, *others: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """Number columns of batches sorted by ``key``, cut so that all rows of one key come together. Reads no batch ahead."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        columns = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in (key, *others))
+        keys = columns[0]
+        if not len(keys):
+            continue
+        if held and keys[-1] == held[0][0][0]:  # one key alone, and it may go on
+            held.append(columns)
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        done = [*held, tuple(c[:cut] for c in columns)]
+        held = [tuple(c[cut:] for c in columns)]
+        if sum(len(x[0]) for x in done):
+            yield tuple(np.concatenate(x) for x in zip(*done))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))

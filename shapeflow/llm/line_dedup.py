@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, small_batches, store
+from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, row_key, small_batches, store
 
 #: Lines whose hashes choose a boundary together, and the share of places that are boundaries (1 in DIVISOR).
 ROLL, DIVISOR = 2, 2
@@ -48,48 +49,53 @@ def multi_line_chunks(text: bytes) -> list[tuple[int, bytes]]:
 
 
 def _chunks(docs: DataFrame, contents: bool) -> DataFrame:
-    ddl = "doc_id long, chunk int, digest string" + ", content binary" * contents
+    ddl = "doc_id long, row_a long, row_b long, chunk int, digest string" + ", content binary" * contents
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, k, hashlib.blake2b(c, digest_size=16).hexdigest(), c) for i, x in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))) for k, c in multi_line_chunks(x)]
+            keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_a", "row_b")))
+            out = [(*key, k, hashlib.blake2b(c, digest_size=16).hexdigest(), c) for key, x in zip(keys, byte_texts(batch.column("text"))) for k, c in multi_line_chunks(x)]
             yield record_batch(schema, [[x[i] for x in out] for i in range(len(schema))])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+    row_a, row_b = row_key("doc_id", "text")
+    return docs.select(F.col("doc_id").cast("long"), row_a.alias("row_a"), row_b.alias("row_b"), "text").mapInArrow(run, ddl)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, chunk): each chunk that an earlier one (by doc_id, then place) equals byte for byte.
+    """(row_a, row_b, chunk): each chunk that an earlier one (by doc_id, then row, then place) equals byte for byte.
 
     Chunks are grouped by digest and whole content; the aggregation combines within each task
     first, so a chunk that a third of all texts hold costs one row a task. Chunks find their
     group by digest alone, by content where one digest has several. A row without an id comes
     last, so that it never stands for rows with ids.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "chunk")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_a", "row_b", "chunk")
     groups = _chunks(docs, True).groupBy("digest", "content").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     known = store(groups.groupBy("digest").agg(F.count("*").alias("contents"), F.max("n").alias("n"), F.min("first").alias("first")).filter("n > 1"), "chunk-groups")
-    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("chunk") == F.col("first.chunk")))
-    out = _chunks(docs, False).join(known.filter("contents = 1"), "digest").filter(later).select("doc_id", "chunk")
+    later = ~((F.col("row_a") == F.col("first.row_a")) & (F.col("row_b") == F.col("first.row_b")) & (F.col("chunk") == F.col("first.chunk")))
+    out = _chunks(docs, False).join(known.filter("contents = 1"), "digest").filter(later).select("row_a", "row_b", "chunk")
     shared = known.filter("contents > 1").select("digest")
     if shared.isEmpty():
         return out
     twins = _chunks(docs, True).join(shared, "digest")
     own = twins.groupBy("digest", "content").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    return out.union(twins.join(own, ["digest", "content"]).filter(later).select("doc_id", "chunk"))
+    return out.union(twins.join(own, ["digest", "content"]).filter(later).select("row_a", "row_b", "chunk"))
 
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated multi-line chunks cut from the text (the first of each stays), plus
     lines_before and lines_removed (instead of columns of these names). n_chars, where there is such a column, follows the new text.
 
-    Null text stays null (no lines). Rows that share an id are one document and lose the same
-    chunks; rows without an id lose none. An empty table gives an empty result.
+    Null text stays null (no lines). A row is known by its id and whole text, so rows of one id
+    with different texts, and rows without an id, are documents of their own; rows alike in
+    both are one place, and all keep what one of them keeps. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    gone = repeated_chunks(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk")).alias("_gone"))  # a document's chunks
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    gone = repeated_chunks(docs).groupBy("row_a", "row_b").agg(F.array_sort(F.collect_set("chunk")).alias("_gone"))  # a document's chunks
+    row_a, row_b = row_key("doc_id", "text")
+    keyed = docs.select("*", row_a.alias("_row_a"), row_b.alias("_row_b"))
+    joined = keyed.join(gone.withColumnsRenamed({"row_a": "_row_a", "row_b": "_row_b"}), ["_row_a", "_row_b"], "left").drop("_row_a", "_row_b")
     rest = [f for f in joined.schema.fields if f.name not in ("_gone", "lines_before", "lines_removed")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +112,6 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int32()), pa.array(removed, pa.int32())], names=[*(f.name for f in rest), "lines_before", "lines_removed"])
 
-    from pyspark.sql.types import StructType
-
     out = joined.select(*(f.name for f in rest), "_gone").mapInArrow(run, StructType([*rest, *StructType.fromDDL("lines_before int, lines_removed int").fields]))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
