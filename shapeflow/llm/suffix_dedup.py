@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, small_batches, store
+from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, row_key, small_batches, store
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 200
@@ -22,10 +22,8 @@ GRAM = 16
 SPAN = LENGTH - GRAM + 1
 #: Bytes worked on at once in a task.
 SLICE = 1 << 20
-#: Segments sorted together (under 10 MB).
+#: Most segments sorted together (under 10 MB).
 COLLECTION = 20_000
-#: An anchor with more different surroundings than one collection holds has its windows counted one by one instead.
-HOT_ANCHOR = COLLECTION
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -84,22 +82,27 @@ def unpacked(column: pa.Array) -> list[bytes | None]:
     return [None if x is None else open_up(x) for x in column.to_pylist()]
 
 
+def digests(parts: list[bytes]) -> np.ndarray:
+    """128-bit digests of some byte strings, as two columns of 64 bits."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), dtype=">i8").reshape(-1, 2).astype(np.int64)
+
+
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """(doc, key, digest, start, windows, anchor): all anchors. ``digest`` stands for all bytes of the anchor's windows."""
-    ddl = "doc long, key long, digest long, start int, windows int, anchor int"
+    """(a, b, key, high, low, start, windows, anchor): all anchors. high and low are a 128-bit digest that stands for all
+    bytes of the anchor's windows and the anchor's place among them."""
+    ddl = "a long, b long, key long, high long, low long, start int, windows int, anchor int"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = xxhash.xxh3_64_intdigest
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column("doc").to_pylist(), byte_texts(batch.column("text"))):
+            for doc, text in zip(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()), byte_texts(batch.column("text"))):
                 start, runs, anchor, key = anchors_of(text)
                 ends = (start + runs + LENGTH - 1).tolist()
-                digest = np.fromiter((one(text[s:e], a - s) for s, e, a in zip(start.tolist(), ends, anchor.tolist())), dtype=np.uint64, count=len(start)).view(np.int64)
-                out.append((np.full(len(start), doc), key, digest, start, runs, anchor))
+                digest = digests([bytes((a - s,)) + text[s:e] for s, e, a in zip(start.tolist(), ends, anchor.tolist())])
+                out.append((np.full(len(start), doc[0]), np.full(len(start), doc[1]), key, digest[:, 0], digest[:, 1], start, runs, anchor))
             if out:
-                yield record_batch(schema, [np.concatenate(x).astype(np.int32 if i > 2 else np.int64) for i, x in enumerate(zip(*out))])
+                yield record_batch(schema, [np.concatenate(x).astype(np.int32 if i > 4 else np.int64) for i, x in enumerate(zip(*out))])
 
     return docs.mapInArrow(run, ddl)
 
@@ -166,61 +169,83 @@ def runs_of(mark: np.ndarray, start: int) -> list[tuple[int, int]]:
     return [(start + a, start + b - 1 + LENGTH) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
+SEGMENTS = "a long, b long, key long, start int, windows int, tail int, whole boolean, least int, most int, bytes binary"
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, start, stop): byte spans covered by strings of LENGTH that start at another place too (spans may overlap).
+    """(a, b, start, stop): byte spans covered by strings of LENGTH that start at another place too (spans may overlap).
 
-    ``docs`` has doc (an id of its own for each row) and text. Equal windows share an anchor
+    ``docs`` has a key of two longs for each row (a, b) and text. Equal windows share an anchor
     gram, so only anchors whose gram stands at two places or more matter. Of those:
-    anchors with equal surroundings (digest) elsewhere are covered whole; where surroundings
-    differ, one segment for each kind is sent to the anchor's task, which sorts its segments
-    column by column; anchors with more than HOT_ANCHOR kinds would fill one task and
-    have each window counted by its digest instead, combined in the tasks first.
+    anchors with equal surroundings (128-bit digest) elsewhere are covered whole; where
+    surroundings differ, one segment for each kind goes to its anchor's collection, which is
+    sorted column by column. What is grouped is written before it is joined: a join of two
+    plain exchanges is one that adaptive execution can split at a frequent gram.
     """
     anchors = store(anchor_table(docs), "anchors")
-    keys = anchors.groupBy("key").agg(F.count("*").alias("places"), F.min("digest").alias("_low"), F.max("digest").alias("_high")).filter("places > 1")
-    found = store(anchors.join(keys.select("key", (F.col("_low") == F.col("_high")).alias("alike")), "key"), "found")
-    kinds = found.filter("not alike").groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "start")).alias("first"))
-    many = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
-    split = found.filter("not alike").join(kinds.join(many, "key"), ["key", "digest"])
-    # a kind's first place stands for the kind
-    stands = (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start"))
-    place = ["doc", "key", "start", "windows", "anchor"]
+    digest, place = F.struct("high", "low"), F.struct("a", "b", "start")
+    grams = anchors.groupBy("key").agg(F.count("*").alias("places"), F.min(digest).alias("_low"), F.max(digest).alias("_high"))
+    keys = store(grams.filter("places > 1").select("key", (F.col("_low") == F.col("_high")).alias("alike")), "grams")
+    found = store(anchors.join(keys, "key"), "found")
+    mixed = found.filter("not alike")
+    kinds = store(mixed.groupBy("key", "high", "low").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "kinds")
+    columns = ["a", "b", "key", "start", "windows", "anchor"]
     suspects = store(
-        found.filter("alike").select(*place, F.lit(True).alias("whole"), F.lit(0).alias("send"))
-        .union(split.select(*place, (F.col("copies") > 1).alias("whole"), F.when(~stands, 0).when(F.col("kinds") > HOT_ANCHOR, 2).otherwise(1).alias("send"))),
+        found.filter("alike").select(*columns, F.lit(True).alias("whole"), F.lit(False).alias("send"))
+        # a kind's first place stands for the kind
+        .union(mixed.join(kinds, ["key", "high", "low"]).select(*columns, (F.col("copies") > 1).alias("whole"), (place == F.col("first")).alias("send"))),
         "suspects",
     )
-    whole = suspects.filter("whole").select("doc", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("stop"))
-    asked = suspects.filter("send > 0").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "windows", "anchor", "whole", "send")).alias("asked"))  # a document's anchors
-    ddl = "send int, key long, doc long, start int, windows int, tail int, whole boolean, bytes binary"
-    schema = arrow_schema(ddl)
+    whole = suspects.filter("whole").select("a", "b", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("stop"))
+    asked = suspects.filter("send").groupBy("a", "b").agg(F.collect_list(F.struct("key", "start", "windows", "anchor", "whole")).alias("asked"))  # a document's anchors
+    schema = arrow_schema(SEGMENTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, wanted in zip(batch.column("doc").to_pylist(), unpacked(batch.column("text")), batch.column("asked").to_pylist()):
+            for a, b, text, wanted in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), unpacked(batch.column("text")), batch.column("asked").to_pylist()):
                 for w in wanted:
                     stop = w["start"] + w["windows"] + LENGTH - 1
-                    out.append((w["send"], w["key"], doc, w["start"], w["windows"], stop - w["anchor"], w["whole"], text[w["start"] : stop]))
+                    out.append((a, b, w["key"], w["start"], w["windows"], stop - w["anchor"], w["whole"], 0, SPAN, text[w["start"] : stop]))
             for i in range(0, len(out), 5000):
                 yield record_batch(schema, list(zip(*out[i : i + 5000])))
 
-    segments = store(packed(docs).join(asked, "doc").mapInArrow(cut, ddl), "segments")
-    return whole.union(sorted_spans(segments.filter("send = 1"))).union(counted_spans(segments.filter("send = 2")))
+    return whole.union(sorted_spans(store(packed(docs).join(asked, ["a", "b"]).mapInArrow(cut, SEGMENTS), "segments")))
 
 
 def sorted_spans(segments: DataFrame) -> DataFrame:
-    schema = arrow_schema("doc long, start int, stop int")
+    """The spans of windows that equal windows of another segment of the same key.
+
+    A key of more segments than one collection holds is parted by the distance of windows
+    from their anchor, half by half, until its parts fit. Equal windows have equal distances,
+    and the narrower the distances, the more bytes around the anchor all windows of a
+    segment share: these bytes enter the parts' keys. At one distance the key is the
+    window itself, and only one kind is left.
+    """
+    out = None
+    while True:
+        crowded = store(segments.groupBy("key").count().filter(F.col("count") > COLLECTION).select("key"), "crowded")
+        last = crowded.isEmpty()
+        spans = collections_of(segments if last else segments.join(crowded, "key", "left_anti"))
+        out = spans if out is None else out.union(spans)
+        if last:
+            return out
+        segments, spans = halves(segments.join(crowded, "key", "left_semi"))
+        out = out.union(spans)
+
+
+def collections_of(segments: DataFrame) -> DataFrame:
+    ddl = "a long, b long, start int, stop int"
+    schema = arrow_schema(ddl)
 
     def collection(rows: list[tuple]) -> list[tuple]:
-        marks = column_insertion([r[4] for r in rows], [r[3] for r in rows])
-        return [(r[1], a, b) for r, mark in zip(rows, marks) if not r[5] for a, b in runs_of(mark, r[2])]
+        marks = column_insertion([r[5] for r in rows], [r[4] for r in rows])
+        return [(r[1], r[2], a, b) for r, mark in zip(rows, marks) if not r[6] for a, b in runs_of(mark, r[3])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in (*[], *batches):
-            columns = [batch.column(x).to_pylist() for x in ("key", "doc", "start", "tail", "bytes", "whole")]
-            held += zip(*columns)
+        for batch in batches:
+            held += zip(*(batch.column(x).to_pylist() for x in ("key", "a", "b", "start", "tail", "bytes", "whole")))
             if len(held) >= COLLECTION:
                 cut = len(held)
                 while cut and held[cut - 1][0] == held[-1][0]:  # the last key's segments may go on
@@ -231,27 +256,37 @@ def sorted_spans(segments: DataFrame) -> DataFrame:
         if held and (spans := collection(held)):
             yield record_batch(schema, list(zip(*spans)))
 
-    return segments.select("key", "doc", "start", "tail", "whole", "bytes").repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, "doc long, start int, stop int")
+    return segments.select("key", "a", "b", "start", "tail", "whole", "bytes").repartition("key").sortWithinPartitions("key", "a", "b", "start").mapInArrow(run, ddl)
 
 
-def counted_spans(segments: DataFrame) -> DataFrame:
-    """Windows of hot anchors, each counted by its own 128-bit digest."""
-    ddl = "doc long, start int, whole boolean, window binary"
+def halves(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments parted at the middle of their distances from the anchor, one for each kind, and the spans of kinds with copies."""
+    ddl = SEGMENTS + ", high long, low long"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = xxhash.xxh3_128_digest
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for doc, start, whole, data in zip(*(batch.column(x).to_pylist() for x in ("doc", "start", "whole", "bytes"))):
-                n = len(data) - LENGTH + 1
-                for column, more in zip(out, ([doc] * n, range(start, start + n), [whole] * n, [one(data[i : i + LENGTH]) for i in range(n)])):
-                    column += more
-            yield record_batch(schema, list(out))
+            out: list[tuple] = []
+            for a, b, start, windows, tail, whole, least, most, data in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "start", "windows", "tail", "whole", "least", "most", "bytes"))):
+                anchor, middle = len(data) - tail, (least + most) // 2
+                for low, high in ((least, middle), (middle, most)):  # windows at distances low to high - 1
+                    first, last = max(0, anchor - high + 1), min(windows - 1, anchor - low)
+                    if first <= last:
+                        part = data[first : last + LENGTH]
+                        shared = data[anchor - low : anchor + LENGTH - high + 1]
+                        key = xxhash.xxh3_64_intdigest(shared, low * 256 + high) - (1 << 63)
+                        out.append((a, b, key, start + first, last - first + 1, len(part) - anchor + first, whole, low, high, part))
+            if out:
+                digest = digests([bytes((len(r[9]) - r[5],)) + r[9] for r in out])
+                yield record_batch(schema, [*zip(*out), digest[:, 0], digest[:, 1]])
 
-    windows = segments.select("doc", "start", "whole", "bytes").mapInArrow(run, ddl)
-    often = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    return windows.filter(~F.col("whole")).join(often, "window").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
+    parts = store(segments.drop("high", "low").dropDuplicates(["key", "a", "b", "start"]).mapInArrow(run, ddl), "parts")
+    place = F.struct("a", "b", "start")
+    kinds = store(parts.groupBy("key", "high", "low").agg(F.count("*").alias("copies"), F.max("whole").alias("any_whole"), F.min(place).alias("first")), "part-kinds")
+    met = store(parts.join(kinds, ["key", "high", "low"]), "met")
+    spans = met.filter("copies > 1 and not whole").select("a", "b", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("stop"))
+    stand = met.filter(place == F.col("first")).withColumn("whole", F.col("any_whole") | (F.col("copies") > 1))
+    return stand.select(*(c.split()[0] for c in SEGMENTS.split(", "))), spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -268,13 +303,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs``, texts packed, with _spans, each document's repeated spans.
 
-    A row is known by a hash of its id and text, so ids may repeat or be null; rows alike in
-    both share their spans, as each is a copy of the other.
+    A row is known by 128 bits of hashes of its id and text, so ids may repeat or be null; rows
+    alike in both share their spans, as each is a copy of the other.
     """
-    numbered = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(numbered.select(F.col("_doc").alias("doc"), "text"))
-    grouped = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))  # a document's spans
-    return packed(numbered).join(grouped.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    a, b = row_key("doc_id", "text")
+    spans = repeated_spans(docs.select(a.alias("a"), b.alias("b"), "text"))
+    grouped = spans.groupBy("a", "b").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))  # a document's spans
+    return packed(docs.select("*", a.alias("_a"), b.alias("_b"))).join(grouped.withColumnsRenamed({"a": "_a", "b": "_b"}), ["_a", "_b"], "left")
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -47,9 +48,9 @@ def brute_suffix(texts, n=suffix_dedup.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("hot", [300, 0])
-def test_suffix_dedup(make, odd, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_ANCHOR", hot)
+@pytest.mark.parametrize("most", [20_000, 3])  # 3: nearly every anchor is parted by distance, many times over
+def test_suffix_dedup(make, odd, most, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", most)
     rng = np.random.default_rng(5)
     noise = lambda n: bytes(rng.integers(97, 123, n).tolist()).decode()
     shared = noise(260)
@@ -79,6 +80,40 @@ def test_column_insertion_is_exact():
             assert marks[i][w] == others
 
 
+def test_line_dedup_ids(make):
+    """Rows of one id with different texts are documents of their own, as are rows without an id; rows alike are one place."""
+    two, own = "a a\nb b", "unique one\nunique two"
+    rows = line_dedup.remove_repeated_chunks(make([two, two, own, two, own, own], [1, 2, 2, None, None, None])).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == {(1, two): 1, (2, ""): 1, (2, own): 1, (None, ""): 3}
+    rows = line_dedup.remove_repeated_chunks(make([own, own], [None, None])).collect()
+    assert [r["text"] for r in rows] == [own, own]
+
+
+def test_runs_read_one_batch_at_a_time():
+    from shapeflow.llm.common import whole_runs
+
+    read = []
+
+    def batches():
+        for i, keys in enumerate([[1, 1, 2], [2, 2], [2], [2, 3], [], [4, 5]]):
+            read.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())] * 2, names=["k", "v"])
+
+    runs = whole_runs(batches(), "k", "v")
+    assert next(runs)[0].tolist() == [1, 1] and read == [0]
+    assert [x.tolist() for x, _ in runs] == [[2, 2, 2, 2, 2], [3], [4], [5]][:1] + [[3, 4]] + [[5]]
+
+
+def test_dense_cells_lose_no_link():
+    rng = np.random.default_rng(8)
+    own = np.unique(rng.integers(0, 2**63, 900).astype(np.int64))
+    near = np.array([x ^ sum(1 << int(k) for k in rng.choice(63, 4, replace=False)) for x in own[:300].tolist()], dtype=np.int64)
+    a, b = simhash.cell_links(np.unique(np.concatenate((own, near))))
+    linked = {frozenset(x) for x in zip(a, b)}
+    assert all(simhash.bit_difference(np.array([x]), np.array([y]))[0] <= simhash.RADIUS for x, y in zip(a, b))
+    assert all(frozenset((x, y)) in linked for x, y in zip(own[:300].tolist(), near.tolist()))
+
+
 def brute_fingerprint(text, width):
     words = data(text).lower().split()
     if not words:
