@@ -28,24 +28,31 @@ def bounds(cidr: str) -> tuple[int, int]:
     return int(net.network_address), int(net.broadcast_address)
 
 
+def number_in(number: Column, cidrs: tuple[str, ...] | list[str]) -> Column:
+    """Whether an address, as a number, lies in any of the networks; false for null."""
+    out = F.lit(False)
+    for low, high in map(bounds, cidrs):
+        out = out | number.between(low, high)
+    return F.coalesce(out, F.lit(False))
+
+
 def in_networks(ip: Column, cidrs: tuple[str, ...] | list[str]) -> Column:
     """Whether an IPv4 address lies in any of the networks; false for other text.
 
     The one-element array binds the number once, so that it is not computed anew for each network.
     """
-    def hit(number: Column) -> Column:
-        out = F.lit(False)
-        for low, high in map(bounds, cidrs):
-            out = out | number.between(low, high)
-        return F.coalesce(out, F.lit(False))
-
-    return F.element_at(F.transform(F.array(ipv4_number(ip)), hit), 1)
+    return F.element_at(F.transform(F.array(ipv4_number(ip)), lambda number: number_in(number, cidrs)), 1)
 
 
 def is_private_v4(ip: Column) -> Column:
     return in_networks(ip, PRIVATE_V4) & ~in_networks(ip, NOT_PRIVATE_V4)
 
 
+def is_private_number(number: Column) -> Column:
+    """``is_private_v4`` of an address that is a number already."""
+    return number_in(number, PRIVATE_V4) & ~number_in(number, NOT_PRIVATE_V4)
+
+
 def private_addresses(addresses: DataFrame, column: str) -> DataFrame:
     """(column, private) for each distinct address, IPv4 and IPv6: versions other than IPv4 need the address library, once a distinct address."""
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -56,14 +56,15 @@ l AS (SELECT 'd' || (n_nationkey % 3) AS tag, CAST(40 + n_nationkey * 60 AS INT)
 SELECT t.tag, secs, conv_id, turn, scenario, {_MAP}[scenario] AS expected FROM t ASOF JOIN l ON t.tag = l.tag AND t.secs >= l.ts_s WHERE secs - ts_s >= 12"""
 
 
-def s6(spark, sf):
+def s6(spark, sf, every=3):
     samples = derived.table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS seq", "CASE WHEN turn % 2 = 0 THEN 'shape' ELSE 'raw' END AS mode", f"concat('  ', element_at(array({', '.join(repr(a) for a in derived.ACTIVITIES)}), cast(conv_id % {N} + 1 AS int)), ' ') AS label")
     keys = spark.createDataFrame([(k,) for k in KEYS], "key string")
-    return E.known_samples(samples, keys, 3)
+    return E.known_samples(samples, keys, every)
 
 
 S6_SQL = f"""WITH s AS (SELECT conv_id * 1000 + turn AS seq, CASE WHEN turn % 2 = 0 THEN 'shape' ELSE 'raw' END AS mode, ([{', '.join(repr(k) for k in KEYS)}])[conv_id % {N} + 1] AS label FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY seq) AS n FROM s) SELECT seq, mode, label FROM n WHERE (n - 1) % 3 = 0"""
+E1_SQL = f"SELECT CASE WHEN turn % 2 = 0 THEN 'shape' ELSE 'raw' END AS mode, ([{', '.join(repr(k) for k in KEYS)}])[conv_id % {N} + 1] AS label, count(*) AS n FROM conversations GROUP BY ALL"
 
 
 def s4(spark, sf):
@@ -89,7 +90,7 @@ QUERIES = {
     "a11_token_totals": lambda s, d: A.token_totals(derived.answers(s, d), 2.0),
     "j9_answered": lambda s, d: A.answered(derived.answers(s, d).select("iface", "tick"), derived.answers(s, d).filter("input_tokens is not null")),
     "s8_x15_snapshot": lambda s, d: A.snapshot(A.episodes(derived.answers(s, d), KEYS), s.createDataFrame([(k, n) for k, n in zip(KEYS, derived.ACTIVITIES) if n != "chat"], "key string, name string")),
-    "e1_sample_counts": lambda s, d: s6(s, d).groupBy("mode", "label").agg(F.count("*").alias("n")),
+    "e1_sample_counts": lambda s, d: s6(s, d, 1).groupBy("mode", "label").agg(F.count("*").alias("n")),
     "e2_e6_report": lambda s, d: _round(E.report(results(s, d), "variant"), "accuracy", "mean_p"),
     "e3_pivot": lambda s, d: E.pivot(results(s, d), ["shape", "raw", "raw-ips"]).select("scenario", *(F.round(F.col(f"`{c}`"), 6).alias(c.replace("-", "_")) for c in ("shape", "raw", "raw-ips"))),
     "e4_totals": lambda s, d: _round(E.totals(results(s, d)), "accuracy", "mean_p"),
@@ -112,7 +113,7 @@ ORACLES = {
     "a11_token_totals": f"{_BASE}, t AS (SELECT *, CASE WHEN event_id % 17 = 0 THEN NULL ELSE 900 + event_id % 300 END AS n FROM base) SELECT iface, CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens_in, count(n) AS calls, round(coalesce(sum(n), 0) / greatest(1.0, (max(tick) - min(tick)) * 2.0), 1) AS tokens_per_s FROM t GROUP BY iface",
     "j9_answered": f"{_BASE} SELECT iface, count(*) FILTER (event_id % 17 <> 0) AS answered_ticks, count(*) FILTER (event_id % 17 = 0) AS dropped_ticks FROM base GROUP BY iface",
     "s8_x15_snapshot": f"{SMOOTH_SQL}, l AS (SELECT iface, max(tick) AS tick, arg_max(smoothed_top, tick) AS k, arg_max(bits, tick) AS bits, arg_max(total_bits, tick) AS total_bits, arg_max(episode, tick) AS episode FROM ep GROUP BY iface), m AS (SELECT *, CASE WHEN k = 'chat' THEN k ELSE replace(k, '_', ' ') END AS activity FROM l) SELECT iface, tick, activity, round(bits, 4) AS bits, round(total_bits, 4) AS total_bits, episode, '{{\"iface\":\"' || iface || '\",\"tick\":' || tick || ',\"activity\":\"' || activity || '\",\"episode\":' || episode || '}}' AS json FROM m",
-    "e1_sample_counts": f"SELECT mode, label, count(*) AS n FROM ({S6_SQL}) GROUP BY ALL",
+    "e1_sample_counts": E1_SQL,
     "e2_e6_report": f"WITH {RESULTS_SQL}, {_REPORT}, a AS (SELECT scenario, tag, variant, round(avg((choice = expected)::INT), 6) AS accuracy, round(avg(p_expected), 6) AS mean_p, count(*) AS n FROM res GROUP BY ALL) SELECT scenario, tag, variant, accuracy, mean_p, common_choice, n FROM a JOIN kk USING (scenario, tag, variant)",
     "e3_pivot": f"WITH {RESULTS_SQL} SELECT scenario, round(avg((choice = expected)::INT) FILTER (tag = 'shape'), 6) AS shape, round(avg((choice = expected)::INT) FILTER (tag = 'raw'), 6) AS raw, round(avg((choice = expected)::INT) FILTER (tag = 'raw-ips'), 6) AS raw_ips FROM res GROUP BY scenario",
     "e4_totals": f"WITH {RESULTS_SQL} SELECT tag, round(avg((choice = expected)::INT), 6) AS accuracy, round(avg(p_expected), 6) AS mean_p, count(*) AS n FROM res WHERE scenario <> 'idle' GROUP BY tag",

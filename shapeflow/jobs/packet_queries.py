@@ -133,16 +133,23 @@ SELECT DISTINCT iface, split_part(dst, '/', 1) AS host FROM r WHERE dst NOT IN (
 def f9(spark, sf):
     """Allowed links; the deny rule holds for an explicit list too."""
     p = derived.table(spark, sf, "lineitem").selectExpr("concat(element_at(array('vif', 'eth', 'lo', 'wlan'), cast(l_linenumber % 4 + 1 AS int)), l_suppkey % 3) AS iface")
-    allowed = (F.col("iface").startswith("vif") | F.col("iface").isin("wlan1", "eth1")) & ~F.col("iface").startswith("eth") & ~F.col("iface").startswith("lo")
-    return p.filter(allowed).groupBy("iface").agg(F.count("*").alias("packets"))
+    return packet_log.allowed_links(p, "vif", ("wlan1", "eth1")).groupBy("iface").agg(F.count("*").alias("packets"))
+
+
+def f5(spark, sf):
+    """Local hosts: those of the route table and those that configured networks name."""
+    nets = ["10.137.99.2/32", "10.137.99.0/24", "fd00::7/128", "192.168.7.7"]
+    named = f4(spark, sf).select("iface").distinct().select("iface", F.explode(F.array(*map(F.lit, packet_log.configured_hosts(nets)))).alias("host"))
+    return f4(spark, sf).union(named).distinct()
 
 
 QUERIES = {
     "s1_parse_log": s1,
-    "s2_line_counts": lambda s, d: packet_log.line_counts(derived.log_lines(s, d)),
+    "s2_line_counts": lambda s, d: packet_log.line_counts(derived.log_lines(s, d), LOCAL),
     "f1_f2_private_and_networks": f1,
     "f3_x1_x2_x5_oriented_packets": f3,
     "f4_routed_hosts": f4,
+    "f5_local_hosts": f5,
     "f9_allowed_links": f9,
     "x4_conversations": x4,
     "f8_probe_filter": lambda s, d: P.mark_probes(P.at_ticks(derived.sparse_packets(s, d))).groupBy(*P.CELL).agg(F.count_if(~F.col("probe")).alias("kept"), F.count_if("probe").alias("dropped")),
@@ -160,10 +167,11 @@ QUERIES = {
 }
 ORACLES = {
     "s1_parse_log": f"WITH {PARSED_SQL} SELECT iface, seq, t_ms, src, sport, dst, dport, proto, length FROM parsed WHERE matched",
-    "s2_line_counts": f"WITH {PARSED_SQL} SELECT iface, count(*) AS total_lines, count(*) FILTER (NOT matched) AS skipped_lines FROM parsed GROUP BY iface",
+    "s2_line_counts": f"WITH {ORIENTED_SQL}, k AS (SELECT iface, count(*) AS n FROM e GROUP BY iface) SELECT p.iface, count(*) AS total_lines, count(*) - coalesce(any_value(k.n), 0) AS skipped_lines FROM parsed p LEFT JOIN k ON p.iface = k.iface GROUP BY p.iface",
     "f1_f2_private_and_networks": F1_SQL,
     "f3_x1_x2_x5_oriented_packets": f"WITH {ORIENTED_SQL} SELECT iface, seq, t_ms, out, proto, {_id_sql('proto', 'lp', 'rip', 'rp')} AS flow, {_id_sql('proto', 'rip', 'rp')} AS endpoint, length, lip || ':' || lp || ' > ' || rip || ':' || rp AS label FROM e",
     "f4_routed_hosts": F4_SQL,
+    "f5_local_hosts": f"WITH a AS ({F4_SQL}) SELECT iface, host FROM a UNION SELECT iface, unnest(['10.137.99.2', 'fd00::7', '192.168.7.7']) AS host FROM (SELECT DISTINCT iface FROM a)",
     "f9_allowed_links": "SELECT iface, count(*) AS packets FROM (SELECT (['vif', 'eth', 'lo', 'wlan'])[l_linenumber % 4 + 1] || (l_suppkey % 3) AS iface FROM lineitem) WHERE iface LIKE 'vif%' OR iface = 'wlan1' GROUP BY iface",
     "x4_conversations": f"WITH {PARSED_SQL} SELECT {_X4} AS conversation, count(*) AS packets, count(DISTINCT src) AS senders FROM parsed WHERE matched GROUP BY 1",
     "f8_probe_filter": f"{_WS} SELECT iface, tick_end, count(*) FILTER (NOT probe) AS kept, count(*) FILTER (probe) AS dropped FROM m GROUP BY ALL",

@@ -127,7 +127,7 @@ def j1(spark, sf):
 
 def j2(spark, sf):
     s = segs(spark, sf).select("iface", "key", "first_ms", "last_ms")
-    return S.drop_shared(s.filter("iface = 'vif0'"), s.filter("iface <> 'vif0' and first_ms % 3 = 0"), 30_000, 1_500)
+    return S.drop_shared(s.filter("iface = 'vif0'"), s.filter("iface <> 'vif0'"))
 
 
 def s12(spark, sf):
@@ -191,7 +191,7 @@ ORACLES = {
     "m14_bins": f"{_SPARSE}, {MEASURES_SQL} SELECT iface, tick_end, CAST(bin AS INT) AS bin, round(packets + 1e-9, 6) AS packets, round(up + 1e-9, 6) AS up FROM bins",
     "l1_l28_shapes": _shape_sql(),
     "j1_drop_own": f"{_SPARSE} SELECT iface, key, endpoint, first_ms, last_ms FROM segs WHERE key NOT IN ('flow3', 'flow7') AND endpoint <> 'end2'",
-    "j2_drop_shared": f"{_SPARSE} SELECT iface, key, first_ms, last_ms FROM segs u WHERE iface = 'vif0' AND NOT EXISTS (SELECT 1 FROM segs v WHERE v.iface <> 'vif0' AND v.first_ms % 3 = 0 AND v.key = u.key AND v.last_ms BETWEEN u.last_ms - 30000 AND u.last_ms + 1500)",
+    "j2_drop_shared": f"{_SPARSE} SELECT iface, key, first_ms, last_ms FROM segs u WHERE iface = 'vif0' AND NOT EXISTS (SELECT 1 FROM segs v WHERE v.iface <> 'vif0' AND v.key = u.key AND v.last_ms BETWEEN u.last_ms - 300000 AND u.last_ms + 1500)",
     "j4_new_endpoints": f"{_SPARSE}, {MEASURES_SQL} SELECT * FROM ne",
     "j5_first_seen": f"{_SPARSE}, {MEASURES_SQL} SELECT iface, key, first_ms, last_ms, island, cut, first_seen_ms FROM e3",
     "s12_rebase": f"{_SPARSE}, o AS (SELECT iface, min(first_ms) AS origin FROM segs GROUP BY iface), z AS (SELECT segs.*, CAST(floor(1700000000000 + (last_ms - origin) / 2.5::DOUBLE) AS BIGINT) AS new_last_ms FROM segs JOIN o USING (iface)) SELECT iface, key, island, cut, new_last_ms - CAST(floor((last_ms - first_ms) / 2.5::DOUBLE) AS BIGINT) AS new_first_ms, new_last_ms FROM z",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapeflow.operators.segments import first_contacts, first_seen
+from shapeflow.session import store
 
 WINDOW_MS, STEP_MS, LAG_MS, BIN_MS = 10_000, 2_000, 2_250, 250
 BINS = WINDOW_MS // BIN_MS
@@ -108,10 +109,10 @@ def new_endpoints(segs: DataFrame) -> DataFrame:
 
 
 def measures(segs: DataFrame) -> DataFrame:
-    """One row for each tick of each link, silent ones too."""
-    prepared = prepare(segs)
+    """One row for each tick of each link, silent ones too. The prepared segments are written once and read by all parts."""
+    prepared = store(prepare(segs), "prepared-segments")
     m = members(prepared)
-    joined = spine(prepared).join(flow_measures(m), CELL, "left").join(sum_measures(m), CELL, "left").join(burst_measures(bin_table(m)), CELL, "left").join(new_endpoints(segs), CELL, "left")
+    joined = spine(prepared).join(flow_measures(m), CELL, "left").join(sum_measures(m), CELL, "left").join(burst_measures(bin_table(m)), CELL, "left").join(new_endpoints(prepared), CELL, "left")
     zero = lambda c, t="long": F.coalesce(c, F.lit(0).cast(t)).alias(c)
     whole = ("flows", "endpoints", "new_endpoints", "up_bytes", "down_bytes", "up_packets", "down_packets", "bursts", "longest_burst_ms")
     real = ("mean_ps", "ps_cv", "tiny_frac", "large_frac", "mean_piat_ms", "piat_cv", "tcp_frac", "udp_frac", "alternation", "active_bin_frac", "typical_burst_ms", "up_bin_cv", "mean_lifetime_ms", "new_flow_frac", "top_flow_share")
@@ -126,26 +127,30 @@ def minute_rhythm(m: DataFrame) -> DataFrame:
     """(iface, tick_end, long_gap_cv, long_bursts): bursts of the last minute, each counted once.
 
     A start within 500 ms of one already noted is the same burst, which depends on the order of
-    ticks; so each link's ticks (one small row each) are folded in one task. Starts older
-    than the minute can't meet a new one and are forgotten.
+    ticks; so each link's ticks (one small row each) are folded in their order, batch by
+    batch. Starts older than the minute can't meet a new one and are forgotten, so a task
+    holds one batch and one minute of starts, however long the log is.
     """
-    def fold(batches: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        rows = batches.sort_values("tick_end")
-        noted: list[int] = []
-        cvs, counts = [], []
-        for end, starts in zip(rows["tick_end"], rows["burst_starts_ms"]):
-            for b in starts:
-                if all(abs(b - x) >= 500 for x in reversed(noted[-64:])) and all(abs(b - x) >= 500 for x in noted[:-64]):
-                    noted.append(int(b))
-            noted = [x for x in noted if x >= end - 60_000]
-            own = sorted(noted)
-            gaps = [b - a for a, b in zip(own, own[1:])]
-            mean = sum(gaps) / len(gaps) if gaps else 0
-            cvs.append((sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean if len(gaps) >= 2 and mean > 0 else -1.0)
-            counts.append(len(own))
-        return pd.DataFrame({"iface": rows["iface"], "tick_end": rows["tick_end"], "long_gap_cv": cvs, "long_bursts": counts})
-
-    return m.select("iface", "tick_end", "burst_starts_ms").groupBy("iface").applyInPandas(fold, "iface string, tick_end long, long_gap_cv double, long_bursts long")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        link, noted = None, []
+        for batch in batches:
+            cvs, counts = [], []
+            for iface, end, starts in zip(batch["iface"], batch["tick_end"], batch["burst_starts_ms"]):
+                if iface != link:
+                    link, noted = iface, []
+                for b in starts:
+                    if all(abs(b - x) >= 500 for x in reversed(noted)):
+                        noted.append(int(b))
+                noted = [x for x in noted if x >= end - 60_000]
+                own = sorted(noted)
+                gaps = [b - a for a, b in zip(own, own[1:])]
+                mean = sum(gaps) / len(gaps) if gaps else 0
+                cvs.append((sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean if len(gaps) >= 2 and mean > 0 else -1.0)
+                counts.append(len(own))
+            yield pd.DataFrame({"iface": batch["iface"], "tick_end": batch["tick_end"], "long_gap_cv": cvs, "long_bursts": counts})
+
+    ticks = m.select("iface", "tick_end", "burst_starts_ms").repartition("iface").sortWithinPartitions("iface", "tick_end")
+    return ticks.mapInPandas(fold, "iface string, tick_end long, long_gap_cv double, long_bursts long")
 
 
 def shapes(m: DataFrame, rhythm: DataFrame | None = None) -> DataFrame:

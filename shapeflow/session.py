@@ -1,12 +1,13 @@
-"""Make the package importable for Python workers."""
+"""Make the package importable for Python workers; tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _SHIPPED: set[str] = set()
@@ -30,3 +31,23 @@ def ship(spark: SparkSession) -> None:
                     z.write(file, os.path.relpath(file, ROOT))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where it is unset, a new temporary one, but only if driver and
+    executors are one process (tests); on a cluster that raises, as no folder of one machine is seen by the others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shapeflow-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

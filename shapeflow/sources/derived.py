@@ -61,6 +61,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "(l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) AS bigint) AS seq",
         """CASE WHEN l_linenumber = 7 THEN concat('17584', lpad(l_orderkey, 5, '0'), '.0 IP 10.0.0.1 > 10.0.0.2: ICMP echo request')
              WHEN l_partkey % 97 = 0 THEN 'garbage'
+             WHEN l_partkey % 89 = 0 THEN concat('17584', lpad(l_orderkey, 5, '0'), '.5 IP 93.184.1.', l_suppkey % 200, '.443 > 93.184.2.7.80: tcp 9')
              ELSE concat('17584', lpad(l_orderkey, 5, '0'), '.', lpad(l_partkey % 1000, 3, '0'), '000 IP ',
                CASE WHEN l_returnflag = 'R' THEN concat('93.184.', l_suppkey % 7, '.', l_suppkey % 200, '.443') ELSE concat('10.137.0.', 10 + l_suppkey % 4, '.', 40000 + l_suppkey) END, ' > ',
                CASE WHEN l_returnflag <> 'R' THEN concat('93.184.', l_suppkey % 7, '.', l_suppkey % 200, '.443') ELSE concat('10.137.0.', 10 + l_suppkey % 4, '.', 40000 + l_suppkey) END,
@@ -72,6 +73,7 @@ LINES_SQL = """lines AS (
   SELECT 'vif' || (l_suppkey % 4) AS iface, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS seq,
     CASE WHEN l_linenumber = 7 THEN '17584' || lpad(l_orderkey::VARCHAR, 5, '0') || '.0 IP 10.0.0.1 > 10.0.0.2: ICMP echo request'
       WHEN l_partkey % 97 = 0 THEN 'garbage'
+      WHEN l_partkey % 89 = 0 THEN '17584' || lpad(l_orderkey::VARCHAR, 5, '0') || '.5 IP 93.184.1.' || (l_suppkey % 200) || '.443 > 93.184.2.7.80: tcp 9'
       ELSE '17584' || lpad(l_orderkey::VARCHAR, 5, '0') || '.' || lpad((l_partkey % 1000)::VARCHAR, 3, '0') || '000 IP ' ||
         (CASE WHEN l_returnflag = 'R' THEN '93.184.' || (l_suppkey % 7) || '.' || (l_suppkey % 200) || '.443' ELSE '10.137.0.' || (10 + l_suppkey % 4) || '.' || (40000 + l_suppkey) END) || ' > ' ||
         (CASE WHEN l_returnflag <> 'R' THEN '93.184.' || (l_suppkey % 7) || '.' || (l_suppkey % 200) || '.443' ELSE '10.137.0.' || (10 + l_suppkey % 4) || '.' || (40000 + l_suppkey) END) ||

@@ -2,43 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapeflow.functions.net import endpoint_id, flow_id, is_private_v4
+from shapeflow.functions.net import endpoint_id, flow_id, ipv4_number, is_private_number
 
 #: Groups: time, source, source port, destination, destination port, tcp, its length, UDP, its length. Fixed value.
 LINE = r"^(\d+\.\d+) IP6? ([0-9a-f.:]+)\.(\d+) > ([0-9a-f.:]+)\.(\d+): (?:(tcp) (\d+)|(UDP), length (\d+))"
 
 
+MARK = "\x01"
+
+
 def parse(lines: DataFrame) -> DataFrame:
-    """``lines`` (iface, seq, value) with matched, t_ms, src, sport, dst, dport, proto, length; null where a line does not match."""
-    group = lambda i: F.nullif(F.regexp_extract("value", LINE, i), F.lit(""))
-    return lines.select(
-        "iface", "seq", F.coalesce(F.col("value").rlike(LINE), F.lit(False)).alias("matched"),
-        (group(1).try_cast("double") * 1000).cast("long").alias("t_ms"),
-        group(2).alias("src"), group(3).try_cast("int").alias("sport"), group(4).alias("dst"), group(5).try_cast("int").alias("dport"),
-        F.when(group(6).isNotNull(), 6).when(group(8).isNotNull(), 17).alias("proto"),
-        F.coalesce(group(7).try_cast("long"), group(9).try_cast("long"), F.lit(0)).alias("length"),
-    )
+    """``lines`` (iface, seq, value) with matched, t_ms, src, sport, dst, dport, proto, length; null where a line does not match.
+
+    The pattern is matched once a line: its groups, parted by a mark, leave through a generator,
+    which no later filter or column is pushed through.
+    """
+    groups = F.split(F.regexp_replace(F.translate("value", MARK, ""), f"(?s){LINE}.*", MARK.join(f"${i}" for i in range(1, 10))), MARK)
+    g = lines.select("iface", "seq", F.explode(F.array(groups)).alias("g"))
+    group = lambda i: F.nullif(F.get("g", i - 1), F.lit(""))
+    fields = g.withColumn("matched", F.coalesce(F.size("g") == 9, F.lit(False)))
+    return fields.select("iface", "seq", "matched", *(F.when(F.col("matched"), c).alias(name) for name, c in (
+        ("t_ms", (group(1).try_cast("double") * 1000).cast("long")), ("src", group(2)), ("sport", group(3).try_cast("int")), ("dst", group(4)), ("dport", group(5).try_cast("int")),
+        ("proto", F.when(group(6).isNotNull(), 6).when(group(8).isNotNull(), 17)))),
+        F.when(F.col("matched"), F.coalesce(group(7).try_cast("long"), group(9).try_cast("long"))).alias("_length")).withColumn("length", F.coalesce("_length", F.lit(0))).drop("_length")
+
 
+def line_counts(lines: DataFrame, local: list[str] | None = None) -> DataFrame:
+    """Per link: all lines, and those that give no packet, be it that they don't match or that neither host is the profiled side."""
+    p = with_direction(parse(lines), local)
+    return p.groupBy("iface").agg(F.count("*").alias("total_lines"), F.count_if(F.col("out").isNull()).alias("skipped_lines"))
 
-def line_counts(lines: DataFrame) -> DataFrame:
-    return parse(lines).groupBy("iface").agg(F.count("*").alias("total_lines"), F.count_if(~F.col("matched")).alias("skipped_lines"))
 
+def with_direction(parsed: DataFrame, local: list[str] | None = None) -> DataFrame:
+    """``out``: true outwards, false inwards, null for packets of other hosts: a local address decides, else the private side is the local one.
 
-def outbound(src: Column, dst: Column, local: list[str]) -> Column:
-    """True out, false in, null for packets of other hosts: a local address decides, else the private side is the local one."""
-    return (
-        F.when(src.isin(local), True).when(dst.isin(local), False)
-        .when(is_private_v4(src) & ~is_private_v4(dst), True)
-        .when(is_private_v4(dst) & ~is_private_v4(src), False)
+    Addresses become numbers once, behind a generator.
+    """
+    numbers = F.explode(F.array(F.struct(ipv4_number(F.col("src")).alias("src"), ipv4_number(F.col("dst")).alias("dst"))))
+    src, dst = is_private_number(F.col("_n.src")), is_private_number(F.col("_n.dst"))
+    out = (
+        F.when(F.col("src").isin(local or []), True).when(F.col("dst").isin(local or []), False)
+        .when(src & ~dst, True).when(dst & ~src, False)
     )
+    return parsed.select("*", numbers.alias("_n")).withColumn("out", out).drop("_n")
 
 
 def to_packets(lines: DataFrame, salt: str, local: list[str] | None = None, keep_ips: bool = False) -> DataFrame:
     """Packets of the profiled side: addresses and ports become salted ids, and stay as a label only with ``keep_ips``."""
-    p = parse(lines).filter("matched").withColumn("out", outbound(F.col("src"), F.col("dst"), local or [])).filter(F.col("out").isNotNull())
+    p = with_direction(parse(lines).filter("matched"), local).filter(F.col("out").isNotNull())
     side = lambda mine, other: F.when(F.col("out"), F.col(mine)).otherwise(F.col(other))
     p = p.select("*", side("src", "dst").alias("local_ip"), side("sport", "dport").alias("local_port"), side("dst", "src").alias("remote_ip"), side("dport", "sport").alias("remote_port"))
     label = F.concat(F.concat_ws(":", "local_ip", "local_port"), F.lit(" > "), F.concat_ws(":", "remote_ip", "remote_port")) if keep_ips else F.lit(None).cast("string")
@@ -53,3 +67,16 @@ def routed_hosts(routes: DataFrame) -> DataFrame:
     """(iface, host) of a route table (iface, dst): plain hosts and whole-length networks, not the default route."""
     dst = F.col("dst")
     return routes.filter((dst != "") & (dst != "default") & (~dst.contains("/") | dst.endswith("/32") | dst.endswith("/128"))).select("iface", F.split(dst, "/")[0].alias("host")).distinct()
+
+
+def configured_hosts(nets: list[str]) -> list[str]:
+    """Hosts named by configured networks: plain addresses and whole-length networks, without their length."""
+    return sorted({net.split("/")[0] for net in nets if "/" not in net or net.endswith(("/32", "/128"))})
+
+
+def allowed_links(rows: DataFrame, prefix: str, also: tuple[str, ...] = (), denied: tuple[str, ...] = ("eth", "lo")) -> DataFrame:
+    """Rows of links with the prefix, or named in ``also``; links with a denied prefix stay out even if they are named."""
+    ok = F.col("iface").startswith(prefix) | F.col("iface").isin(*also)
+    for x in denied:
+        ok = ok & ~F.col("iface").startswith(x)
+    return rows.filter(ok)

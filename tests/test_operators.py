@@ -21,8 +21,8 @@ def test_parse_and_orient(spark):
     assert [(r["out"], r["proto"], r["length"]) for r in rows] == [(True, 6, 1448), (False, 6, 0), (True, 17, 56)]
     assert rows[0]["flow"] == rows[1]["flow"] and len(rows[0]["flow"]) == 16 and rows[0]["label"] == "10.137.0.10:51000 > 203.0.113.5:443"
     assert all(r["label"] is None for r in packet_log.to_packets(df, "s", ["10.137.0.10"]).collect())
-    counts = packet_log.line_counts(df).first()
-    assert (counts["total_lines"], counts["skipped_lines"]) == (6, 2)
+    counts = packet_log.line_counts(df, ["10.137.0.10"]).first()
+    assert (counts["total_lines"], counts["skipped_lines"]) == (6, 3)  # ICMP, garbage, foreign hosts
 
 
 def test_private_addresses(spark):
