@@ -136,3 +136,8 @@ def prose() -> Column:
 
     parts = re.split(r"\{(\w+)\}", PROSE)
     return F.concat(*(F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+
+def numbers_free(text: Column) -> Column:
+    """The text itself; a text that holds a digit fails the query."""
+    return F.when(text.rlike(r"\p{Nd}"), F.raise_error(F.lit("rendered shape contains digits")).cast("string")).otherwise(text)

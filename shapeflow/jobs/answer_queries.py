@@ -83,6 +83,7 @@ QUERIES = {
     "a7_w14_top_smoothed": lambda s, d: _round(A.ranked(A.smoothed(derived.answers(s, d), KEYS)).drop("p"), "smoothed"),
     "a5_a6_w9_w10_episodes": lambda s, d: _round(A.episodes(derived.answers(s, d), KEYS).drop("anonymity_set"), "entropy", "bits", "gain", "total_bits", "raw_total_bits"),
     "a12_session_totals": lambda s, d: _round(A.session_totals(A.episodes(derived.answers(s, d), KEYS)), "total_bits", "raw_total_bits"),
+    "a12_all_links": lambda s, d: _round(A.all_links(A.session_totals(A.episodes(derived.answers(s, d), KEYS))), "total_bits"),
     "a9_w11_rising_edges": lambda s, d: A.rising_edges(derived.answers(s, d)),
     "w13_latest_events": lambda s, d: A.latest_events(A.rising_edges(derived.answers(s, d))),
     "a8_w12_histories": lambda s, d: A.histories(derived.answers(s, d)).select("iface", "tick", F.array_join(F.transform("confidences", lambda x: F.format_number(x, 2)), ",").alias("confidences"), F.array_join(F.transform("intensities", lambda x: F.format_number(x, 2)), ",").alias("intensities")),
@@ -106,6 +107,7 @@ ORACLES = {
     "a7_w14_top_smoothed": f"{SMOOTH_SQL} SELECT iface, tick, activity, round(smoothed, 6) AS smoothed, rank FROM rk WHERE rank <= 5",
     "a5_a6_w9_w10_episodes": f"{SMOOTH_SQL} SELECT iface, tick, round(entropy, 6) AS entropy, round(bits, 6) AS bits, smoothed_top, episode, round(gain, 6) AS gain, round(total_bits, 6) AS total_bits, round(raw_total_bits, 6) AS raw_total_bits FROM ep",
     "a12_session_totals": f"{SMOOTH_SQL} SELECT iface, round(arg_max(total_bits, tick), 6) AS total_bits, round(arg_max(raw_total_bits, tick), 6) AS raw_total_bits, max(episode) AS episodes, count(*) AS answered_ticks FROM ep GROUP BY iface",
+    "a12_all_links": f"{SMOOTH_SQL} SELECT count(*) AS links, round(sum(b), 6) AS total_bits FROM (SELECT arg_max(total_bits, tick) AS b FROM ep GROUP BY iface)",
     "a9_w11_rising_edges": f"{_BASE}, {_NOULS} SELECT * FROM ev",
     "w13_latest_events": f"{_BASE}, {_NOULS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY iface ORDER BY tick DESC, kind) AS rank FROM ev) WHERE rank <= 30",
     "a8_w12_histories": f"{_BASE} SELECT iface, tick, array_to_string(list('0.70') OVER w, ',') AS confidences, array_to_string(list(format('{{:.2f}}', event_id % 5 / 4)) OVER w, ',') AS intensities FROM base WINDOW w AS (PARTITION BY iface ORDER BY tick ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",

@@ -96,7 +96,7 @@ def rhythm(spark, sf):
 
 def shapes_with_rhythm(spark, sf):
     m = M.measures(segs(spark, sf))
-    return M.shapes(m, M.minute_rhythm(m)).filter(~F.col("text").rlike(r"\d"))
+    return M.shapes(m, M.minute_rhythm(m)).withColumn("text", L.numbers_free(F.col("text")))
 
 
 def _shape_sql() -> str:
@@ -139,7 +139,7 @@ def records(spark, sf):
     return derived.table(spark, sf, "lineitem").selectExpr(
         "concat('vif', l_suppkey % 3) AS iface", "(l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) AS bigint) AS arrival_seq",
         "concat('conv', l_suppkey % 40, '-', l_linenumber % 4) AS conv_key",
-        "CASE WHEN l_partkey % 2 = 0 THEN concat('10.137.0.', l_suppkey % 40) ELSE concat('8.8.', l_linenumber % 4, '.', l_suppkey % 40) END AS src_ip", "CASE WHEN l_partkey % 2 = 1 THEN concat('10.137.0.', l_suppkey % 40) ELSE concat('8.8.', l_linenumber % 4, '.', l_suppkey % 40) END AS dst_ip",
+        "CASE WHEN l_partkey % 2 = 0 THEN concat('10.137.0.', l_suppkey % 40) ELSE concat('8.8.', l_linenumber % 4, '.', l_suppkey % 40) END AS src_ip", "CASE WHEN l_partkey % 31 = 0 THEN '239.192.255.254' WHEN l_partkey % 2 = 1 THEN concat('10.137.0.', l_suppkey % 40) ELSE concat('8.8.', l_linenumber % 4, '.', l_suppkey % 40) END AS dst_ip",
         "5000 AS src_port", "CASE WHEN l_partkey % 31 = 0 THEN 65530 ELSE 5000 END AS dst_port", "element_at(array(6, 17, 6, 1), cast(l_orderkey % 4 + 1 AS int)) AS protocol",
         "cast(l_quantity % 7 AS bigint) AS src2dst_packets", "cast(l_quantity % 5 AS bigint) AS dst2src_packets", "cast(l_quantity % 3 = 0 AS int) AS src2dst_syn_packets", "cast(l_quantity % 4 = 0 AS int) AS dst2src_syn_packets",
         "cast(l_quantity % 7 + l_quantity % 5 AS bigint) AS bidirectional_packets", "cast((l_quantity % 7 + l_quantity % 5) * (l_partkey % 120) AS bigint) AS bidirectional_bytes", "cast(l_partkey % 3 AS int) AS bidirectional_rst_packets",
@@ -147,7 +147,7 @@ def records(spark, sf):
 
 
 RECORDS_SQL = """rec AS (SELECT 'vif' || (l_suppkey % 3) AS iface, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS arrival_seq, 'conv' || (l_suppkey % 40) || '-' || (l_linenumber % 4) AS conv_key,
-  CASE WHEN l_partkey % 2 = 0 THEN '10.137.0.' || (l_suppkey % 40) ELSE '8.8.' || (l_linenumber % 4) || '.' || (l_suppkey % 40) END AS src_ip, CASE WHEN l_partkey % 2 = 1 THEN '10.137.0.' || (l_suppkey % 40) ELSE '8.8.' || (l_linenumber % 4) || '.' || (l_suppkey % 40) END AS dst_ip,
+  CASE WHEN l_partkey % 2 = 0 THEN '10.137.0.' || (l_suppkey % 40) ELSE '8.8.' || (l_linenumber % 4) || '.' || (l_suppkey % 40) END AS src_ip, CASE WHEN l_partkey % 31 = 0 THEN '239.192.255.254' WHEN l_partkey % 2 = 1 THEN '10.137.0.' || (l_suppkey % 40) ELSE '8.8.' || (l_linenumber % 4) || '.' || (l_suppkey % 40) END AS dst_ip,
   5000 AS src_port, CASE WHEN l_partkey % 31 = 0 THEN 65530 ELSE 5000 END AS dst_port, ([6, 17, 6, 1])[l_orderkey % 4 + 1] AS protocol, CAST(l_quantity % 7 AS BIGINT) AS sp, CAST(l_quantity % 5 AS BIGINT) AS dp, (l_quantity % 3 = 0) AS ss, (l_quantity % 4 = 0) AS ds,
   CAST(l_quantity % 7 + l_quantity % 5 AS BIGINT) AS n, CAST((l_quantity % 7 + l_quantity % 5) * (l_partkey % 120) AS BIGINT) AS bytes, CAST(l_partkey % 3 AS INT) AS rst FROM lineitem),
 dd AS (SELECT *, src_ip || ':' || src_port AS s, dst_ip || ':' || dst_port AS d FROM rec),

@@ -98,9 +98,29 @@ def answered(spine: DataFrame, answers: DataFrame) -> DataFrame:
     return spine.join(seen, ["iface", "tick"], "left").groupBy("iface").agg(F.count("_a").alias("answered_ticks"), F.count_if(F.col("_a").isNull()).alias("dropped_ticks"))
 
 
-def model_state(rows: DataFrame) -> DataFrame:
-    """(iface, tick, state): the record that a model is asked with, as JSON."""
-    return rows.select("iface", "tick", F.to_json(F.struct(F.col("text").alias("traffic"), F.coalesce("previous", F.lit("none yet")).alias("previous_answers"))).alias("state"))
+def all_links(totals: DataFrame) -> DataFrame:
+    """(links, total_bits): bits of all links' last ticks together."""
+    return totals.agg(F.count("*").alias("links"), F.coalesce(F.sum("total_bits"), F.lit(0.0)).alias("total_bits"))
+
+
+def flags(nouls: Column, at: float = EVENT_AT) -> Column:
+    """Names, in order, of the kinds whose probability is ``at`` or more."""
+    return F.array_sort(F.map_keys(F.map_filter(nouls, lambda k, p: p >= at)))
+
+
+def normalised(score: Column, levels: int) -> Column:
+    """A score of 0 to levels - 1 as a share of the highest."""
+    return score / F.lit(float(max(1, levels - 1)))
+
+
+def model_state(rows: DataFrame, legend: str | None = None) -> DataFrame:
+    """(iface, tick, state): the record that a model is asked with, as JSON; with a legend, that of packet logs."""
+    before = F.coalesce("previous", F.lit("none yet"))
+    if legend is None:
+        fields = F.struct(F.col("text").alias("traffic_shape"), before.alias("previous_window_top_answers"))
+    else:
+        fields = F.struct(F.lit(legend).alias("legend"), F.col("text").alias("packet_log"), before.alias("previous_batch_top_answers"))
+    return rows.select("iface", "tick", F.to_json(fields).alias("state"))
 
 
 def score(states: DataFrame, ask: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapeflow.operators.ranks import numbered_within
+
 WARM_UP_S = 12
 #: Scenario -> expected activity.
 EXPECT = {"browsing": "web_browsing", "download": "large_file_download", "upload": "large_file_upload", "wallet": "wallet_polling_rpc", "chat": "chat", "torrent": "torrent", "ssh_typing": "ssh", "idle": "idle"}
@@ -29,25 +31,27 @@ def known_samples(samples: DataFrame, keys: DataFrame, every: int = 1) -> DataFr
     s = samples.withColumn("label", activity_key(F.col("label")))
     if not s.join(F.broadcast(keys.select("key")), F.col("label") == F.col("key"), "left_anti").isEmpty():
         raise ValueError("samples with labels that the catalog does not have")
-    return s.withColumn("_n", F.row_number().over(Window.partitionBy("mode").orderBy("seq"))).filter((F.col("_n") - 1) % every == 0).drop("_n")
+    return s if every == 1 else numbered_within(s, "mode", "seq", "_n").filter((F.col("_n") - 1) % every == 0).drop("_n")
 
 
 def as_of_scenario(ticks: DataFrame, log: DataFrame, warm_up: int = WARM_UP_S) -> DataFrame:
     """Ticks (tag, secs, ...) with the scenario running then: the last start of their tag at or before them.
 
-    Ticks before the first start, or within ``warm_up`` seconds of a start, are dropped. Both
-    tables are laid together in one order of time within a tag and a cell of an hour is not
-    needed: a log has a few starts only, so each start's interval is joined by range.
+    Ticks before the first start, or within ``warm_up`` seconds of a start, are dropped. Each
+    start's interval is joined by tag and range; Spark broadcasts the log where its size is
+    under the session's threshold and sorts both by tag where it is not.
     """
     ends = F.lead("ts_s").over(Window.partitionBy("tag").orderBy("ts_s"))
     spans = log.withColumn("until", F.coalesce(ends, F.lit(1 << 30)))
-    t = ticks.join(F.broadcast(spans.withColumnRenamed("tag", "_tag")), (F.col("tag") == F.col("_tag")) & (F.col("secs") >= F.col("ts_s")) & (F.col("secs") < F.col("until")))
+    t = ticks.join(spans.withColumnRenamed("tag", "_tag"), (F.col("tag") == F.col("_tag")) & (F.col("secs") >= F.col("ts_s")) & (F.col("secs") < F.col("until")))
     return t.filter(F.col("secs") - F.col("ts_s") >= warm_up).drop("_tag", "until")
 
 
 def with_expected(rows: DataFrame) -> DataFrame:
+    """``expected``, the activity of the row's scenario; a scenario that has none fails the query."""
     pairs = F.create_map(*(F.lit(x) for kv in EXPECT.items() for x in kv))
-    return rows.withColumn("expected", pairs[F.col("scenario")])
+    known = F.try_element_at(pairs, F.col("scenario"))
+    return rows.withColumn("expected", F.coalesce(known, F.raise_error(F.concat(F.lit("unknown scenario: "), F.coalesce("scenario", F.lit("null")))).cast("string")))
 
 
 def p_expected(probabilities: Column, expected: Column) -> Column:

@@ -80,3 +80,12 @@ def allowed_links(rows: DataFrame, prefix: str, also: tuple[str, ...] = (), deni
     for x in denied:
         ok = ok & ~F.col("iface").startswith(x)
     return rows.filter(ok)
+
+
+def captures(**links: DataFrame) -> DataFrame:
+    """Rows of several captures one behind another, each under its link's name."""
+    out = None
+    for name, rows in links.items():
+        own = rows.withColumn("iface", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -25,6 +25,27 @@ def hopping_counts(segments: DataFrame, late: str = "15 seconds") -> DataFrame:
     return ticks.withWatermark("tick_end", late).groupBy("iface", "tick_end").agg(F.count("*").alias("segments"), F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"))
 
 
+def hopping_measures(segments: DataFrame, late: str = "15 seconds") -> DataFrame:
+    """Per link and tick, the measures of hopping windows that are sums over segments or sets of their ids, as the batch
+    measures define them. A window's ids are kept until the watermark passes its tick. Append mode."""
+    first = f"cast(ceil((last_ms - {LAG_MS}) / {STEP_MS}) AS bigint) * {STEP_MS}"
+    last = f"cast(floor((last_ms + {WINDOW_MS}) / {STEP_MS}) AS bigint) * {STEP_MS}"
+    ticks = segments.withColumn("tick", F.explode(F.expr(f"sequence({first}, {last}, {STEP_MS}L)"))).withColumn("tick_end", F.timestamp_millis("tick"))
+    n = F.col("up_packets") + F.col("down_packets")
+    gaps = F.when(n > 1, n - 1).otherwise(0)
+    share = lambda of, whole: F.coalesce(of / F.nullif(whole, F.lit(0)), F.lit(0.0))
+    sums = ticks.withWatermark("tick_end", late).groupBy("iface", "tick_end").agg(
+        F.size(F.collect_set("key")).alias("flows"), F.size(F.collect_set("endpoint")).alias("endpoints"), *(F.sum(c).alias(c) for c in ("up_bytes", "down_bytes", "up_packets", "down_packets")),
+        F.sum(F.col("mean_ps") * n).alias("_ps"), F.sum((F.col("stddev_ps") * F.col("stddev_ps") + F.col("mean_ps") * F.col("mean_ps")) * n).alias("_ps2"), F.sum(F.col("mean_piat_ms") * gaps).alias("_piat"), F.sum(gaps).alias("_gaps"),
+        *(F.sum(F.when(F.col("protocol") == k, n).otherwise(0)).alias(f"_{k}") for k in (6, 17)))
+    total, mean = F.col("up_packets") + F.col("down_packets"), share(F.col("_ps"), F.col("up_packets") + F.col("down_packets"))
+    return sums.select(
+        "iface", "tick_end", "flows", "endpoints", "up_bytes", "down_bytes", "up_packets", "down_packets", mean.alias("mean_ps"),
+        F.when(mean > 0, F.sqrt(F.greatest(share(F.col("_ps2"), total) - mean * mean, F.lit(0.0))) / mean).otherwise(0.0).alias("ps_cv"), share(F.col("_piat"), F.col("_gaps")).alias("mean_piat_ms"),
+        share(F.col("_6"), total).alias("tcp_frac"), share(F.col("_17"), total).alias("udp_frac"),
+        ((F.col("up_bytes") + F.col("down_bytes")) / (WINDOW_MS / 1000)).alias("bytes_per_s"), (total / (WINDOW_MS / 1000)).alias("packets_per_s"))
+
+
 def tumbling_batches(packets: DataFrame, length: str = "2 seconds", late: str = "300 milliseconds") -> DataFrame:
     """Per link and batch: packets and bytes; a batch is drained ``late`` behind its end."""
     return event_time(packets).withWatermark("ts", late).groupBy("iface", F.window("ts", length)).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes")).select("iface", F.col("window.end").alias("batch_end"), "packets", "bytes")
@@ -41,17 +62,27 @@ def first_contacts(packets: DataFrame, late: str = "1 hour") -> DataFrame:
     return event_time(packets).withWatermark("ts", late).dropDuplicatesWithinWatermark(["iface", "endpoint"]).select("iface", "endpoint", "ts")
 
 
-def drop_shared(upstream: DataFrame, downstream: DataFrame, memory: str = "300 seconds", hold: str = "1500 milliseconds") -> DataFrame:
-    """Upstream segments without a downstream copy in memory; the hold keeps a segment until its copy can have come.
+def without_noted(segments: DataFrame, noted: DataFrame, memory: str, hold: str = "1500 milliseconds") -> DataFrame:
+    """Segments whose flow is not noted from ``memory`` before to ``hold`` behind; a segment waits until its note can have come.
 
     An outer join with time bounds, as streams have no anti join.
     """
-    u = event_time(upstream, "last_ms").withWatermark("ts", hold).alias("u")
-    d = event_time(downstream, "last_ms").withWatermark("ts", hold).select(F.col("key").alias("d_key"), F.col("ts").alias("d_ts")).alias("d")
+    u = event_time(segments, "last_ms").withWatermark("ts", hold).alias("u")
+    d = event_time(noted, "last_ms").withWatermark("ts", hold).select(F.col("key").alias("d_key"), F.col("ts").alias("d_ts")).alias("d")
     on = F.expr(f"key = d_key AND d_ts >= ts - INTERVAL {memory} AND d_ts <= ts + INTERVAL {hold}")
     return u.join(d, on, "left_outer").filter(F.col("d_key").isNull()).drop("d_key", "d_ts")
 
 
+def drop_shared(upstream: DataFrame, downstream: DataFrame) -> DataFrame:
+    """Upstream segments without a downstream copy, which is remembered for 300 seconds."""
+    return without_noted(upstream, downstream, "300 seconds")
+
+
+def drop_own(segments: DataFrame, own: DataFrame) -> DataFrame:
+    """Segments of none of the profiler's own flows, which are remembered for 600 seconds."""
+    return without_noted(segments, own, "600 seconds")
+
+
 class LinkState(StatefulProcessor):
     """Smoothed answers, episodes and edges of one link, tick by tick; a new link is a new key."""
 
@@ -99,15 +130,16 @@ def link_states(answers: DataFrame, options: int) -> DataFrame:
 
 
 class FirstSeen(StatefulProcessor):
-    """When each flow was first seen since it was last forgotten; forgetting is by event time, so late rows do not revive it."""
+    """When each flow was first seen since it was last forgotten; forgetting is by event time, so late rows do not revive it.
+    The state of a flow of which no row has come for ``keep_ms`` by the clock is dropped."""
 
     OUT = "iface string, key string, last_ms long, first_seen_ms long"
 
-    def __init__(self, forget_ms: int = 20_000) -> None:
-        self.forget_ms = forget_ms
+    def __init__(self, forget_ms: int = 20_000, keep_ms: int = 3_600_000) -> None:
+        self.forget_ms, self.keep_ms = forget_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("flow", "first long, last long")
+        self.state = handle.getValueState("flow", "first long, last long", self.keep_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, last = self.state.get() if self.state.exists() else (None, None)
@@ -125,4 +157,4 @@ class FirstSeen(StatefulProcessor):
 
 
 def first_seen(segments: DataFrame) -> DataFrame:
-    return segments.select("iface", "key", "first_ms", "last_ms").groupBy("iface", "key").transformWithStateInPandas(FirstSeen(), FirstSeen.OUT, "append", "none")
+    return segments.select("iface", "key", "first_ms", "last_ms").groupBy("iface", "key").transformWithStateInPandas(FirstSeen(), FirstSeen.OUT, "append", "processingTime")

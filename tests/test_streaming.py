@@ -68,6 +68,40 @@ def test_sessions_and_first_contacts(spark, streamed):
     assert sessions and all((r["iface"], r["packets"], r["start"]) in islands for r in sessions)
 
 
+def test_first_contacts_equal_batch(spark, streamed):
+    packets = derived.sparse_packets(spark, SF)
+    got = {(r["iface"], r["endpoint"], r["ts"]) for r in streamed(packets, flows.first_contacts, order="t_ms").collect()}
+    assert got == {(r["iface"], r["endpoint"], r["ts"]) for r in packets.groupBy("iface", "endpoint").agg(F.timestamp_millis(F.min("t_ms")).alias("ts")).collect()}
+
+
+def test_hopping_measures_equal_batch(spark, streamed):
+    from shapeflow.operators import measures as M
+
+    segs = S.segments(derived.sparse_packets(spark, SF)).filter("iface = 'vif0'").selectExpr("* except (first_ms, last_ms)", "first_ms + 1000000 AS first_ms", "last_ms + 1000000 AS last_ms")  # a watermark starts at 0
+    end = segs.agg(F.max("last_ms")).first()[0] + 100_000  # a row of another link, which closes all ticks before it
+    closing = segs.limit(1).withColumns({"iface": F.lit("later"), "first_ms": F.lit(end), "last_ms": F.lit(end)})
+    got = {(r["iface"], r["tick_end"]): r for r in streamed(segs.unionByName(closing), flows.hopping_measures).collect()}
+    batch = M.measures(segs).filter("flows > 0").withColumn("tick_end", F.timestamp_millis("tick_end")).collect()
+    assert set(got) == {(r["iface"], r["tick_end"]) for r in batch}
+    for r in batch:
+        own = got[r["iface"], r["tick_end"]].asDict()
+        assert all(own[c] == pytest.approx(r[c], rel=1e-6, abs=1e-6) for c in own if c not in ("iface", "tick_end")), r
+
+
+@pytest.mark.parametrize("drop, memory", [(flows.drop_shared, 300_000), (flows.drop_own, 600_000)])
+def test_noted_flows_equal_batch(spark, tmp_path, drop, memory):
+    segs = [("vif0", f"f{k % 7}", 1_000 * k * k) for k in range(60)]
+    noted = [("x", f"f{k % 5}", 100_000 * k + 700) for k in range(0, 30, 3)]
+    far = 10**8  # closes the join for all rows before it
+    for name, rows in (("a", segs), ("b", noted)):
+        spark.createDataFrame([*rows, ("end", name, far)], "iface string, key string, last_ms long").coalesce(1).write.parquet(str(tmp_path / name))
+    stream = lambda name: spark.readStream.schema("iface string, key string, last_ms long").parquet(str(tmp_path / name))
+    query = drop(stream("a"), stream("b")).writeStream.option("checkpointLocation", str(tmp_path / "check")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r["key"], r["last_ms"]) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["last_ms"] < far)
+    assert got == sorted((k, t) for _, k, t in segs if not any(k == x and t - memory <= n <= t + 1_500 for _, x, n in noted))
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "vif0", "ssh", 0.5), (2, "vif0", "", 0.1), (3, "vif1", None, 0.2)], "tick long, iface string, label string, p double")
     sinks.write_samples(rows, str(tmp_path / "s"))
