@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,10 +16,25 @@ from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_bat
 from shapeflow.llm.ngram_model import code_bucket, code_buckets, fit_logistic, fit_platt, sigmoid
 
 BITS = 20
+MASKED, SYMBOLS = re.compile(r"[^\W\d_]\*+[^\W\d_]"), re.compile(r"[^\W\d_][*#$%&]{3}")
 PUNCTUATION = ".,;:!?*&%$#|\"'()[]<>-"
 #: A term is a word or one of its beginnings of these lengths.
 PREFIXES = (4, 5)
-WORD_VOTERS = 4
+#: Written lexicons, each a voter.
+LEXICONS = {  # words that are common in another language here ("die", "dick") are left out
+    "insults": "idiot idiots moron morons imbecile fool dumb dumbass stupid retard dunce halfwit nitwit simpleton airhead blockhead ignoramus",
+    "contempt": "trash garbage worthless useless pathetic disgusting scum vermin filth filthy rubbish despicable repulsive lowlife parasite subhuman",
+    "mockery": "clown loser losers coward crybaby laughable ridiculous ugly fatso creep weirdo wimp",
+    "threats": "kill murder strangle stab shoot exterminate behead slaughter",
+    "profanity": "shit bullshit fuck fucking fucker bitch bastard asshole crap damn slut whore prick cunt piss",
+    "german": "idiot trottel dumm dummkopf depp arsch arschloch abschaum dreck wertlos widerlich versager hure scheisse scheiße schwein vollidiot",
+    "french": "idiot imbécile crétin stupide débile ordure salaud connard connasse putain merde minable déchet abruti",
+    "spanish": "idiota imbécil estúpido estúpida tonto basura inútil asqueroso asquerosa mierda puta cabrón pendejo perdedor escoria",
+}
+#: Pattern voters, in the order of their bits.
+PATTERNS = ("shouting", "exclaiming", "masked words", "symbols on words")
+#: Voters over learned words, and over learned beginnings of each length.
+WORD_VOTERS, PREFIX_VOTERS = 4, 2
 #: Words kept in a task's table of word scores; beyond it the table starts anew.
 TABLE_WORDS = 400_000
 
@@ -27,94 +43,161 @@ def word_set(text: str) -> set[str]:
     return set(text.lower().split())
 
 
+def word_code(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) & ~3 & 0xFFFFFFFF
+
+
 def word_terms(chunk: str) -> list[int]:
     """32-bit codes of a word and its beginnings; the low two bits tell the kind (0 word, 1 and 2 beginnings)."""
     word = chunk.strip(PUNCTUATION)
     if not word:
         return []
-    out = [zlib.crc32(word.encode("utf-8", "replace")) & ~3]
-    return out + [zlib.crc32(word[:n].encode("utf-8", "replace")) & ~3 | k for k, n in enumerate(PREFIXES, 1) if len(word) > n]
+    return [word_code(word)] + [zlib.crc32(word[:n].encode("utf-8", "replace")) & ~3 | k for k, n in enumerate(PREFIXES, 1) if len(word) > n]
 
 
-def shouting(text: str) -> bool:
-    """Pattern voter: more than half of the letters are capitals, or exclamation marks on one word in ten."""
+def pattern_bits(text: str) -> int:
+    """One bit for each of PATTERNS: more capitals than small letters; exclamation marks on one word in ten; a masked
+    word (letters around asterisks) ; three symbols behind one word in ten or more."""
     upper, lower = sum(map(str.isupper, text)), sum(map(str.islower, text))
-    return upper > lower or text.count("!") * 10 > text.count(" ") + 10
+    words = text.count(" ") + 1
+    return (upper > lower) | (text.count("!") * 10 > words + 9) << 1 | (MASKED.search(text) is not None) << 2 | (len(SYMBOLS.findall(text)) * 10 > words + 9) << 3
 
 
 @dataclass
 class LabelModel:
-    """P(vote | class) of each voter, prior, and each voter's weight after discounting correlated ones."""
+    """Prior, and P(vote | class, vote of the voter it is tied to) of each voter; votes are 0 abstain, 1 clean, 2 toxic.
+
+    A voter that is tied to none has equal rows. The ties form a forest, so the product over
+    voters is a proper joint distribution of all votes given the class, correlations included.
+    """
 
     prior: float
-    chances: np.ndarray  # voter, class, vote (abstain, clean, toxic)
-    weights: np.ndarray
+    parents: list[int | None]
+    chances: np.ndarray  # voter, class, vote of the parent, vote
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         logs = np.log(self.chances)
-        gain = logs[:, 1, :] - logs[:, 0, :]
-        total = sum(self.weights[v] * gain[v][votes[:, v]] for v in range(votes.shape[1]))
-        return 1 / (1 + np.exp(-np.clip(total + np.log(self.prior / (1 - self.prior)), -40, 40)))
-
-
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation-maximisation over voters' accuracies, with correlations given the class.
-
-    Voters that agree with each other more than their accuracies explain share one vote: a
-    voter's weight is 1 / (1 + sum of its positive residual correlations with others).
+        total = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for v, parent in enumerate(self.parents):
+            before = votes[:, parent] if parent is not None else np.zeros(len(votes), dtype=np.int64)
+            total += (logs[v, 1] - logs[v, 0])[before, votes[:, v]]
+        return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+
+    def accuracies(self, votes: np.ndarray) -> np.ndarray:
+        """Of each voter: how often, by the model's posterior, the class is the one it votes for, where it votes; null where it never does."""
+        q = self.posterior(votes)
+        right = np.where(votes == 2, q[:, None], 1 - q[:, None]) * (votes > 0)
+        return right.sum(axis=0) / np.where((votes > 0).any(axis=0), (votes > 0).sum(axis=0), np.nan)
+
+
+def joint_counts(a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """(class, vote of a, vote of b): expected numbers of rows."""
+    cell = a * 3 + b
+    return np.stack([np.bincount(cell, w, minlength=9).reshape(3, 3) for w in (1 - q, q)])
+
+
+def chance_tables(votes: np.ndarray, q: np.ndarray, parents: list[int | None]) -> np.ndarray:
+    out = np.empty((votes.shape[1], 2, 3, 3))
+    for v, parent in enumerate(parents):
+        own = np.stack([np.bincount(votes[:, v], w, minlength=3) + 0.5 for w in (1 - q, q)])
+        own /= own.sum(axis=1, keepdims=True)
+        out[v] = own[:, None, :]
+        if parent is not None:  # seldom seen votes of the parent fall back on the voter's own chances
+            table = joint_counts(votes[:, parent], votes[:, v], q) + 2 * own[:, None, :]
+            out[v] = table / table.sum(axis=2, keepdims=True)
+    return out
+
+
+def tied_parents(votes: np.ndarray, q: np.ndarray, least: float = 30.0) -> list[int | None]:
+    """The forest of strongest ties: pairs by their mutual information given the class, strongest first, while it is
+    significant (twice the rows' log-likelihood ratio over ``least``) and closes no circle."""
+    k, ties = votes.shape[1], []
+    for v in range(k):
+        for w in range(v + 1, k):
+            table = joint_counts(votes[:, v], votes[:, w], q) + 1e-9
+            apart = table.sum(axis=2, keepdims=True) * table.sum(axis=1, keepdims=True) / table.sum(axis=(1, 2), keepdims=True)
+            gain = 2 * float((table * np.log(table / apart)).sum())
+            if gain > least:
+                ties.append((-gain, v, w))
+    tree, near = list(range(k)), {v: [] for v in range(k)}
+
+    def root(v: int) -> int:
+        while tree[v] != v:
+            v = tree[v]
+        return v
+
+    for _, v, w in sorted(ties):
+        if root(v) != root(w):
+            tree[root(w)] = root(v)
+            near[v].append(w)
+            near[w].append(v)
+    parents: list[int | None] = [None] * k
+    seen: set[int] = set()
+    for start in range(k):
+        queue = [start] if start not in seen else []
+        seen.update(queue)
+        while queue:
+            v = queue.pop()
+            for w in near[v]:
+                if w not in seen:
+                    seen.add(w)
+                    parents[w] = v
+                    queue.append(w)
+    return parents
+
+
+def fit_label_model(votes: np.ndarray, rounds: int = 25) -> LabelModel:
+    """Expectation-maximisation over voters' accuracies and ties, from the votes alone.
+
+    It starts from the share of toxic among each row's votes. Accuracies settle first with
+    voters taken as independent given the class; then the strongest ties enter the
+    likelihood and both are estimated to the end.
     """
-    n, k = votes.shape
-    q = np.clip(start, 0.02, 0.98)
-    model = LabelModel(0.5, np.full((k, 2, 3), 1 / 3), np.ones(k))
+    toxic, clean = (votes == 2).sum(axis=1), (votes == 1).sum(axis=1)
+    q = (toxic + 0.5) / (toxic + clean + 1.0)
+    parents: list[int | None] = [None] * votes.shape[1]
     for step in range(2 * rounds):
-        model.prior = float(np.clip(q.mean(), 0.001, 0.999))
-        for v in range(k):
-            for c, weight in ((0, 1 - q), (1, q)):
-                counts = np.bincount(votes[:, v], weight, minlength=3) + np.array([0.5, 0.5, 0.5])
-                model.chances[v, c] = counts / counts.sum()
-        value = votes.astype(np.float64)
-        value[value == 1] = -1.0
-        value[value == 2] = 1.0
-        mean = model.chances[:, :, 2] - model.chances[:, :, 1]
-        apart = [value - mean[:, c] for c in (0, 1)]
-        shared = (apart[0].T @ (apart[0] * (1 - q)[:, None]) + apart[1].T @ (apart[1] * q[:, None])) / n  # covariance given the class
-        spread = np.sqrt(np.diag(shared)) + 1e-9
-        tie = shared / np.outer(spread, spread)
-        np.fill_diagonal(tie, 0)
-        if step >= rounds:  # accuracies settle first: under vague classes all voters look tied
-            model.weights = 1 / (1 + np.clip(tie, 0, None).sum(axis=0))
-        after = model.posterior(votes)
+        if step == rounds:
+            parents = tied_parents(votes, q)
+        model = LabelModel(float(np.clip(q.mean(), 0.001, 0.999)), parents, chance_tables(votes, q, parents))
+        after = np.clip(model.posterior(votes), 1e-6, 1 - 1e-6)
         if step >= rounds and np.abs(after - q).max() < 1e-6:
             break
-        q = np.clip(after, 1e-6, 1 - 1e-6)
+        q = after
     return model
 
 
 def voter_votes(codes: list[np.ndarray], patterns: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """Votes (0 abstain, 1 clean, 2 toxic): lexicons of words, lexicons of beginnings, patterns, and absence."""
-    votes = np.zeros((len(codes), WORD_VOTERS + len(PREFIXES) + 2), dtype=np.int64)
+    """Votes (0 abstain, 1 clean, 2 toxic) of: written lexicons, learned words, learned beginnings, patterns, and absence of all words."""
+    written = [np.array(sorted(word_code(w) for w in words.split()), dtype=np.uint32) for words in LEXICONS.values()]
+    first = len(written)
+    learned = first + WORD_VOTERS + PREFIX_VOTERS * len(PREFIXES)
     row, flat = np.repeat(np.arange(len(codes)), list(map(len, codes))), np.concatenate(codes)
+    votes = np.zeros((len(codes), learned + len(PATTERNS) + 1), dtype=np.int64)
+    for v, own in enumerate(written):
+        votes[row[np.isin(flat, own)], v] = 2
     hit = np.isin(flat, lexicon)
-    row, flat = row[hit], flat[hit]
-    kind = flat & 3
-    votes[row, np.where(kind == 0, (flat >> 2) % WORD_VOTERS, WORD_VOTERS + kind - 1)] = 2
-    votes[:, -2] = np.where(patterns, 2, 0)
-    votes[:, -1] = 1
-    votes[row, -1] = 0
+    kind, number = flat[hit] & 3, flat[hit] >> 2
+    voter = np.where(kind == 0, number % WORD_VOTERS, WORD_VOTERS + PREFIX_VOTERS * (np.maximum(kind, 1) - 1) + number % PREFIX_VOTERS)
+    hits = np.zeros((len(codes), learned - first), dtype=np.int64)
+    np.add.at(hits, (row[hit], voter.astype(np.int64)), 1)
+    hits[:, WORD_VOTERS:] -= 1  # one word that begins so may do so by chance
+    votes[:, first:learned] = np.where(hits > 0, 2, 0)
+    for k in range(len(PATTERNS)):
+        votes[:, learned + k] = np.where(patterns >> k & 1, 2, 0)
+    votes[:, -1] = np.where((votes[:, :learned] == 2).any(axis=1), 0, 1)
     return votes
 
 
-def learn_lexicon(codes: list[np.ndarray], target: np.ndarray, least: int = 5, precision: float = 0.9) -> np.ndarray:
-    """Terms that stand in ``least`` or more toxic texts and, of the texts they stand in, mostly in toxic ones."""
-    def texts_with(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own = [np.unique(x) for x in rows]
-        return np.unique(np.concatenate(own) if own else np.zeros(0, dtype=np.uint32), return_counts=True)
-
-    terms, toxic = texts_with([x for x, t in zip(codes, target) if t])
-    others, clean = texts_with([x for x, t in zip(codes, target) if not t])
-    place = np.minimum(np.searchsorted(others, terms), max(0, len(others) - 1))
-    also = np.where(others[place] == terms, clean[place], 0) if len(others) else np.zeros(len(terms), dtype=np.int64)
-    return terms[(toxic >= least) & (toxic >= precision * (toxic + also))]
+def learn_lexicon(codes: list[np.ndarray], target: np.ndarray, precision: float = 0.9) -> np.ndarray:
+    """Terms of which, at ``precision`` or more, the labelled texts they stand in are toxic, and in so many that chance
+    would give less than one such term among all that there are."""
+    own = [np.unique(x) for x in codes]
+    terms, place = np.unique(np.concatenate(own) if own else np.zeros(0, dtype=np.uint32), return_inverse=True)
+    toxic = np.bincount(place, np.repeat(target, list(map(len, own))), minlength=len(terms))
+    texts = np.bincount(place, minlength=len(terms))
+    least = np.log(max(2, len(terms))) / -np.log(np.clip(target.mean(), 1e-3, 0.9)) if len(target) else 1
+    return terms[(toxic >= max(3, least)) & (toxic >= precision * texts)]
 
 
 def telling_terms(row: np.ndarray, flat: np.ndarray, soft: np.ndarray, least: int = 3, deviation: float = 3.0) -> np.ndarray:
@@ -134,32 +217,37 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> tuple[np.ndarray, float, float, float]:
-    """Weights, bias and calibration, from at most ``max_rows`` labelled rows outside the held-out fifth.
+    """Weights, bias and calibration, from at most ``max_rows`` labelled and as many other rows outside the held-out fifth.
 
-    The rows are the first by a hash of the id. Their labels choose the lexicons and start the
-    label model; the classifier is fitted to the model's posterior labels. Without rows of both
-    labels the model calls every text clean.
+    The rows are the first by a hash of the id. Labels only choose the learned lexicons: the
+    label model is fitted to the votes on all these rows without them, and the classifier to
+    its posterior labels. Without labelled rows of both kinds the model calls every text clean.
     """
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("target"))
-    chosen = known.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
-    ddl = "rank long, target int, shout boolean, codes binary"
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("target"))
+    first = lambda ids: ids.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(max_rows)
+    chosen = first(known)
+    others = first(docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))).distinct()
+    chosen = chosen.unionByName(others.join(chosen, "doc_id", "left_anti").withColumn("target", F.lit(-1)))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 max_rows ids at most
+    ddl = "rank long, target int, patterns int, codes binary"
     schema = arrow_schema(ddl)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.decode("utf-8", "replace") for x in byte_texts(batch.column("text"))]
             codes = [np.array(sorted(c for w in word_set(x) for c in word_terms(w)), dtype=np.uint32).tobytes() for x in texts]
-            yield record_batch(schema, [batch.column("rank"), batch.column("target").cast(pa.int32()), list(map(shouting, texts)), codes])
+            yield record_batch(schema, [batch.column("rank"), batch.column("target"), list(map(pattern_bits, texts)), codes])
 
-    rows = {bytes(r["codes"]): r for r in sorted(sample.mapInArrow(terms, ddl).collect(), key=lambda r: (r["rank"], r["codes"]))}.values()  # copies count once
-    rows = [r for r in rows if r["codes"]]
+    rows = {bytes(r["codes"]): r for r in sorted(sample.mapInArrow(terms, ddl).collect(), key=lambda r: (r["target"], r["rank"], r["codes"]))}.values()  # copies count once, labelled ones first
+    rows = sorted((r for r in rows if r["codes"]), key=lambda r: (r["rank"], r["codes"]))
     target = np.array([r["target"] for r in rows], dtype=np.float64)
-    if not 0 < target.sum() < len(target):
+    labelled = target >= 0
+    if not 0 < (target == 1).sum() < labelled.sum():
         return np.zeros(1 << BITS, dtype=np.float32), -10.0, 1.0, 0.0
     codes = [np.frombuffer(r["codes"], dtype=np.uint32) for r in rows]
-    votes = voter_votes(codes, np.array([r["shout"] for r in rows]), learn_lexicon(codes, target))
-    soft = fit_label_model(votes, target).posterior(votes)
+    lexicon = learn_lexicon([x for x, known in zip(codes, labelled) if known], target[labelled])
+    votes = voter_votes(codes, np.array([r["patterns"] for r in rows]), lexicon)
+    soft = fit_label_model(votes).posterior(votes)
     row, flat = np.repeat(np.arange(len(codes)), list(map(len, codes))), np.concatenate(codes)
     telling = telling_terms(row, flat, soft)
     row, buckets = row[telling], code_buckets(flat[telling], BITS).astype(np.int64)
