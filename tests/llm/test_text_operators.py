@@ -248,35 +248,71 @@ def test_packing(make, odd):
     assert padding < 4 * packing.WINDOW and packing.pack_documents(make([])).count() == 0
 
 
-def test_lm_scoring(make, odd):
+def brute_scores(texts, training):
+    """(n_tokens, n_known, train_tokens, base score, model score) of each text with plain counts, quantised as the model does."""
+    tokens = [[*data(t).lower().split(), b""] for t in texts]
+    counts = Counter(x for own, t in zip(tokens, training) if t for x in own)
+    pairs = Counter(p for own, t in zip(tokens, training) if t for p in zip([None, *own], own))
+    total, distinct = counts.total(), len(counts)
+    middle = lambda n: 0.75 * 2 ** (math.floor(math.log2(n)) + 1) if n else 0.0
+    kept = {p: n for p, n in pairs.items() if n >= lm_scoring.LEAST}
+    share = sum(kept.values()) / max(1, total)
+    for own in tokens:
+        score = 0.0
+        for before, word in zip([None, *own], own):
+            alone, context = (middle(counts[word]) + 1) / (total + distinct + 1), middle(counts[b"" if before is None else before])
+            p = 0.9 * min(1.0, middle(kept.get((before, word), 0)) / context) + (1 - 0.9 * share) * alone if context else alone
+            score += math.log10(p)
+        yield len(own), sum(counts[x] > 0 for x in own), total, sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in own), score
+
+
+def test_lm_scoring(make, odd, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "ENTRY_BITS", 200)  # hardly a false count, so that plain counts give the same score
     texts = [*odd, *(f"plain words number {k} again and again" for k in range(30))]
     docs = make(texts)
     rows = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, docs.filter(lm_scoring.in_training(F.col("doc_id")))).collect()}
-    tokens = {i: [*data(t).lower().split(), b""] for i, t in enumerate(texts)}
-    counts = Counter(x for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for x in own)
-    total, distinct = counts.total(), len(counts)
-    for i, own in tokens.items():
+    for i, (n, known, total, base, score) in enumerate(brute_scores(texts, [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))])):
         r = rows[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(counts[x] > 0 for x in own), total)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in own), rel_tol=1e-9)
-        assert r["score"] < 0
-
-
-def test_bloom_filter_has_no_false_negatives():
-    grams = np.arange(5000, dtype=np.uint64) * np.uint64(7919) | np.uint64(4 << 40)
-    level = np.arange(5000) % 5 + 1
-    blocks = 16
-    bits = np.zeros((blocks, lm_scoring.BLOCK_BYTES * 8), dtype=bool)
-    for k in range(1, 6):
-        block, at = lm_scoring.places(grams[level >= k], k, blocks)
-        bits[block[:, None], at] = True
-    found = lm_scoring.levels(np.packbits(bits, axis=1, bitorder="little").ravel(), grams)
-    assert (found >= level).all() and (found == level).mean() > 0.9
-
-
-def test_model_rows_sum_to_one():
-    scorer = lm_scoring.Scorer(np.zeros(lm_scoring.BLOCK_BYTES, dtype=np.uint8))
-    assert np.allclose(scorer.rows(np.arange(5, dtype=np.uint64), lm_scoring.ORDER).sum(axis=1), 1)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9), i
+
+
+@pytest.mark.parametrize("table", [lm_scoring.TABLE_ENTRIES, 5])
+def test_lm_scoring_odd_rows(make, monkeypatch, table):
+    """Null and repeated ids give a row each; tables that start anew all the time, and small slices, change nothing."""
+    monkeypatch.setattr(lm_scoring, "TABLE_ENTRIES", table)
+    monkeypatch.setattr(lm_scoring, "SLICE", 8)
+    monkeypatch.setattr(lm_scoring, "ENTRY_BITS", 200)
+    texts, ids = ["a b a b", "a b c", "a b c", None, "c c c"], [7, 7, None, None, 1]
+    rows = lm_scoring.score_documents(make(texts, ids), make(texts)).collect()
+    want = Counter((i, *(round(x, 9) for x in own)) for i, own in zip(ids, brute_scores(texts, [True] * 5)))
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in rows) == want
+    assert lm_scoring.score_documents(make([]), make([])).count() == 0
+
+
+def test_filter_has_no_false_negatives_and_few_false_counts(spark):
+    grams = lm_scoring.mix(np.arange(20000, dtype=np.uint64))
+    level = np.arange(20000) % 5 + 1
+    counts = spark.createDataFrame([(int(g), 1 << int(k) - 1) for g, k in zip(grams.view(np.int64), level)], "gram long, n long")
+    entries, least, _ = lm_scoring.filter_plan(counts)
+    assert (entries, least) == (int(level.sum()), 1)
+    table = lm_scoring.build_filter(counts, entries)
+    found = lm_scoring.levels(table, grams)
+    assert (found >= level).all() and (found > level).mean() < 0.01
+    strange = lm_scoring.levels(table, lm_scoring.mix(np.arange(10**6, 10**6 + 200_000, dtype=np.uint64)))
+    assert abs((strange > 0).mean() - lm_scoring.false_count_rate(table)) < 0.002 and lm_scoring.false_count_rate(table) < 0.006
+
+
+def test_filter_keeps_its_bound(spark, monkeypatch):
+    """Beyond the bound only n-grams of higher counts enter, and false counts stay as rare."""
+    monkeypatch.setattr(lm_scoring, "FILTER_BYTES", 40_000)
+    grams = lm_scoring.mix(np.arange(40000, dtype=np.uint64))
+    level = np.where(np.arange(40000) % 10 == 0, 4, 1)
+    counts = spark.createDataFrame([(int(g), 1 << int(k) - 1) for g, k in zip(grams.view(np.int64), level)], "gram long, n long")
+    entries, least, _ = lm_scoring.filter_plan(counts)
+    table = lm_scoring.build_filter(counts, entries, least)
+    found = lm_scoring.levels(table, grams)
+    assert 2 <= least <= 4 and len(table) <= 40_000 + lm_scoring.BLOCK_BYTES and (found[level == 4] >= 4).all() and (found[level == 1] > 0).mean() < 0.01
 
 
 def brute_rules(text):
