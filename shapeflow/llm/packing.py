@@ -36,14 +36,15 @@ class Packer:
 
     def __init__(self, base: int, groups: int, first_group: int = 0) -> None:
         self.next_id, self.groups, self.first_group = base, groups, first_group
-        self.load = [0] * groups  # tokens given to each step group
+        self.load = {t: [0] * groups for t in TIERS}  # tokens of each tier given to each step group
         self.waiting: list[tuple] = []  # (doc_id, ids, start, stop, doc_tokens)
 
     def emit(self, pieces: list[tuple], out: list[tuple]) -> None:
         length = sum(p[3] - p[2] for p in pieces)
         tier = next(t for t in TIERS if length <= t)
-        group = min(range(self.groups), key=lambda g: (self.load[g], (g - self.first_group) % self.groups))
-        self.load[group] += length if length & (length - 1) == 0 else WINDOW
+        load = self.load[tier]
+        group = min(range(self.groups), key=lambda g: (load[g], (g - self.first_group) % self.groups))
+        load[group] += length if length & (length - 1) == 0 else WINDOW
         offset = 0
         for doc_id, ids, start, stop, total in pieces:
             out.append((doc_id, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), total, self.next_id, offset, tier, group))
@@ -138,8 +139,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, groups: int = 8) ->
     Each task packs its own partition, pool by pool, so nothing is shuffled and a lost task is
     made anew alike; at most the last sequence of a partition is padded (when the last
     tokens are fewer than the shortest tier and no power of two). Sequence ids hold the
-    partition's number in their upper bits. ``step_group`` spreads a task's sequences over
-    ``groups`` groups of nearly equal tokens; tasks start at different groups. Null text counts as empty: one piece, the end
+    partition's number in their upper bits. ``step_group`` deals each tier's sequences over ``groups`` groups of nearly equal
+    tokens: within a task a tier's groups differ by one sequence at most, and tasks start at different
+    groups, so over the whole table they differ by one sequence a task at the very most. Null text counts as empty: one piece, the end
     token. Repeated rows are packed again; an empty table gives an empty result.
     """
     path = path or vocabulary_path()

@@ -2,12 +2,11 @@
 
 from collections import defaultdict
 
-import numpy as np
-
 import corpus_pipeline as pipeline
 from shapeflow.llm import line_dedup
 from shapeflow.llm.common import store
-from tests.llm.test_text_operators import brute_fingerprint, brute_suffix, data
+from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_text_operators import brute_suffix, data
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,7 +18,7 @@ def test_stages_in_order(spark):
     clean = store(stages["toxicity"](spark, docs, sf), "t0")
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in clean.collect()}
-    assert clean.columns == COLUMNS and np.mean([(i in kept) == (not t) for i, t in labels.items()]) > 0.85
+    assert clean.columns == COLUMNS and all(i in kept for i, t in labels.items() if t == 0)  # on so few labels no clean document goes
 
     lines = store(stages["line dedup"](spark, clean, sf), "t1")
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
@@ -35,12 +34,8 @@ def test_stages_in_order(spark):
     assert {i: r["text"] for i, r in rows.items()} == texts and lines.columns == COLUMNS and all(r["n_chars"] == len(r["text"]) for r in rows.values())
 
     near = store(stages["simhash near-dedup"](spark, lines, sf), "t2")
-    fps = {i: brute_fingerprint(t, 5) for i, t in texts.items()}
-    root = {i: i for i in fps}
-    for _ in range(10):
-        for i in fps:
-            root[i] = min(root[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4)
-    assert {r["doc_id"] for r in near.collect()} == {i for i in root if root[i] == i} and near.columns == COLUMNS
+    ids = sorted(texts)
+    assert {r["doc_id"] for r in near.collect()} == {ids[k] for k in brute_kept([texts[i] for i in ids])} and near.columns == COLUMNS
 
     cut = store(stages["suffix-array dedup"](spark, near, sf), "t3")
     left = sorted((r["doc_id"], r["text"]) for r in near.collect())
