@@ -216,19 +216,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> tuple[np.ndarray, float, float, float]:
-    """Weights, bias and calibration, from at most ``max_rows`` labelled and as many other rows outside the held-out fifth.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, other_rows: int = 2000) -> tuple[np.ndarray, float, float, float]:
+    """Weights, bias and calibration, from at most ``max_rows`` labelled and ``other_rows`` other rows outside the held-out fifth.
 
     The rows are the first by a hash of the id. Labels only choose the learned lexicons: the
     label model is fitted to the votes on all these rows without them, and the classifier to
     its posterior labels. Without labelled rows of both kinds the model calls every text clean.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("target"))
-    first = lambda ids: ids.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(max_rows)
-    chosen = first(known)
-    others = first(docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))).distinct()
+    first = lambda ids, n: ids.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(n)
+    chosen = first(known, max_rows)
+    others = first(docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), other_rows).distinct()
     chosen = chosen.unionByName(others.join(chosen, "doc_id", "left_anti").withColumn("target", F.lit(-1)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 max_rows ids at most
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows + other_rows ids at most
     ddl = "rank long, target int, patterns int, codes binary"
     schema = arrow_schema(ddl)
 
