@@ -17,7 +17,7 @@ from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_bat
 
 VOCABULARY = "word_bpe_49k.json"
 #: Most entries, and most bytes of their keys, of one generation of a worker's tables of chunks (runs without ASCII white space) and words.
-TABLE_ENTRIES, TABLE_BYTES = 600_000, 16 << 20
+TABLE_ENTRIES, TABLE_BYTES = 300_000, 8 << 20
 #: Letters by which a state's longest arc is bounded.
 HEAD = 4
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
