@@ -263,7 +263,8 @@ def worker_table(path: str, kind: str, make) -> Table:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array) and decoded text of each row, in Arrow batches. Null text counts as empty."""
+    """doc_id, ids (array) and decoded text of each row, in Arrow batches. Null text counts as empty, ids may be null or
+    repeat, and an empty table gives an empty result."""
     path = path or vocabulary_path()
     small_batches(docs.sparkSession)
     ddl = "doc_id long, ids array<int>, decoded string"
@@ -281,7 +282,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: the digests of ``encode_documents``
-    without its long columns. A chunk's ids and its decoded labels are looked up as bytes."""
+    without its long columns. A chunk's ids and its decoded labels are looked up as bytes.
+
+    Null text counts as empty: no tokens, the digests of nothing. Rows are encoded one by one, so
+    repeated rows and null ids give rows alike; an empty table gives an empty result.
+    """
     path = path or vocabulary_path()
     small_batches(docs.sparkSession)
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -390,3 +390,44 @@ def test_posterior_is_bayes_rule_over_all_votes():
             for c in (0, 1):
                 weight[c] *= model.chances[v, c, row[parent] if parent is not None else 0, row[v]]
         assert math.isclose(got, weight[1] / sum(weight), rel_tol=1e-6)
+
+
+def test_rows_with_null_and_repeated_ids(make):
+    """Each row gives its own result, whatever the ids; an empty table gives an empty result."""
+    texts, ids = ["the mit license", "the mit license", None, "other words", "the mit license"], [7, 7, None, None, None]
+    docs, empty = make(texts, ids), make([])
+    rows = Counter((r["doc_id"], r["n_words"], r["labels"]) for r in license_scan.scan(docs).collect())
+    assert rows == {(7, 3, "mit"): 2, (None, 0, ""): 1, (None, 2, ""): 1, (None, 3, "mit"): 1}
+    rows = Counter((r["doc_id"], r["fp"] == 0, r["component_id"]) for r in simhash.simhash_groups(docs).collect())
+    assert rows == {(7, False, 7): 2, (None, False, 7): 1, (None, True, None): 1, (None, False, None): 1}
+    rows = Counter((r["doc_id"], r["start"], r["length"], r["doc_tokens"]) for r in packing.pack_documents(docs).collect())
+    assert rows == {(7, 0, 4, 4): 2, (None, 0, 1, 1): 1, (None, 0, 3, 3): 1, (None, 0, 4, 4): 1}
+    rows = Counter((r["doc_id"], r["n_tokens"]) for r in tokenization.encode_digests(docs).collect())
+    assert rows == {(7, 3): 2, (None, 0): 1, (None, 2): 1, (None, 3): 1}
+    model = (np.zeros(1 << quality.BITS, np.float32), 1.0, 1.0, 0.0)
+    rows = Counter((r["doc_id"], r["n_words"], r["kept"]) for r in quality.score_quality(docs, model).collect())
+    assert rows == {(7, 3, False): 2, (None, 0, False): 1, (None, 2, False): 1, (None, 3, False): 1}
+    rows = Counter((r["doc_id"], r["predicted"]) for r in toxicity.score_toxicity(docs, (np.zeros(1 << toxicity.BITS, np.float32), 1.0, 1.0, 0.0)).collect())
+    assert rows == {(7, 1): 2, (None, 1): 3}
+    for out in (license_scan.scan(empty), tokenization.encode_digests(empty), tokenization.encode_documents(empty), quality.score_quality(empty, model)):
+        assert out.count() == 0
+
+
+def test_quality_score_is_the_calibrated_mean_of_weights(make, odd):
+    """Score and verdict against the same features, n-gram by n-gram, in plain Python."""
+    rng = np.random.default_rng(9)
+    weights = rng.normal(size=1 << quality.BITS).astype(np.float32)
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = {r["doc_id"]: r for r in quality.score_quality(make([*odd, long]), (weights, 0.1, 0.7, -0.2)).collect()}
+    multiply = lambda x, bits: ((x ^ x >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits
+    half = quality.BITS - 1
+    for i, t in enumerate([*odd, long]):
+        b = data(t)
+        chars = [weights[multiply(int.from_bytes(b[k : k + 4], "little"), half)] for k in range(len(b) - 3)]
+        codes = [zlib.crc32(w) for w in b.split()]
+        codes += [a * 0x85EBCA77 & 0xFFFFFFFF ^ c for a, c in zip(codes, codes[1:])]
+        words = [weights[multiply(c, half) + (1 << half)] for c in codes]
+        raw = sum(quality.SCALE * math.fsum(map(float, x)) / len(x) for x in (chars, words) if x) + 0.1
+        score = 1 / (1 + math.exp(-min(max(0.7 * raw - 0.2, -40), 40)))
+        assert math.isclose(rows[i]["score"], score, rel_tol=1e-5), i
+        assert rows[i]["kept"] == (not rows[i]["base_failed"] and rows[i]["score"] >= 0.5)
