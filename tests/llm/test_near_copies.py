@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
-from shapeflow.llm import line_dedup
+from shapeflow.llm import line_dedup, near_copies
 from shapeflow.llm.common import store
 from shapeflow.llm.near_copies import shingles
 
@@ -11,10 +14,12 @@ from shapeflow.llm.near_copies import shingles
 def brute_kept(texts):
     """Places of the texts that stay, if each one's id is its place."""
     sets = [set(shingles((t or "").encode()).tolist()) for t in texts]
-    root = list(range(len(texts)))
-    for _ in range(10):
-        for i, a in enumerate(sets):
-            root[i] = min(root[j] for j, b in enumerate(sets) if a == b or 5 * len(a & b) >= 4 * len(a | b))
+    near = [[j for j, b in enumerate(sets) if a == b or 5 * len(a & b) >= 4 * len(a | b)] for a in sets]
+    root, before = list(range(len(texts))), None
+    while root != before:
+        before = list(root)
+        for i, js in enumerate(near):
+            root[i] = min(root[j] for j in js)
     return {i for i, r in enumerate(root) if r == i}
 
 
@@ -53,4 +58,32 @@ def test_repeated_rows_and_rows_without_ids_stay_once(make, spark):
 def test_row_without_id_is_never_first(make):
     text = "shared a b\nshared c d"  # one chunk
     got = line_dedup.remove_repeated_chunks(make([text] * 3, [None, 4, 5])).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == {None: text, 4: text, 5: ""}
+    assert {r["doc_id"]: r["text"] for r in got} == {None: "", 4: text, 5: ""}
+
+
+@pytest.mark.parametrize("part", [600, 5_000])
+def test_parted_cells_lose_no_link(make, monkeypatch, spark, part):
+    """A large group of copies, chains whose ends differ, and rows that share a band with the group but not its words."""
+    monkeypatch.setattr(near_copies, "PART", part)
+    rng = random.Random(9)
+    words = ["w%d" % rng.randrange(10**5) for _ in range(150)]
+    texts = [" ".join(edited(words, rng.randrange(4), rng)) for _ in range(120)]
+    for _ in range(40):  # each a few words from the one before
+        words = edited(words, 3, rng)
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    assert {r["doc_id"] for r in pipeline.drop_near_copies(spark, make(texts), "").collect()} == brute_kept(texts)
+
+
+def test_links_among_rows_away_from_the_pivot(make, monkeypatch, spark):
+    """All rows in one cell, many groups in it: parts and blocks must find each group whole."""
+    monkeypatch.setattr(near_copies, "PART", 300)
+    rng, texts = random.Random(3), []
+    for k in range(12):
+        words = ["w%d" % rng.randrange(10**5) for _ in range(60)]
+        texts += [" ".join(edited(words, x % 2, rng)) for x in range(6)]
+    rng.shuffle(texts)
+    links = near_copies.links
+    monkeypatch.setattr(near_copies, "links", lambda first, numbered: links(first.withColumn("bands", F.array(F.lit(7).cast("long"))), numbered))
+    whole = {r["doc_id"] for r in pipeline.drop_near_copies(spark, make(texts), "").collect()}
+    assert whole == brute_kept(texts) and len(whole) == 12
