@@ -22,11 +22,15 @@ def _ticks(last: str = "last_ms") -> str:
 
 
 def prepare(segs: DataFrame) -> DataFrame:
+    return segment_scalars(first_seen(segs))
+
+
+def segment_scalars(segs: DataFrame) -> DataFrame:
     """Scalars of each segment that no window changes, so that the arrays stay behind before rows are multiplied."""
     sample = F.filter("splt_ps", lambda x: x > 0)
     share = lambda test, mean: F.when(F.size(sample) > 0, F.size(F.filter(sample, test)) / F.size(sample)).otherwise(F.when(mean, 1.0).otherwise(0.0))
     turns = F.filter(F.zip_with("splt_direction", "splt_ps", lambda d, p: F.when(d.isin(0, 1) & (p > ACK), d)), lambda d: d.isNotNull())
-    s = first_seen(segs).withColumn("packets", F.col("up_packets") + F.col("down_packets")).withColumn("_d", turns)
+    s = segs.withColumn("packets", F.col("up_packets") + F.col("down_packets")).withColumn("_d", turns)
     s = s.withColumn("tiny", share(lambda p: p <= TINY, F.col("mean_ps") <= TINY)).withColumn("large", share(lambda p: p >= LARGE, F.col("mean_ps") >= LARGE))
     s = s.withColumn("pairs", F.greatest(F.size("_d") - 1, F.lit(0))).withColumn("changes", F.when(F.size("_d") > 1, F.size(F.filter(F.zip_with(F.slice("_d", 2, 10), F.expr("slice(_d, 1, size(_d) - 1)"), lambda a, b: a != b), lambda x: x))).otherwise(0))
     return s.drop("_d", "splt_direction", "splt_ps", "splt_piat_ms")
