@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,20 +52,11 @@ def is_private_number(number: Column) -> Column:
 
 
 def private_addresses(addresses: DataFrame, column: str) -> DataFrame:
-    """(column, private) for each distinct address, IPv4 and IPv6: versions other than IPv4 need the address library, once a distinct address."""
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(x: str) -> bool:
-            try:
-                return ipaddress.ip_address(x).is_private
-            except ValueError:
-                return False
-
-        for batch in batches:
-            yield batch.assign(private=batch[column].map(one))
+    """(column, private) for each distinct address of either version; false for text that is no address."""
+    from shapeflow.functions.addresses import is_private_address, parsed_address
 
     distinct = addresses.select(column).filter(F.col(column).isNotNull()).distinct()
-    v4 = distinct.filter(ipv4_number(F.col(column)).isNotNull()).withColumn("private", is_private_v4(F.col(column)))
-    return v4.union(distinct.filter(ipv4_number(F.col(column)).isNull()).mapInPandas(judge, f"{column} string, private boolean"))
+    return distinct.withColumn("_p", F.explode(F.array(parsed_address(F.col(column))))).select(column, is_private_address(F.col("_p")).alias("private"))
 
 
 def salted_id(salt: str, *parts: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shapeflow.functions import net
+from shapeflow.functions.addresses import longest_prefix
 from shapeflow.operators import packets as P
 from shapeflow.sources import derived, packet_log
 
@@ -143,11 +144,52 @@ def f5(spark, sf):
     return f4(spark, sf).union(named).distinct()
 
 
+def _ends(spark, sf):
+    return packet_log.parse(derived.dual_stack_lines(spark, sf)).filter("matched").select(F.explode(F.array("src", "dst")).alias("ip"))
+
+
+def f2_networks(spark, sf):
+    return longest_prefix(_ends(spark, sf), "ip", derived.networks(spark, sf)).withColumn("length", F.col("length").cast("long"))
+
+
+def f1_private(spark, sf):
+    return net.private_addresses(_ends(spark, sf), "ip")
+
+
+#: Kinds of remote addresses that are private: documentation.
+_PRIVATE_KINDS = "(5)"
+#: Packets of the dual-stack log from the kinds of their addresses, without a look at the line: all hosts are private.
+_DUAL_PACKETS = f"""{derived.DUAL_SQL}, e AS (SELECT 'vif' || (l_suppkey % 4) AS iface, {derived._SEQ}, CAST(floor(CAST('17584' || lpad(l_orderkey::VARCHAR, 5, '0') || '.' || lpad((l_partkey % 1000)::VARCHAR, 3, '0') AS DOUBLE) * 1000) AS BIGINT) AS t_ms,
+  l_returnflag <> 'R' AS out, CASE WHEN l_linestatus = 'O' THEN 6 ELSE 17 END AS proto, CAST(floor(l_quantity * 29) AS BIGINT) AS length, host AS lip, CAST(40000 + l_suppkey AS INT) AS lp, remote AS rip, 443 AS rp, kind IN {_PRIVATE_KINDS} AS private FROM dual WHERE packet)"""
+_V4 = "(({0})::UHUGEINT << 24) + (({1})::UHUGEINT << 16) + (({2})::UHUGEINT << 8) + ({3})::UHUGEINT"
+_MAPPED = "(65535::UHUGEINT << 32) + "
+#: Addresses and networks as numbers from the arithmetic that made them, and each address's smallest network by a range join.
+_NETWORKS_SQL = f"""{derived.DUAL_SQL},
+a AS (SELECT DISTINCT host AS ip, CASE WHEN l_suppkey % 4 = 0 THEN 4 ELSE 6 END AS version, CASE l_suppkey % 4 WHEN 0 THEN {_V4.format(10, 137, 0, 10)} WHEN 1 THEN ({0xfd000137}::UHUGEINT << 96) + 10 WHEN 2 THEN ({0xfe80}::UHUGEINT << 112) + 65547 ELSE {_MAPPED}{_V4.format(10, 137, 0, 13)} END AS n FROM dual WHERE packet
+  UNION SELECT remote, CASE WHEN kind = 0 THEN 4 ELSE 6 END, CASE kind WHEN 0 THEN {_V4.format(93, 184, 5, "l_suppkey % 200")} WHEN 1 THEN ({0x26009000}::UHUGEINT << 96) + ((l_suppkey % 200 + 1)::UHUGEINT << 80) + 1 WHEN 2 THEN ({0x2a001450}::UHUGEINT << 96) + ({0x4001080b}::UHUGEINT << 64) + 8206
+    WHEN 3 THEN ({0x20014860}::UHUGEINT << 96) + ({0x4860}::UHUGEINT << 80) + (l_suppkey % 200 + 1)::UHUGEINT WHEN 4 THEN {_MAPPED}{_V4.format(93, 184, "l_suppkey % 7", "l_suppkey % 200")} WHEN 5 THEN ({0x20010db8}::UHUGEINT << 96) + (l_suppkey % 200 + 1)::UHUGEINT
+    WHEN 6 THEN ({0x0064ff9b}::UHUGEINT << 96) + ({0x5db8}::UHUGEINT << 16) + (l_suppkey % 200 + 1)::UHUGEINT ELSE ({0x20010030}::UHUGEINT << 96) + (l_suppkey % 200 + 1)::UHUGEINT END FROM dual WHERE packet),
+raw AS (SELECT p_partkey AS p, unnest(range(5)) AS k FROM part),
+sized AS (SELECT *, CASE k WHEN 0 THEN 20 + p % 9 WHEN 1 THEN 24 + p % 9 WHEN 2 THEN 33 + p % 30 WHEN 3 THEN 112 + p % 17 ELSE 118 + p % 11 END AS l, CASE WHEN k < 2 THEN 4 ELSE 6 END AS version FROM raw),
+nets AS (SELECT DISTINCT version, l, CASE k WHEN 0 THEN '10.' || (p % 256) || '.' || (p * 7 % 256) || '.0/' || l WHEN 1 THEN '93.184.' || (p % 7) || '.' || (p * 7 % 256) || '/' || l WHEN 2 THEN '2600:9000:' || format('{{:x}}', p % 256 + 1) || '::/' || l
+    WHEN 3 THEN '2001:4860:4860::' || format('{{:x}}', p % 256 + 1) || '/' || l ELSE '::ffff:93.184.' || (p % 7) || '.' || (p % 256) || '/' || l END AS net,
+  CASE k WHEN 0 THEN {_V4.format(10, "p % 256", "p * 7 % 256", 0)} WHEN 1 THEN {_V4.format(93, 184, "p % 7", "p * 7 % 256")} WHEN 2 THEN ({0x26009000}::UHUGEINT << 96) + ((p % 256 + 1)::UHUGEINT << 80)
+    WHEN 3 THEN ({0x20014860}::UHUGEINT << 96) + ({0x4860}::UHUGEINT << 80) + (p % 256 + 1)::UHUGEINT ELSE {_MAPPED}{_V4.format(93, 184, "p % 7", "p % 256")} END AS n FROM sized),
+low AS (SELECT version, l, n // (1::UHUGEINT << (CASE version WHEN 4 THEN 32 ELSE 128 END - l)::UHUGEINT) AS top, min(net) AS net FROM nets GROUP BY ALL),
+held AS (SELECT a.ip, max((low.l, low.net)) AS m FROM a JOIN low ON a.version = low.version AND a.n // (1::UHUGEINT << (CASE a.version WHEN 4 THEN 32 ELSE 128 END - low.l)::UHUGEINT) = low.top GROUP BY a.ip),
+found AS (SELECT a.ip, m[2] AS net, CAST(m[1] AS BIGINT) AS length FROM a LEFT JOIN held ON a.ip = held.ip)"""
+
+
 QUERIES = {
     "s1_parse_log": s1,
     "s2_line_counts": lambda s, d: packet_log.line_counts(derived.log_lines(s, d), LOCAL),
     "f1_f2_private_and_networks": f1,
     "f3_x1_x2_x5_oriented_packets": f3,
+    "s1_f1_f3_dual_stack_packets": lambda s, d: packet_log.to_packets(derived.dual_stack_lines(s, d), SALT, keep_ips=True),
+    "s2_dual_stack_counts": lambda s, d: packet_log.line_counts(derived.dual_stack_lines(s, d)),
+    "f1_private_both_versions": f1_private,
+    "f2_smallest_networks": f2_networks,
+    "f2_f3_oriented_by_networks": lambda s, d: packet_log.with_direction_by(packet_log.parse(derived.dual_stack_lines(s, d)).filter("matched"), derived.networks(s, d)).select("iface", "seq", "t_ms", "src", "dst", "out"),
     "f4_routed_hosts": f4,
     "f5_local_hosts": f5,
     "f9_allowed_links": f9,
@@ -170,6 +212,13 @@ ORACLES = {
     "s2_line_counts": f"WITH {ORIENTED_SQL}, k AS (SELECT iface, count(*) AS n FROM e GROUP BY iface) SELECT p.iface, count(*) AS total_lines, count(*) - coalesce(any_value(k.n), 0) AS skipped_lines FROM parsed p LEFT JOIN k ON p.iface = k.iface GROUP BY p.iface",
     "f1_f2_private_and_networks": F1_SQL,
     "f3_x1_x2_x5_oriented_packets": f"WITH {ORIENTED_SQL} SELECT iface, seq, t_ms, out, proto, {_id_sql('proto', 'lp', 'rip', 'rp')} AS flow, {_id_sql('proto', 'rip', 'rp')} AS endpoint, length, lip || ':' || lp || ' > ' || rip || ':' || rp AS label FROM e",
+    "s1_f1_f3_dual_stack_packets": f"WITH {_DUAL_PACKETS} SELECT iface, seq, t_ms, out, proto, {_id_sql('proto', 'lp', 'rip', 'rp')} AS flow, {_id_sql('proto', 'rip', 'rp')} AS endpoint, length, lip || ':' || lp || ' > ' || rip || ':' || rp AS label FROM e WHERE NOT private",
+    "s2_dual_stack_counts": f"WITH {derived.DUAL_SQL} SELECT 'vif' || (l_suppkey % 4) AS iface, count(*) AS total_lines, count(*) FILTER (NOT packet OR kind IN {_PRIVATE_KINDS}) AS skipped_lines FROM dual GROUP BY 1",
+    "f1_private_both_versions": f"WITH {derived.DUAL_SQL} SELECT DISTINCT host AS ip, true AS private FROM dual WHERE packet UNION SELECT DISTINCT remote, kind IN {_PRIVATE_KINDS} FROM dual WHERE packet",
+    "f2_smallest_networks": f"WITH {_NETWORKS_SQL} SELECT * FROM found",
+    "f2_f3_oriented_by_networks": f"""WITH {_NETWORKS_SQL}, o AS (SELECT 'vif' || (l_suppkey % 4) AS iface, {derived._SEQ}, CAST(floor(CAST('17584' || lpad(l_orderkey::VARCHAR, 5, '0') || '.' || lpad((l_partkey % 1000)::VARCHAR, 3, '0') AS DOUBLE) * 1000) AS BIGINT) AS t_ms,
+  CASE WHEN l_returnflag = 'R' THEN remote ELSE host END AS src, CASE WHEN l_returnflag = 'R' THEN host ELSE remote END AS dst, kind IN {_PRIVATE_KINDS} AS private, l_returnflag <> 'R' AS outwards FROM dual WHERE packet)
+SELECT iface, seq, t_ms, src, dst, CASE WHEN s.net IS NOT NULL THEN true WHEN d.net IS NOT NULL THEN false WHEN private THEN NULL ELSE outwards END AS out FROM o JOIN found s ON s.ip = o.src JOIN found d ON d.ip = o.dst""",
     "f4_routed_hosts": F4_SQL,
     "f5_local_hosts": f"WITH a AS ({F4_SQL}) SELECT iface, host FROM a UNION SELECT iface, unnest(['10.137.99.2', 'fd00::7', '192.168.7.7']) AS host FROM (SELECT DISTINCT iface FROM a)",
     "f9_allowed_links": "SELECT iface, count(*) AS packets FROM (SELECT (['vif', 'eth', 'lo', 'wlan'])[l_linenumber % 4 + 1] || (l_suppkey % 3) AS iface FROM lineitem) WHERE iface LIKE 'vif%' OR iface = 'wlan1' GROUP BY iface",

@@ -81,6 +81,55 @@ LINES_SQL = """lines AS (
   FROM lineitem)"""
 
 
+#: Addresses of the dual-stack log by kind: hosts of the profiled side, and remote ones; {x} is a hex number, {a} and {b} are decimal.
+HOSTS = ("10.137.0.10", "fd00:137::a", "fe80::1:b", "::ffff:10.137.0.13")
+REMOTES = ("93.184.5.{b}", "2600:9000:{x}::1", "2a00:1450:4001:80b::200e", "2001:4860:4860:0:0:0:0:{x}", "::ffff:93.184.{a}.{b}", "2001:db8::{x}", "64:ff9b::5db8:{x}", "2001:30::{x}")
+#: Networks by kind, of which {l} is the length.
+NETWORKS = ("10.{p}.{q}.0/{l}", "93.184.{a}.{q}/{l}", "2600:9000:{x}::/{l}", "2001:4860:4860::{x}/{l}", "::ffff:93.184.{a}.{p}/{l}")
+NETWORK_LENGTHS = ((20, 9), (24, 9), (33, 30), (112, 17), (118, 11))
+
+
+def _texts(templates: tuple[str, ...], kind: str, values: dict[str, str]) -> str:
+    """SQL for the text of a template chosen by ``kind``, its places filled with the values."""
+    import re
+
+    def one(template: str) -> str:
+        return "concat(" + ", ".join(values[x[1:-1]] if x.startswith("{") else f"'{x}'" for x in re.split(r"(\{\w\})", template) if x) + ")"
+
+    return f"CASE {kind} " + " ".join(f"WHEN {k} THEN {one(t)}" for k, t in enumerate(templates)) + " END"
+
+
+def _dual_sql(hex_: str, div: str) -> tuple[tuple[str, str], str]:
+    """(a packet's host and remote address) and the line between them, in either engine's SQL."""
+    values = {"x": hex_.format("l_suppkey % 200 + 1"), "a": "l_suppkey % 7", "b": "l_suppkey % 200"}
+    ends = (f"{_texts(HOSTS, 'l_suppkey % 4', {})} AS host", f"{_texts(REMOTES, f'(l_partkey {div} 3) % 8', values)} AS remote")
+    host, remote = "concat(host, '.', 40000 + l_suppkey)", "concat(remote, '.443')"
+    line = f"""CASE WHEN l_partkey % 97 = 0 THEN 'garbage' ELSE concat('17584', lpad(cast(l_orderkey AS {{text}}), 5, '0'), '.', lpad(cast(l_partkey % 1000 AS {{text}}), 3, '0'), '000 ',
+      CASE WHEN contains(concat(host, remote), ':') THEN 'IP6 ' ELSE 'IP ' END, CASE WHEN l_returnflag = 'R' THEN concat({remote}, ' > ', {host}) ELSE concat({host}, ' > ', {remote}) END,
+      CASE WHEN l_linestatus = 'O' THEN ': tcp ' ELSE ': UDP, length ' END, cast(floor(l_quantity * 29) AS int)) END AS value"""
+    return ends, line
+
+
+_SEQ = "(l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) AS bigint) AS seq"
+
+
+def dual_stack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(iface, seq, value): packet-log text of links whose hosts speak both address versions."""
+    ends, line = _dual_sql("lower(hex({}))", "div")
+    return table(spark, sf_dir, "lineitem").selectExpr("*", *ends).selectExpr("concat('vif', l_suppkey % 4) AS iface", _SEQ, line.format(text="string"))
+
+
+DUAL_SQL = f"""dual AS (SELECT *, {", ".join(_dual_sql("format('{{:x}}', {})", "//")[0])}, l_partkey % 97 <> 0 AS packet, (l_partkey // 3) % 8 AS kind FROM lineitem),
+dual_lines AS (SELECT 'vif' || (l_suppkey % 4) AS iface, {_SEQ}, {_dual_sql("format('{{:x}}', {})", "//")[1].format(text="varchar")} FROM dual)"""
+
+
+def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(net): five networks of each part, of both versions and many lengths, some within others."""
+    values = {"p": "p_partkey % 256", "q": "p_partkey * 7 % 256", "a": "p_partkey % 7", "x": "lower(hex(p_partkey % 256 + 1))", "l": "low + p_partkey % size"}
+    lengths = ", ".join(f"struct({k} AS kind, {low} AS low, {size} AS size)" for k, (low, size) in enumerate(NETWORK_LENGTHS))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"inline(array({lengths}))").selectExpr(_texts(NETWORKS, "kind", values) + " AS net").distinct()
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(iface, tick, probabilities, top, confidence, intensity, nouls, input_tokens) from ``events``: 0.7 on one activity, 0.3 spread."""
     keys = F.array(*(F.lit(k.replace(" ", "_")) for k in ACTIVITIES))

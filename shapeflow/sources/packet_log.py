@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeflow.functions.net import endpoint_id, flow_id, ipv4_number, is_private_number
+from shapeflow.functions.addresses import bound, is_private_address, longest_prefix, parsed_address
+from shapeflow.functions.net import endpoint_id, flow_id
 
 #: Groups: time, source, source port, destination, destination port, tcp, its length, UDP, its length. Fixed value.
 LINE = r"^(\d+\.\d+) IP6? ([0-9a-f.:]+)\.(\d+) > ([0-9a-f.:]+)\.(\d+): (?:(tcp) (\d+)|(UDP), length (\d+))"
@@ -39,20 +40,35 @@ def line_counts(lines: DataFrame, local: list[str] | None = None) -> DataFrame:
 def with_direction(parsed: DataFrame, local: list[str] | None = None) -> DataFrame:
     """``out``: true outwards, false inwards, null for packets of other hosts: a local address decides, else the private side is the local one.
 
-    Addresses become numbers once, behind a generator.
+    Addresses of both versions become numbers once a line, and the answer leaves through a generator, behind which nothing computes it again.
     """
-    numbers = F.explode(F.array(F.struct(ipv4_number(F.col("src")).alias("src"), ipv4_number(F.col("dst")).alias("dst"))))
-    src, dst = is_private_number(F.col("_n.src")), is_private_number(F.col("_n.dst"))
-    out = (
-        F.when(F.col("src").isin(local or []), True).when(F.col("dst").isin(local or []), False)
-        .when(src & ~dst, True).when(dst & ~src, False)
-    )
-    return parsed.select("*", numbers.alias("_n")).withColumn("out", out).drop("_n")
+    named = lambda side: F.col(side).isin(local or [])
+    ends = F.struct(parsed_address(F.col("src")).alias("src"), parsed_address(F.col("dst")).alias("dst"))
+    out = bound(ends, lambda n: direction(named("src"), named("dst"), is_private_address(n["src"]), is_private_address(n["dst"])))
+    return parsed.select("*", F.explode(F.array(out)).alias("out"))
+
+
+def direction(local_src: Column, local_dst: Column, private_src: Column, private_dst: Column) -> Column:
+    return F.when(local_src, True).when(local_dst, False).when(private_src & ~private_dst, True).when(private_dst & ~private_src, False)
 
 
-def to_packets(lines: DataFrame, salt: str, local: list[str] | None = None, keep_ips: bool = False) -> DataFrame:
-    """Packets of the profiled side: addresses and ports become salted ids, and stay as a label only with ``keep_ips``."""
-    p = with_direction(parse(lines).filter("matched"), local).filter(F.col("out").isNotNull())
+def with_direction_by(parsed: DataFrame, networks: DataFrame) -> DataFrame:
+    """The same where the local side is known by a table of networks (net), be they many thousands.
+
+    Each distinct address is looked up once, and what is known of it comes back by two joins on the address.
+    """
+    ends = parsed.select(F.explode(F.array("src", "dst")).alias("ip"))
+    known = longest_prefix(ends, "ip", networks).withColumn("_p", F.explode(F.array(parsed_address(F.col("ip"))))).select("ip", F.col("net").isNotNull().alias("local"), is_private_address(F.col("_p")).alias("private"))
+    side = lambda name: known.select(F.col("ip").alias(name), F.struct("local", "private").alias(f"_{name}"))
+    both = parsed.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    return both.select(*parsed.columns, direction(F.col("_src.local"), F.col("_dst.local"), F.col("_src.private"), F.col("_dst.private")).alias("out"))
+
+
+def to_packets(lines: DataFrame, salt: str, local: list[str] | None = None, keep_ips: bool = False, networks: DataFrame | None = None) -> DataFrame:
+    """Packets of the profiled side: addresses and ports become salted ids, and stay as a label only with ``keep_ips``.
+    The profiled side is told by ``networks`` (net) where they are given, else by the ``local`` addresses."""
+    parsed = parse(lines).filter("matched")
+    p = (with_direction_by(parsed, networks) if networks is not None else with_direction(parsed, local)).filter(F.col("out").isNotNull())
     side = lambda mine, other: F.when(F.col("out"), F.col(mine)).otherwise(F.col(other))
     p = p.select("*", side("src", "dst").alias("local_ip"), side("sport", "dport").alias("local_port"), side("dst", "src").alias("remote_ip"), side("dport", "sport").alias("remote_port"))
     label = F.concat(F.concat_ws(":", "local_ip", "local_port"), F.lit(" > "), F.concat_ws(":", "remote_ip", "remote_port")) if keep_ips else F.lit(None).cast("string")
