@@ -82,6 +82,7 @@ QUERIES = {
     "a4_w8_smoothed": lambda s, d: _round(A.smoothed(derived.answers(s, d), KEYS), "p", "smoothed"),
     "a7_w14_top_smoothed": lambda s, d: _round(A.ranked(A.smoothed(derived.answers(s, d), KEYS)).drop("p"), "smoothed"),
     "a5_a6_w9_w10_episodes": lambda s, d: _round(A.episodes(derived.answers(s, d), KEYS).drop("anonymity_set"), "entropy", "bits", "gain", "total_bits", "raw_total_bits"),
+    "a5_a6_w9_w10_episodes_in_ranges": lambda s, d: _round(A.episodes(derived.answers(s, d), KEYS, True).drop("anonymity_set"), "entropy", "bits", "gain", "total_bits", "raw_total_bits"),
     "a12_session_totals": lambda s, d: _round(A.session_totals(A.episodes(derived.answers(s, d), KEYS)), "total_bits", "raw_total_bits"),
     "a12_all_links": lambda s, d: _round(A.all_links(A.session_totals(A.episodes(derived.answers(s, d), KEYS))), "total_bits"),
     "a9_w11_rising_edges": lambda s, d: A.rising_edges(derived.answers(s, d)),
@@ -125,3 +126,4 @@ ORACLES = {
     "s4_activity_keys": r"SELECT p_partkey, trim(regexp_replace(lower(trim(n)), '[^a-z0-9]+', '_', 'g'), '_') AS key, regexp_replace(trim(n), '\s+', ' ', 'g') AS name FROM (SELECT p_partkey, '  ' || p_name || '  /' || p_type || '! ' AS n FROM part)",
     "s6_w15_samples": S6_SQL,
 }
+ORACLES["a5_a6_w9_w10_episodes_in_ranges"] = ORACLES["a5_a6_w9_w10_episodes"]

@@ -75,8 +75,8 @@ def _rounded_sql(whole, real, n=6):
     return ", ".join((*whole, *(f"round(CAST({c} AS DOUBLE) + 1e-9, {n}) AS {c}" for c in real)))
 
 
-def g1(spark, sf):
-    s = segs(spark, sf, derived.packets)
+def g1(spark, sf, spread=False):
+    s = S.segments(derived.packets(spark, sf), spread)
     return _rounded(s, _SEG_WHOLE, _SEG_REAL).join(s.select("iface", "key", "island", "cut", *(F.array_join(c, ",").alias(c) for c in ("splt_direction", "splt_ps", "splt_piat_ms"))), ["iface", "key", "island", "cut"])
 
 
@@ -116,8 +116,8 @@ def j4(spark, sf):
     return M.new_endpoints(segs(spark, sf))
 
 
-def j5(spark, sf):
-    return S.first_seen(segs(spark, sf)).select("iface", "key", "first_ms", "last_ms", "island", "cut", "first_seen_ms")
+def j5(spark, sf, spread=False):
+    return S.first_seen(segs(spark, sf), spread).select("iface", "key", "first_ms", "last_ms", "island", "cut", "first_seen_ms")
 
 
 def j1(spark, sf):
@@ -156,11 +156,11 @@ d2 AS (SELECT *, CASE WHEN (src_ip = '10.137.0.7') <> (dst_ip = '10.137.0.7') TH
 d3 AS (SELECT *, coalesce(dec, last_value(dec IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(guess) OVER w, guess) = s AS local_is_src FROM d2 WINDOW w AS (PARTITION BY iface, conv_key ORDER BY arrival_seq))"""
 
 
-def w1(spark, sf):
+def w1(spark, sf, spread=False):
     from shapeflow.functions.net import in_networks, is_private_v4
 
     nets = ["10.137.0.7/32"]
-    return S.local_is_src(records(spark, sf), in_networks(F.col("src_ip"), nets), in_networks(F.col("dst_ip"), nets), is_private_v4(F.col("src_ip")), is_private_v4(F.col("dst_ip")))
+    return S.local_is_src(records(spark, sf), in_networks(F.col("src_ip"), nets), in_networks(F.col("dst_ip"), nets), is_private_v4(F.col("src_ip")), is_private_v4(F.col("dst_ip")), spread)
 
 
 def f7(spark, sf):
@@ -170,6 +170,9 @@ def f7(spark, sf):
 
 QUERIES = {
     "g1_g2_g3_segments": g1,
+    "g1_segments_in_ranges": lambda s, d: g1(s, d, True),
+    "j5_first_seen_in_ranges": lambda s, d: j5(s, d, True),
+    "w1_orientation_in_ranges": lambda s, d: w1(s, d, True).select("iface", "arrival_seq", "local_is_src"),
     "m1_m26_measures": m_all,
     "m1_m26_measures_dense": lambda s, d: m_all(s, d, derived.packets),
     "m14_bins": lambda s, d: M.bin_table(M.members(M.prepare(segs(s, d)))).select("iface", "tick_end", "bin", F.round(F.col("packets") + 1e-9, 6).alias("packets"), F.round(F.col("up") + 1e-9, 6).alias("up")),
@@ -201,3 +204,4 @@ ORACLES = {
   WHEN n > 4 THEN false WHEN protocol = 17 THEN NOT local_is_src AND (CASE WHEN local_is_src THEN sp ELSE dp END) = 0 ELSE false END AS probe
 FROM d3 WHERE NOT (protocol = 17 AND dst_port = 65530 AND dst_ip = '239.192.255.254')""",
 }
+ORACLES |= {"g1_segments_in_ranges": ORACLES["g1_g2_g3_segments"], "j5_first_seen_in_ranges": ORACLES["j5_first_seen"], "w1_orientation_in_ranges": ORACLES["w1_sticky_orientation"]}

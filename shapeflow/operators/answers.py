@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapeflow.functions.levels import level
+from shapeflow.operators.scans import RANGE, in_ranges, running
 
 ALPHA, HISTORY, TOP_N, EVENT_AT = 0.4, 60, 5, 0.6
 #: Ticks that the smoothing looks back on: 0.6 ** 64 is below the precision of a double's last digits that matter here.
@@ -47,15 +48,19 @@ def ranked(smooth: DataFrame, n: int = TOP_N) -> DataFrame:
     return smooth.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
 
 
-def episodes(answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Per tick: smoothed top, entropy, bits, episode number, session bits (each episode counts its largest) and their raw sum."""
+def episodes(answers: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
+    """Per tick: smoothed top, entropy, bits, episode number, session bits (each episode counts its largest) and their raw sum.
+
+    With ``spread`` the running values of a link of any length are dealt over many tasks.
+    """
     top = ranked(smoothed(answers, keys), 1).select("iface", "tick", F.col("activity").alias("smoothed_top"))
     a = answers.select("iface", "tick", entropy_bits(F.col("probabilities")).alias("entropy"), identifying_bits(F.col("probabilities"), len(keys)).alias("bits")).join(top, ["iface", "tick"])
-    by = Window.partitionBy("iface").orderBy("tick")
-    a = a.withColumn("_new", F.when(F.lag("smoothed_top").over(by) == F.col("smoothed_top"), 0).otherwise(1)).withColumn("episode", F.sum("_new").over(by))
-    inside = Window.partitionBy("iface", "episode").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
-    a = a.withColumn("gain", F.greatest(F.lit(0.0), F.col("bits") - F.coalesce(F.max("bits").over(inside), F.lit(0.0))))
-    return a.withColumn("total_bits", F.sum("gain").over(by)).withColumn("raw_total_bits", F.sum("bits").over(by)).withColumn("anonymity_set", anonymity_set(F.col("total_bits"))).drop("_new")
+    link, order = ["iface"], ["tick"]
+    a = running(in_ranges(a, link, order) if spread else a, link, order, _before=("last", F.col("smoothed_top"), True))
+    a = a.withColumn("_new", F.when(F.col("_before") == F.col("smoothed_top"), 0).otherwise(1))
+    a = running(a, link, order, episode=("sum", F.col("_new"), False), raw_total_bits=("sum", F.col("bits"), False))
+    a = running(a, ["iface", "episode"], order, _most=("max", F.col("bits"), True)).withColumn("gain", F.greatest(F.lit(0.0), F.col("bits") - F.coalesce("_most", F.lit(0.0))))
+    return running(a, link, order, total_bits=("sum", F.col("gain"), False)).withColumn("anonymity_set", anonymity_set(F.col("total_bits"))).drop("_before", "_new", "_most", RANGE)
 
 
 def session_totals(ticks: DataFrame) -> DataFrame:

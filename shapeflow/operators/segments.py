@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapeflow.operators.scans import RANGE, in_ranges, running
+
 IDLE_MS = ACTIVE_MS = 2_000
 SAMPLE = 10
 #: A flow unseen for longer than this is forgotten.
 FORGET_MS = 20_000
 
 
-def cut_segments(packets: DataFrame) -> DataFrame:
-    """island and cut of each packet: a new island after IDLE_MS of silence of its flow, cut every ACTIVE_MS from the island's start."""
-    flow = Window.partitionBy("iface", "flow").orderBy("t_ms", "seq")
-    p = packets.withColumn("_new", F.when(F.col("t_ms") - F.lag("t_ms").over(flow) < IDLE_MS, 0).otherwise(1)).withColumn("island", F.sum("_new").over(flow))
-    return p.withColumn("cut", F.expr(f"(t_ms - min(t_ms) OVER (PARTITION BY iface, flow, island)) div {ACTIVE_MS}")).drop("_new")
+def cut_segments(packets: DataFrame, spread: bool = False) -> DataFrame:
+    """island and cut of each packet: a new island after IDLE_MS of silence of its flow, cut every ACTIVE_MS from the island's start.
+
+    With ``spread`` a flow of any length is dealt over many tasks.
+    """
+    flow, order = ["iface", "flow"], ["t_ms", "seq"]
+    p = running(in_ranges(packets, flow, order) if spread else packets, flow, order, _before=("last", F.col("t_ms"), True))
+    p = p.withColumn("_new", F.when(F.col("t_ms") - F.col("_before") < IDLE_MS, 0).otherwise(1))
+    p = running(p, flow, order, island=("sum", F.col("_new"), False), _start=("last", F.when(F.col("_new") == 1, F.col("t_ms")), False))
+    return p.withColumn("cut", F.expr(f"(t_ms - _start) div {ACTIVE_MS}")).drop("_before", "_new", "_start", RANGE)
 
 
-def segments(packets: DataFrame) -> DataFrame:
+def segments(packets: DataFrame, spread: bool = False) -> DataFrame:
     """One row for each segment: times, counts, sizes, gaps (both ways and each way), and the first SAMPLE packets' directions, sizes and gaps.
 
     Deviations are sample deviations, 0 below two values. ``syn`` is 1 for a flow's first segment, as the log text has no flags.
     """
     key = ["iface", "flow", "island", "cut"]
     by = Window.partitionBy(*key).orderBy("t_ms", "seq")
-    p = cut_segments(packets)
+    p = cut_segments(packets, spread)
     p = p.withColumn("gap", F.col("t_ms") - F.lag("t_ms").over(by)).withColumn("own_gap", F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy(*key, "out").orderBy("t_ms", "seq"))).withColumn("nth", F.row_number().over(by))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     up, down = F.col("out"), ~F.col("out")
@@ -53,30 +60,29 @@ def first_contacts(segs: DataFrame) -> DataFrame:
     return segs.groupBy("iface", "endpoint").agg(F.min(F.struct("last_ms", "first_ms")).alias("f")).select("iface", "endpoint", F.col("f.last_ms").alias("last_ms"))
 
 
-def first_seen(segs: DataFrame) -> DataFrame:
-    """``segs`` with first_seen_ms: when the flow was first seen, since it was last forgotten."""
-    flow = Window.partitionBy("iface", "key").orderBy("last_ms", "first_ms")
-    before = F.max("last_ms").over(flow.rowsBetween(Window.unboundedPreceding, -1))
-    s = segs.withColumn("_new", F.when(F.col("last_ms") - before > FORGET_MS, 1).otherwise(0)).withColumn("_era", F.sum("_new").over(flow))
-    return s.withColumn("first_seen_ms", F.first("first_ms").over(Window.partitionBy("iface", "key", "_era").orderBy("last_ms", "first_ms"))).drop("_new", "_era")
+def first_seen(segs: DataFrame, spread: bool = False) -> DataFrame:
+    """``segs`` with first_seen_ms: when the flow was first seen, since it was last forgotten. ``spread``: as in ``cut_segments``."""
+    flow, order = ["iface", "key"], ["last_ms", "first_ms"]
+    s = running(in_ranges(segs, flow, order) if spread else segs, flow, order, _before=("max", F.col("last_ms"), True))
+    fresh = F.col("_before").isNull() | (F.col("last_ms") - F.col("_before") > FORGET_MS)
+    return running(s, flow, order, first_seen_ms=("last", F.when(fresh, F.col("first_ms")), False)).drop("_before", RANGE)
 
 
-def local_is_src(records: DataFrame, local_src: Column, local_dst: Column, private_src: Column, private_dst: Column) -> DataFrame:
+def local_is_src(records: DataFrame, local_src: Column, local_dst: Column, private_src: Column, private_dst: Column, spread: bool = False) -> DataFrame:
     """Sticky orientation of conversations (iface, conv_key; order by arrival_seq): ``local_is_src``.
 
     A local address on one side decides, else a SYN from one side only, else what the
-    conversation's rows before decided, else the one private side, else the source.
+    conversation's rows before decided, else the one private side, else the source. ``spread``: as in ``cut_segments``.
     """
     src, dst = F.concat_ws(":", "src_ip", "src_port"), F.concat_ws(":", "dst_ip", "dst_port")
     fresh, back = F.col("src2dst_syn_packets") > 0, F.col("dst2src_syn_packets") > 0
     side = lambda c: F.when(c, src).otherwise(dst)
     decisive = F.when(local_src != local_dst, side(local_src)).when(fresh != back, side(fresh))
     guess = F.when(private_src != private_dst, side(private_src)).otherwise(src)
-    before = Window.partitionBy("iface", "conv_key").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("iface", "conv_key").orderBy("arrival_seq")
     r = records.withColumn("_d", decisive).withColumn("_g", guess).withColumn("_s", src)
-    cached = F.coalesce(F.last("_d", ignorenulls=True).over(before), F.first("_g").over(every))
-    return r.withColumn("local_is_src", F.coalesce("_d", cached, "_g") == F.col("_s")).drop("_d", "_g", "_s")
+    talk, order = ["iface", "conv_key"], ["arrival_seq"]
+    r = running(in_ranges(r, talk, order) if spread else r, talk, order, _last=("last", F.col("_d"), True), _first=("first", F.col("_g"), False))
+    return r.withColumn("local_is_src", F.coalesce("_d", "_last", "_first") == F.col("_s")).drop("_d", "_g", "_s", "_last", "_first", RANGE)
 
 
 def is_heartbeat() -> Column:

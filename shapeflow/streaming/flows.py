@@ -84,16 +84,20 @@ def drop_own(segments: DataFrame, own: DataFrame) -> DataFrame:
 
 
 class LinkState(StatefulProcessor):
-    """Smoothed answers, episodes and edges of one link, tick by tick; a new link is a new key."""
+    """Smoothed answers, episodes, edges and the last HISTORY confidences and intensities of one link, tick by tick; a new link is a new key."""
 
-    ALPHA, EVENT_AT = 0.4, 0.6
-    OUT = "iface string, tick long, smoothed_top string, bits double, total_bits double, raw_total_bits double, episode long, events string"
+    ALPHA, EVENT_AT, HISTORY = 0.4, 0.6, 60
+    OUT = (
+        "iface string, tick long, smoothed_top string, bits double, total_bits double, raw_total_bits double, episode long, events string, "
+        "confidences array<double>, intensities array<double>"
+    )
 
     def __init__(self, options: int) -> None:
         self.options = options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("link", "top string, smoothed string, edges string, episode long, most double, total double, raw double")
+        self.history = handle.getListState("history", "confidence double, intensity double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import json
@@ -101,6 +105,7 @@ class LinkState(StatefulProcessor):
 
         top, smoothed, edges, episode, most, total, raw = self.state.get() if self.state.exists() else (None, "{}", "{}", 0, 0.0, 0.0, 0.0)
         smoothed, edges, out = json.loads(smoothed), json.loads(edges), []
+        past = [tuple(x) for x in self.history.get()] if self.history.exists() else []
         for r in sorted((r for batch in rows for r in batch.to_dict("records")), key=lambda r: r["tick"]):
             p, kinds = json.loads(r["probabilities"]), json.loads(r["nouls"])
             for k in {*smoothed, *p}:
@@ -115,7 +120,9 @@ class LinkState(StatefulProcessor):
                 total, most = total + bits - most, bits
             events = sorted(k for k, x in kinds.items() if x >= self.EVENT_AT and not edges.get(k, False))
             edges |= {k: x >= self.EVENT_AT for k, x in kinds.items()}
-            out.append((key[0], r["tick"], top, bits, total, raw, episode, ",".join(events)))
+            past = [*past, (float(r["confidence"]), float(r["intensity"]))][-self.HISTORY :]
+            out.append((key[0], r["tick"], top, bits, total, raw, episode, ",".join(events), *map(list, zip(*past))))
+        self.history.put(past)
         self.state.update((top, json.dumps(smoothed), json.dumps(edges), episode, most, total, raw))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in self.OUT.split(", ")])
 
@@ -124,8 +131,8 @@ class LinkState(StatefulProcessor):
 
 
 def link_states(answers: DataFrame, options: int) -> DataFrame:
-    """Running state of every link over an answer stream (iface, tick, probabilities and nouls as maps)."""
-    rows = answers.select("iface", "tick", F.to_json("probabilities").alias("probabilities"), F.to_json("nouls").alias("nouls"))
+    """Running state of every link over an answer stream (iface, tick, confidence, intensity, probabilities and nouls as maps)."""
+    rows = answers.select("iface", "tick", "confidence", "intensity", F.to_json("probabilities").alias("probabilities"), F.to_json("nouls").alias("nouls"))
     return rows.groupBy("iface").transformWithStateInPandas(LinkState(options), LinkState.OUT, "append", "none")
 
 
