@@ -62,6 +62,17 @@ def first_contacts(packets: DataFrame, late: str = "1 hour") -> DataFrame:
     return event_time(packets).withWatermark("ts", late).dropDuplicatesWithinWatermark(["iface", "endpoint"]).select("iface", "endpoint", "ts")
 
 
+def met_endpoints(packets: DataFrame, keep_ms: int = 3_600_000, late: str = "15 seconds") -> DataFrame:
+    """(iface, endpoint, last_ms) of each packet with which an endpoint is met, for the first time or after ``keep_ms`` of
+    silence. Memory is pruned by event time alone, so a replay at any speed meets the same."""
+    from shapeflow.streaming.ticks import FirstContact
+
+    rows = event_time(packets).withWatermark("ts", late).select("iface", "endpoint", F.col("t_ms").alias("first_ms"), F.col("t_ms").alias("last_ms"), "ts")
+    out = "iface string, endpoint string, first_ms long, last_ms long, ts timestamp, new_endpoint int"
+    met = rows.groupBy("iface", "endpoint").transformWithStateInPandas(FirstContact(keep_ms), out, "append", "eventTime")
+    return met.filter("new_endpoint = 1").select("iface", "endpoint", "last_ms")
+
+
 def without_noted(segments: DataFrame, noted: DataFrame, memory: str, hold: str = "1500 milliseconds") -> DataFrame:
     """Segments whose flow is not noted from ``memory`` before to ``hold`` behind; a segment waits until its note can have come.
 

@@ -27,19 +27,36 @@ def ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class FirstContact(StatefulProcessor):
-    """Marks the first segment of an endpoint on a link. An endpoint is known as long as the stream has state: sessions have no end."""
+    """Marks the first segment of an endpoint on a link.
+
+    With ``keep_ms`` an endpoint that was silent for longer, in event time, is met for the first time again: an event-time
+    timer drops it once no row still to come could know it. Without, it is known as long as the stream has state.
+    """
+
+    def __init__(self, keep_ms: int | None = None) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "at long")
+        self.handle = handle
+        self.known = handle.getValueState("known", "last long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = ordered(rows)
-        fresh = [0] * len(own)
-        if not self.known.exists():
-            self.known.update((int(own["last_ms"][0]),))
-            fresh[0] = 1
+        last = self.known.get()[0] if self.known.exists() else None
+        if last is not None and self.keep_ms is not None:
+            self.handle.deleteTimer(last + self.keep_ms + 1)
+        own, fresh = ordered(rows), []
+        for at in own["last_ms"].tolist():
+            fresh.append(int(last is None or self.keep_ms is not None and at - last > self.keep_ms))
+            last = at if last is None else max(at, last)
+        self.known.update((last,))
+        if self.keep_ms is not None:
+            self.handle.registerTimer(last + self.keep_ms + 1)
         yield own.assign(new_endpoint=fresh)
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 

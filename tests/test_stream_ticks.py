@@ -16,7 +16,7 @@ LAST = 10**9
 @pytest.fixture(autouse=True)
 def few_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     yield
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
