@@ -254,14 +254,17 @@ def brute_scores(texts, training):
     counts = Counter(x for own, t in zip(tokens, training) if t for x in own)
     pairs = Counter(p for own, t in zip(tokens, training) if t for p in zip([None, *own], own))
     total, distinct = counts.total(), len(counts)
-    middle = lambda n: 0.75 * 2 ** (math.floor(math.log2(n)) + 1) if n else 0.0
     kept = {p: n for p, n in pairs.items() if n >= lm_scoring.LEAST}
+    level = lambda n: math.floor(math.log2(n))
+    mean = lambda table: {k: np.mean([n for n in table.values() if level(n) == k]) for k in {level(n) for n in table.values()}}
+    word_means, pair_means = mean(counts), mean(kept)
+    middle = lambda n, means=word_means: means[level(n)] if n else 0.0
     share = sum(kept.values()) / max(1, total)
     for own in tokens:
         score = 0.0
         for before, word in zip([None, *own], own):
             alone, context = (middle(counts[word]) + 1) / (total + distinct + 1), middle(counts[b"" if before is None else before])
-            p = 0.9 * min(1.0, middle(kept.get((before, word), 0)) / context) + (1 - 0.9 * share) * alone if context else alone
+            p = 0.9 * min(1.0, middle(kept.get((before, word), 0), pair_means) / context) + (1 - 0.9 * share) * alone if context else alone
             score += math.log10(p)
         yield len(own), sum(counts[x] > 0 for x in own), total, sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in own), score
 
@@ -294,9 +297,9 @@ def test_filter_has_no_false_negatives_and_few_false_counts(spark):
     grams = lm_scoring.mix(np.arange(20000, dtype=np.uint64))
     level = np.arange(20000) % 5 + 1
     counts = spark.createDataFrame([(int(g), 1 << int(k) - 1) for g, k in zip(grams.view(np.int64), level)], "gram long, n long")
-    entries, least, _ = lm_scoring.filter_plan(counts)
-    assert (entries, least) == (int(level.sum()), 1)
-    table = lm_scoring.build_filter(counts, entries)
+    plan = lm_scoring.filter_plan(counts)
+    assert (plan.entries, plan.least) == (int(level.sum()), (1, 1))
+    table = lm_scoring.build_filter(counts, plan)
     found = lm_scoring.levels(table, grams)
     assert (found >= level).all() and (found > level).mean() < 0.01
     strange = lm_scoring.levels(table, lm_scoring.mix(np.arange(10**6, 10**6 + 200_000, dtype=np.uint64)))
@@ -304,15 +307,57 @@ def test_filter_has_no_false_negatives_and_few_false_counts(spark):
 
 
 def test_filter_keeps_its_bound(spark, monkeypatch):
-    """Beyond the bound only n-grams of higher counts enter, and false counts stay as rare."""
-    monkeypatch.setattr(lm_scoring, "FILTER_BYTES", 40_000)
+    """Beyond the bound only pairs of higher counts enter, then only words, and false counts stay as rare."""
     grams = lm_scoring.mix(np.arange(40000, dtype=np.uint64))
-    level = np.where(np.arange(40000) % 10 == 0, 4, 1)
+    level, pair = np.where(np.arange(40000) % 10 == 0, 4, 1), grams & np.uint64(1) == 1
     counts = spark.createDataFrame([(int(g), 1 << int(k) - 1) for g, k in zip(grams.view(np.int64), level)], "gram long, n long")
-    entries, least, _ = lm_scoring.filter_plan(counts)
-    table = lm_scoring.build_filter(counts, entries, least)
-    found = lm_scoring.levels(table, grams)
-    assert 2 <= least <= 4 and len(table) <= 40_000 + lm_scoring.BLOCK_BYTES and (found[level == 4] >= 4).all() and (found[level == 1] > 0).mean() < 0.01
+    for most, least in ((60_000, (1, 2)), (30_000, (2, 5))):
+        monkeypatch.setattr(lm_scoring, "FILTER_BYTES", most)
+        plan = lm_scoring.filter_plan(counts)
+        table = lm_scoring.build_filter(counts, plan)
+        found = lm_scoring.levels(table, grams)
+        inside = level >= np.where(pair, *reversed(plan.least))
+        assert plan.least == least and len(table) <= most + lm_scoring.BLOCK_BYTES and (found[inside] >= level[inside]).all() and (found[~inside] > 0).mean() < 0.01
+
+
+@pytest.mark.parametrize("most", [lm_scoring.FILTER_BYTES, 20_000, 6_000])
+def test_chances_sum_to_one(spark, make, monkeypatch, most):
+    """Over the whole vocabulary and the unknown word, also where the filter is too small for all n-grams; behind training contexts on average."""
+    whole = most == lm_scoring.FILTER_BYTES
+    monkeypatch.setattr(lm_scoring, "FILTER_BYTES", most)
+    monkeypatch.setattr(lm_scoring, "ENTRY_BITS", 60)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 60) if k < 3000) for _ in range(80)]
+    tokens = [[*t.encode().split(), b""] for t in texts]
+    words = sorted({w for own in tokens for w in own})
+    total = sum(map(len, tokens))
+    grams = lm_scoring.gram_counts(make(texts), total)
+    plan = lm_scoring.filter_plan(grams)
+    assert (plan.least == (1, 1)) == whole
+    scorer = lm_scoring.Scorer(lm_scoring.build_filter(grams, plan), plan, total, len(words))
+    hashes = lm_scoring.word_hashes(words)
+    alone = (scorer.counts(hashes) + 1) / scorer.size
+    unknown = 1 / scorer.size
+    assert math.isclose(alone.sum() + unknown, 1, abs_tol=2e-3)
+    sums, weights = [], Counter(w for own in tokens for w in own)
+    for u in words:
+        h = np.empty(2 * len(words), dtype=np.uint64)
+        h[::2], h[1::2] = lm_scoring.word_hashes([u])[0], hashes
+        starts = np.arange(0, len(h), 2)
+        own = 10 ** scorer.logs(h, scorer.counts(h), starts)[1::2]
+        sums.append((own.sum(), weights[u]))
+    assert abs(np.average([x for x, _ in sums], weights=[n for _, n in sums]) - 1) < 0.06
+
+
+def test_filter_is_built_in_few_jobs(spark, make):
+    """However many partitions the counts have, the blocks come to the driver at once."""
+    grams = spark.range(0, 5000, numPartitions=20).selectExpr("xxhash64(id) AS gram", "id % 9 + 1 AS n")
+    plan = lm_scoring.filter_plan(grams)
+    spark.sparkContext.setJobGroup("filter", "")
+    lm_scoring.build_filter(grams, plan)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("filter"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs <= 4
 
 
 def brute_rules(text):
