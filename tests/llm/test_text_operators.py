@@ -320,7 +320,7 @@ def test_filter_keeps_its_bound(spark, monkeypatch):
         assert plan.least == least and len(table) <= most + lm_scoring.BLOCK_BYTES and (found[inside] >= level[inside]).all() and (found[~inside] > 0).mean() < 0.01
 
 
-@pytest.mark.parametrize("most", [lm_scoring.FILTER_BYTES, 20_000, 6_000])
+@pytest.mark.parametrize("most", [lm_scoring.FILTER_BYTES, 9_000, 6_000])
 def test_chances_sum_to_one(spark, make, monkeypatch, most):
     """Over the whole vocabulary and the unknown word, also where the filter is too small for all n-grams; behind training contexts on average."""
     whole = most == lm_scoring.FILTER_BYTES
