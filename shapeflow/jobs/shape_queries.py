@@ -89,9 +89,9 @@ def shapes(spark, sf):
     return M.shapes(M.measures(segs(spark, sf)))
 
 
-def rhythm(spark, sf):
+def rhythm(spark, sf, spread=False):
     m = M.measures(segs(spark, sf))
-    return M.minute_rhythm(m).select("iface", "tick_end", F.round("long_gap_cv", 6).alias("long_gap_cv"), "long_bursts")
+    return M.minute_rhythm(m, spread).select("iface", "tick_end", F.round("long_gap_cv", 6).alias("long_gap_cv"), "long_bursts")
 
 
 def shapes_with_rhythm(spark, sf):
@@ -178,6 +178,7 @@ QUERIES = {
     "m14_bins": lambda s, d: M.bin_table(M.members(M.prepare(segs(s, d)))).select("iface", "tick_end", "bin", F.round(F.col("packets") + 1e-9, 6).alias("packets"), F.round(F.col("up") + 1e-9, 6).alias("up")),
     "l1_l28_shapes": shapes,
     "w16_m27_minute_rhythm": rhythm,
+    "w16_m27_rhythm_in_ranges": lambda s, d: rhythm(s, d, True),
     "l18_shapes_with_rhythm": shapes_with_rhythm,
     "j1_drop_own": j1,
     "j2_drop_shared": j2,
@@ -204,4 +205,14 @@ ORACLES = {
   WHEN n > 4 THEN false WHEN protocol = 17 THEN NOT local_is_src AND (CASE WHEN local_is_src THEN sp ELSE dp END) = 0 ELSE false END AS probe
 FROM d3 WHERE NOT (protocol = 17 AND dst_port = 65530 AND dst_ip = '239.192.255.254')""",
 }
+#: The plain fold over each link's starts in the order in which they came.
+_RHYTHM_SQL = f"""{_SPARSE}, {MEASURES_SQL},
+st AS (SELECT iface, tick_end, unnest(string_split(burst_starts, ','))::BIGINT AS b FROM measures WHERE burst_starts <> ''),
+fi AS (SELECT iface, b, min(tick_end) AS tick FROM st GROUP BY ALL),
+fo AS (SELECT iface, list_reduce(list([{{'tick': tick, 'b': b}}] ORDER BY tick, b), lambda a, x : CASE WHEN len(list_filter(a, lambda y : abs(y.b - x[1].b) < 500)) > 0 THEN a ELSE list_concat(a, x) END) AS noted FROM fi GROUP BY iface),
+no AS (SELECT iface, n.tick AS tick, n.b AS b FROM (SELECT iface, unnest(noted) AS n FROM fo)),
+mi AS (SELECT m.iface, m.tick_end, no.b, no.b - lag(no.b) OVER (PARTITION BY m.iface, m.tick_end ORDER BY no.b) AS gap FROM measures m JOIN no ON no.iface = m.iface AND no.tick <= m.tick_end AND no.b >= m.tick_end - 60000),
+ri AS (SELECT iface, tick_end, count(*) AS long_bursts, CASE WHEN count(gap) >= 2 AND avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) ELSE -1 END AS long_gap_cv FROM mi GROUP BY ALL)
+SELECT m.iface, m.tick_end, round(coalesce(long_gap_cv, -1)::DOUBLE, 6) AS long_gap_cv, coalesce(long_bursts, 0) AS long_bursts FROM measures m LEFT JOIN ri ON ri.iface = m.iface AND ri.tick_end = m.tick_end"""
+ORACLES |= {"w16_m27_minute_rhythm": _RHYTHM_SQL, "w16_m27_rhythm_in_ranges": _RHYTHM_SQL}
 ORACLES |= {"g1_segments_in_ranges": ORACLES["g1_g2_g3_segments"], "j5_first_seen_in_ranges": ORACLES["j5_first_seen"], "w1_orientation_in_ranges": ORACLES["w1_sticky_orientation"]}

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapeflow.operators.scans import in_ranges, running
 from shapeflow.operators.segments import first_contacts, first_seen
 from shapeflow.session import store
 
 WINDOW_MS, STEP_MS, LAG_MS, BIN_MS = 10_000, 2_000, 2_250, 250
 BINS = WINDOW_MS // BIN_MS
 TINY, LARGE, ACK = 100, 1000, 64
+#: Starts nearer than this are one burst; how long bursts count.
+SAME_MS, MINUTE_MS = 500, 60_000
 CELL = ["iface", "tick_end"]
 
 
@@ -127,34 +127,32 @@ def measures(segs: DataFrame) -> DataFrame:
     )
 
 
-def minute_rhythm(m: DataFrame) -> DataFrame:
+def minute_rhythm(m: DataFrame, spread: bool = False) -> DataFrame:
     """(iface, tick_end, long_gap_cv, long_bursts): bursts of the last minute, each counted once.
 
-    A start within 500 ms of one already noted is the same burst, which depends on the order of
-    ticks; so each link's ticks (one small row each) are folded in their order, batch by
-    batch. Starts older than the minute can't meet a new one and are forgotten, so a task
-    holds one batch and one minute of starts, however long the log is.
+    A start within SAME_MS of one already noted is the same burst, so what is noted depends on the order of ticks; but
+    only among starts that hang together, each within SAME_MS of the next. Starts lie on the grid of bins and a burst has a silent
+    bin before it, but at a window's edge, so such a group has a few starts, however long the log is. Each is folded by itself in
+    the order in which its starts came; then a noted start counts in the ticks of the minute behind it. The work is
+    dealt by link and group, then by link and tick; with ``spread`` the groups of one link are found by ranges, too.
     """
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        link, noted = None, []
-        for batch in batches:
-            cvs, counts = [], []
-            for iface, end, starts in zip(batch["iface"], batch["tick_end"], batch["burst_starts_ms"]):
-                if iface != link:
-                    link, noted = iface, []
-                for b in starts:
-                    if all(abs(b - x) >= 500 for x in reversed(noted)):
-                        noted.append(int(b))
-                noted = [x for x in noted if x >= end - 60_000]
-                own = sorted(noted)
-                gaps = [b - a for a, b in zip(own, own[1:])]
-                mean = sum(gaps) / len(gaps) if gaps else 0
-                cvs.append((sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean if len(gaps) >= 2 and mean > 0 else -1.0)
-                counts.append(len(own))
-            yield pd.DataFrame({"iface": batch["iface"], "tick_end": batch["tick_end"], "long_gap_cv": cvs, "long_bursts": counts})
-
-    ticks = m.select("iface", "tick_end", "burst_starts_ms").repartition("iface").sortWithinPartitions("iface", "tick_end")
-    return ticks.mapInPandas(fold, "iface string, tick_end long, long_gap_cv double, long_bursts long")
+    ticks = store(m.select(*CELL, "burst_starts_ms"), "burst-starts")
+    first = ticks.select(*CELL, F.explode("burst_starts_ms").alias("start")).groupBy("iface", "start").agg(F.min("tick_end").alias("tick"))
+    link, order = ["iface"], ["start"]
+    s = running(in_ranges(first, link, order) if spread else first, link, order, _before=("last", F.col("start"), True))
+    s = running(s.withColumn("_new", F.when(F.col("start") - F.col("_before") < SAME_MS, 0).otherwise(1)), link, order, _group=("sum", F.col("_new"), False))
+    groups = s.groupBy("iface", "_group").agg(F.array_sort(F.collect_list(F.struct("tick", "start"))).alias("own"))
+    none = F.array().cast("array<struct<tick:bigint,start:bigint>>")
+    noted = F.aggregate("own", none, lambda a, x: F.when(F.exists(a, lambda y: F.abs(y["start"] - x["start"]) < SAME_MS), a).otherwise(F.concat(a, F.array(x))))
+    upto = F.floor((F.col("x.start") + MINUTE_MS) / STEP_MS).cast("long") * STEP_MS
+    counted = groups.select("iface", F.explode(noted).alias("x")).select("iface", F.col("x.start").alias("start"), F.explode(F.sequence("x.tick", upto, F.lit(STEP_MS).cast("long"))).alias("tick_end"))
+    own = counted.groupBy(*CELL).agg(F.array_sort(F.collect_list("start")).alias("own"))  # a minute of starts
+    gaps = F.zip_with(F.slice("own", 2, F.greatest(F.size("own"), F.lit(1))), F.slice("own", 1, F.greatest(F.size("own") - 1, F.lit(0))), lambda b, a: (b - a).cast("double"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    own = own.withColumn("_gaps", gaps).withColumn("_mean", total(F.col("_gaps")) / F.greatest(F.size("_gaps"), F.lit(1)))
+    cv = F.sqrt(total(F.transform("_gaps", lambda g: (g - F.col("_mean")) * (g - F.col("_mean")))) / F.size("_gaps")) / F.col("_mean")
+    own = own.select(*CELL, F.when((F.size("_gaps") >= 2) & (F.col("_mean") > 0), cv).otherwise(-1.0).alias("long_gap_cv"), F.size("own").cast("long").alias("long_bursts"))
+    return ticks.select(*CELL).join(own, CELL, "left").select(*CELL, F.coalesce("long_gap_cv", F.lit(-1.0)).alias("long_gap_cv"), F.coalesce("long_bursts", F.lit(0).cast("long")).alias("long_bursts"))
 
 
 def shapes(m: DataFrame, rhythm: DataFrame | None = None) -> DataFrame:
