@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,25 @@ LEXICONS = {  # words that are common in another language here ("die", "dick") a
 PATTERNS = ("shouting", "exclaiming", "masked words", "symbols on words")
 #: Voters over learned words, and over learned beginnings of each length.
 WORD_VOTERS, PREFIX_VOTERS = 4, 2
-#: Words kept in a task's table of word scores; beyond it the table starts anew.
-TABLE_WORDS = 400_000
+OTHER_LETTERS = re.compile(r"[^\x00-\x7f]")
+#: Words kept in a task's table, and the longest that is kept (characters); beyond the first the table starts anew.
+TABLE_WORDS, KEPT_WORD = 400_000, 64
+
+
+class WordTable(dict):
+    """What ``function`` gives for each word, kept for later texts; bounded in words and, as long words are not kept, in bytes."""
+
+    def __init__(self, function: Callable[[str], object]) -> None:
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, word: str) -> object:
+        value = self.function(word)
+        if len(word) <= KEPT_WORD:
+            if len(self) >= TABLE_WORDS:
+                self.clear()
+            self[word] = value
+        return value
 
 
 def word_set(text: str) -> set[str]:
@@ -58,9 +76,13 @@ def word_terms(chunk: str) -> list[int]:
 def pattern_bits(text: str) -> int:
     """One bit for each of PATTERNS: more capitals than small letters; exclamation marks on one word in ten; a masked
     word (letters around asterisks) ; three symbols behind one word in ten or more."""
-    upper, lower = sum(map(str.isupper, text)), sum(map(str.islower, text))
+    letters, others = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), OTHER_LETTERS.findall(text)
+    upper = int(np.count_nonzero((letters >= 65) & (letters <= 90))) + sum(map(str.isupper, others))
+    lower = int(np.count_nonzero((letters >= 97) & (letters <= 122))) + sum(map(str.islower, others))
     words = text.count(" ") + 1
-    return (upper > lower) | (text.count("!") * 10 > words + 9) << 1 | (MASKED.search(text) is not None) << 2 | (len(SYMBOLS.findall(text)) * 10 > words + 9) << 3
+    masked = "*" in text and MASKED.search(text) is not None
+    symbols = len(SYMBOLS.findall(text)) if any(c in text for c in "*#$%&") else 0
+    return (upper > lower) | (text.count("!") * 10 > words + 9) << 1 | masked << 2 | (symbols * 10 > words + 9) << 3
 
 
 @dataclass
@@ -90,31 +112,31 @@ class LabelModel:
         return right.sum(axis=0) / np.where((votes > 0).any(axis=0), (votes > 0).sum(axis=0), np.nan)
 
 
-def joint_counts(a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """(class, vote of a, vote of b): expected numbers of rows."""
+def joint_counts(a: np.ndarray, b: np.ndarray, shares: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(class, vote of a, vote of b): expected numbers of rows; ``shares`` are each pattern's rows of either class."""
     cell = a * 3 + b
-    return np.stack([np.bincount(cell, w, minlength=9).reshape(3, 3) for w in (1 - q, q)])
+    return np.stack([np.bincount(cell, w, minlength=9).reshape(3, 3) for w in shares])
 
 
-def chance_tables(votes: np.ndarray, q: np.ndarray, parents: list[int | None]) -> np.ndarray:
+def chance_tables(votes: np.ndarray, shares: tuple[np.ndarray, np.ndarray], parents: list[int | None]) -> np.ndarray:
     out = np.empty((votes.shape[1], 2, 3, 3))
     for v, parent in enumerate(parents):
-        own = np.stack([np.bincount(votes[:, v], w, minlength=3) + 0.5 for w in (1 - q, q)])
+        own = np.stack([np.bincount(votes[:, v], w, minlength=3) + 0.5 for w in shares])
         own /= own.sum(axis=1, keepdims=True)
         out[v] = own[:, None, :]
         if parent is not None:  # seldom seen votes of the parent fall back on the voter's own chances
-            table = joint_counts(votes[:, parent], votes[:, v], q) + 2 * own[:, None, :]
+            table = joint_counts(votes[:, parent], votes[:, v], shares) + 2 * own[:, None, :]
             out[v] = table / table.sum(axis=2, keepdims=True)
     return out
 
 
-def tied_parents(votes: np.ndarray, q: np.ndarray, least: float = 30.0) -> list[int | None]:
+def tied_parents(votes: np.ndarray, shares: tuple[np.ndarray, np.ndarray], least: float = 30.0) -> list[int | None]:
     """The forest of strongest ties: pairs by their mutual information given the class, strongest first, while it is
     significant (twice the rows' log-likelihood ratio over ``least``) and closes no circle."""
     k, ties = votes.shape[1], []
     for v in range(k):
         for w in range(v + 1, k):
-            table = joint_counts(votes[:, v], votes[:, w], q) + 1e-9
+            table = joint_counts(votes[:, v], votes[:, w], shares) + 1e-9
             apart = table.sum(axis=2, keepdims=True) * table.sum(axis=1, keepdims=True) / table.sum(axis=(1, 2), keepdims=True)
             gain = 2 * float((table * np.log(table / apart)).sum())
             if gain > least:
@@ -146,20 +168,23 @@ def tied_parents(votes: np.ndarray, q: np.ndarray, least: float = 30.0) -> list[
     return parents
 
 
-def fit_label_model(votes: np.ndarray, rounds: int = 25) -> LabelModel:
+def fit_label_model(votes: np.ndarray, rows: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
     """Expectation-maximisation over voters' accuracies and ties, from the votes alone.
 
-    It starts from the share of toxic among each row's votes. Accuracies settle first with
+    ``rows`` tells how many rows have each pattern of votes (one, unless given). It starts from the share of toxic among each row's votes. Accuracies settle first with
     voters taken as independent given the class; then the strongest ties enter the
     likelihood and both are estimated to the end.
     """
+    rows = np.ones(len(votes)) if rows is None else rows.astype(np.float64)
     toxic, clean = (votes == 2).sum(axis=1), (votes == 1).sum(axis=1)
     q = (toxic + 0.5) / (toxic + clean + 1.0)
     parents: list[int | None] = [None] * votes.shape[1]
     for step in range(2 * rounds):
+        shares = (rows * (1 - q), rows * q)
         if step == rounds:
-            parents = tied_parents(votes, q)
-        model = LabelModel(float(np.clip(q.mean(), 0.001, 0.999)), parents, chance_tables(votes, q, parents))
+            parents = tied_parents(votes, shares)
+        prior = float(np.clip(shares[1].sum() / rows.sum(), 0.001, 0.999))
+        model = LabelModel(prior, parents, chance_tables(votes, shares, parents))
         after = np.clip(model.posterior(votes), 1e-6, 1 - 1e-6)
         if step >= rounds and np.abs(after - q).max() < 1e-6:
             break
@@ -167,11 +192,30 @@ def fit_label_model(votes: np.ndarray, rounds: int = 25) -> LabelModel:
     return model
 
 
+def written_codes() -> list[np.ndarray]:
+    return [np.array(sorted(word_code(w) for w in words.split()), dtype=np.uint32) for words in LEXICONS.values()]
+
+
+def word_voters() -> int:
+    """Number of voters over words: written lexicons, learned words and learned beginnings."""
+    return len(LEXICONS) + WORD_VOTERS + PREFIX_VOTERS * len(PREFIXES)
+
+
+def vote_patterns(votes: np.ndarray) -> np.ndarray:
+    """A row's votes as one number, a bit for each voter but the last that votes toxic. The last one's vote follows from the others'."""
+    return ((votes[:, :-1] == 2).astype(np.int64) << np.arange(votes.shape[1] - 1)).sum(axis=1)
+
+
+def pattern_votes(patterns: np.ndarray) -> np.ndarray:
+    """The votes that ``vote_patterns`` made into numbers."""
+    bits = patterns[:, None] >> np.arange(word_voters() + len(PATTERNS)) & 1
+    return np.column_stack([2 * bits, np.where(bits[:, : word_voters()].any(axis=1), 0, 1)])
+
+
 def voter_votes(codes: list[np.ndarray], patterns: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
     """Votes (0 abstain, 1 clean, 2 toxic) of: written lexicons, learned words, learned beginnings, patterns, and absence of all words."""
-    written = [np.array(sorted(word_code(w) for w in words.split()), dtype=np.uint32) for words in LEXICONS.values()]
-    first = len(written)
-    learned = first + WORD_VOTERS + PREFIX_VOTERS * len(PREFIXES)
+    written = written_codes()
+    first, learned = len(written), word_voters()
     row, flat = np.repeat(np.arange(len(codes)), list(map(len, codes))), np.concatenate(codes)
     votes = np.zeros((len(codes), learned + len(PATTERNS) + 1), dtype=np.int64)
     for v, own in enumerate(written):
@@ -216,12 +260,45 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+def vote_counts(docs: DataFrame, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of votes and how many different texts have each, over all rows with an id outside the held-out fifth.
+
+    Every such text votes, in tasks; equal texts (by 128-bit digest) count once, so a large group of
+    copies does not sway the model, and texts without words do not count. What reaches the driver is
+    one count a pattern, 2^20 at most, whatever the corpus holds.
+    """
+    known = frozenset(np.concatenate([lexicon, *written_codes()]).tolist())
+    shared = docs.sparkSession.sparkContext.broadcast((known, lexicon))  # terms of max_rows labelled texts
+    ddl = "pattern long, digest binary"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, lexicon = shared.value
+        table = WordTable(lambda w: np.array([c for c in word_terms(w) if c in known], dtype=np.uint32).tobytes())
+        for batch in batches:
+            codes, bits, digests = [], [], []
+            for text in byte_texts(batch.column("text")):
+                string = text.decode("utf-8", "replace")
+                words = word_set(string)
+                if words:
+                    codes.append(np.frombuffer(b"".join(map(table.__getitem__, words)), dtype=np.uint32))
+                    bits.append(pattern_bits(string))
+                    digests.append(xxhash.xxh3_128_digest(text))
+            if codes:
+                yield record_batch(schema, [vote_patterns(voter_votes(codes, np.array(bits), lexicon)), digests])
+
+    rows = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("text")
+    counts = rows.mapInArrow(run, ddl).distinct().groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toArrow()
+    return counts.column("pattern").to_numpy(), counts.column("n").to_numpy()
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, other_rows: int = 2000) -> tuple[np.ndarray, float, float, float]:
-    """Weights, bias and calibration, from at most ``max_rows`` labelled and ``other_rows`` other rows outside the held-out fifth.
+    """Weights, bias and calibration, from rows with an id outside the held-out fifth.
 
-    The rows are the first by a hash of the id. Labels only choose the learned lexicons: the
-    label model is fitted to the votes on all these rows without them, and the classifier to
-    its posterior labels. Without labelled rows of both kinds the model calls every text clean.
+    Labels only choose the learned lexicons, from at most ``max_rows`` labelled rows, the first by a
+    hash of the id. The label model is fitted, without labels, to the votes on all rows
+    (``vote_counts``). The classifier is fitted to its posterior labels of a bounded sample: those
+    labelled rows and ``other_rows`` more, the first by the same hash. Rows without an id take no part. Without labelled rows of both kinds the model calls every text clean.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("target"))
     first = lambda ids, n: ids.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(n)
@@ -240,14 +317,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, other_rows:
 
     rows = {bytes(r["codes"]): r for r in sorted(sample.mapInArrow(terms, ddl).collect(), key=lambda r: (r["target"], r["rank"], r["codes"]))}.values()  # copies count once, labelled ones first
     rows = sorted((r for r in rows if r["codes"]), key=lambda r: (r["rank"], r["codes"]))
-    target = np.array([r["target"] for r in rows], dtype=np.float64)
-    labelled = target >= 0
-    if not 0 < (target == 1).sum() < labelled.sum():
+    gold = np.array([r["target"] for r in rows], dtype=np.float64)
+    labelled = gold >= 0
+    if not 0 < (gold == 1).sum() < labelled.sum():
         return np.zeros(1 << BITS, dtype=np.float32), -10.0, 1.0, 0.0
     codes = [np.frombuffer(r["codes"], dtype=np.uint32) for r in rows]
-    lexicon = learn_lexicon([x for x, known in zip(codes, labelled) if known], target[labelled])
+    lexicon = learn_lexicon([x for x, known in zip(codes, labelled) if known], gold[labelled])
+    patterns, counts = vote_counts(docs, lexicon)
     votes = voter_votes(codes, np.array([r["patterns"] for r in rows]), lexicon)
-    soft = fit_label_model(votes).posterior(votes)
+    soft = fit_label_model(pattern_votes(patterns), counts).posterior(votes)
     row, flat = np.repeat(np.arange(len(codes)), list(map(len, codes))), np.concatenate(codes)
     telling = telling_terms(row, flat, soft)
     row, buckets = row[telling], code_buckets(flat[telling], BITS).astype(np.int64)
@@ -276,20 +354,11 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float, float
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, slope, shift = shared.value
-        table: dict[str, float] = {}
-
-        def word_score(word: str) -> float:
-            return sum(float(weights[code_bucket(c, BITS)]) for c in word_terms(word))
-
+        table = WordTable(lambda w: sum(float(weights[code_bucket(c, BITS)]) for c in word_terms(w)))
         for batch in batches:
             scores = []
             for text in byte_texts(batch.column("_scored_text")):
                 words = word_set(text.decode("utf-8", "replace"))
-                if len(table) > TABLE_WORDS:
-                    table.clear()
-                for w in words:
-                    if w not in table:
-                        table[w] = word_score(w)
                 scores.append(sigmoid(slope * (sum(sorted(filter(None, map(table.__getitem__, words)))) + bias) + shift))
             columns = [batch.column(f.name) for f in fields] + [pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *names])
@@ -300,6 +369,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float, float
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; held_out is null where doc_id is, and such rows train nothing."""
     docs = documents(spark, sf_dir)
     small_batches(spark)
     scored = score_toxicity(docs, train(docs, documents(spark, sf_dir, "labels")))

@@ -422,6 +422,53 @@ def test_label_model_discounts_tied_voters():
     assert ((model.posterior(votes) > 0.5) == truth).mean() > (naive == truth).mean()
 
 
+def test_label_model_counts_patterns():
+    """A model of counted patterns is the model of the rows they stand for, and patterns give back their votes."""
+    rng = np.random.default_rng(7)
+    lexicon = np.array([toxicity.word_code("grr"), zlib.crc32(b"grum") & ~3 | 1], dtype=np.uint32)
+    codes = [np.array([c for w in rng.choice(["grr", "grumble", "grumpy", "idiot", "tea", "cup", "trash"], 4) for c in toxicity.word_terms(str(w))], dtype=np.uint32) for _ in range(400)]
+    votes = toxicity.voter_votes(codes, rng.integers(0, 16, 400), lexicon)
+    patterns, rows = np.unique(toxicity.vote_patterns(votes), return_counts=True)
+    assert (toxicity.pattern_votes(toxicity.vote_patterns(votes)) == votes).all() and len(patterns) < 400
+    whole, counted = toxicity.fit_label_model(votes), toxicity.fit_label_model(toxicity.pattern_votes(patterns), rows)
+    assert whole.parents == counted.parents and np.allclose(whole.posterior(votes), counted.posterior(votes), atol=1e-6)
+
+
+def test_votes_of_all_rows_are_counted(make, odd):
+    """Counts of vote patterns against plain loops over words: all rows with an id outside the held-out fifth, equal texts once."""
+    texts = [*odd, "You IDIOT!!! you", "grumble grumpy m*ron", "grumble and grr", "grr", "grr", "sh#$%t", "STOP SHOUTING", "idiot", "x" * 100 + " grr", "\u00c9T\u00c9 \u00e9"] * 2
+    ids = [None if k % 7 == 3 else k for k in range(len(texts))]
+    ends = {"grum": 1, "grump": 2}
+    lexicon = np.array([toxicity.word_code("grr"), *(zlib.crc32(w.encode()) & ~3 | k for w, k in ends.items())], dtype=np.uint32)
+    plain = {}
+    for i, text in zip(ids, texts):
+        words = sorted({w for w in (text or "").lower().split()})
+        if i is None or zlib.crc32(str(i).encode()) % 5 == 0 or not words:
+            continue
+        bare = [w.strip(toxicity.PUNCTUATION) for w in words]
+        bits = [any(w in own.split() for w in bare) for own in toxicity.LEXICONS.values()]
+        learned = [0] * 8
+        for w in bare:
+            if w == "grr":
+                learned[(toxicity.word_code("grr") >> 2) % 4] += 1
+            for end, k in ends.items():
+                if w.startswith(end) and len(w) > len(end):
+                    learned[4 + 2 * (k - 1) + (zlib.crc32(end.encode()) >> 2) % 2] += 1
+        bits += [n > (v >= 4) for v, n in enumerate(learned)]
+        tenth = text.count(" ") + 10
+        bits += [sum(c.isupper() for c in text) > sum(c.islower() for c in text), text.count("!") * 10 > tenth]
+        bits += [toxicity.MASKED.search(text) is not None, len(toxicity.SYMBOLS.findall(text)) * 10 > tenth]
+        plain[text] = sum(1 << v for v, bit in enumerate(bits) if bit)
+    patterns, rows = toxicity.vote_counts(make(texts, ids), lexicon)
+    assert dict(zip(patterns.tolist(), rows.tolist())) == Counter(plain.values()) and len(patterns) > 5
+
+
+def test_word_table_is_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "TABLE_WORDS", 3)
+    table = toxicity.WordTable(len)
+    assert [table[w] for w in ("a", "bb", "ccc", "dddd", "e" * 65, "a")] == [1, 2, 3, 4, 65, 1] and set(table) == {"dddd", "a"}
+
+
 def test_posterior_is_bayes_rule_over_all_votes():
     """The posterior against the product of chances written out for each combination of votes; chances sum to one."""
     rng = np.random.default_rng(6)
