@@ -14,13 +14,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_stages_in_order(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    stages = dict(pipeline.STAGES)
-    clean = store(stages["toxicity"](spark, docs, sf), "t0")
+    toxicity, line_stage, near_stage, passages, packing = (f for _, f in pipeline.STAGES)
+    clean = store(toxicity(spark, docs, sf), "t0")
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in clean.collect()}
     assert clean.columns == COLUMNS and all(i in kept for i, t in labels.items() if t == 0)  # on so few labels no clean document goes
 
-    lines = store(stages["line dedup"](spark, clean, sf), "t1")
+    lines = store(line_stage(spark, clean, sf), "t1")
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     seen = set()
     for i in sorted(texts):
@@ -33,16 +33,16 @@ def test_stages_in_order(spark):
     rows = {r["doc_id"]: r for r in lines.collect()}
     assert {i: r["text"] for i, r in rows.items()} == texts and lines.columns == COLUMNS and all(r["n_chars"] == len(r["text"]) for r in rows.values())
 
-    near = store(stages["simhash near-dedup"](spark, lines, sf), "t2")
+    near = store(near_stage(spark, lines, sf), "t2")
     ids = sorted(texts)
     assert {r["doc_id"] for r in near.collect()} == {ids[k] for k in brute_kept([texts[i] for i in ids])} and near.columns == COLUMNS
 
-    cut = store(stages["suffix-array dedup"](spark, near, sf), "t3")
+    cut = store(passages(spark, near, sf), "t3")
     left = sorted((r["doc_id"], r["text"]) for r in near.collect())
     expected = {i: kept.decode("utf-8", "ignore") for (i, _), (kept, _) in zip(left, brute_suffix([data(t) for _, t in left]))}
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == expected
 
-    pieces = stages["packing"](spark, cut, sf).collect()
+    pieces = packing(spark, cut, sf).collect()
     tokens, total = defaultdict(int), {}
     for r in pieces:
         tokens[r["doc_id"]] += r["length"]
