@@ -523,3 +523,25 @@ def test_quality_score_is_the_calibrated_mean_of_weights(make, odd):
         score = 1 / (1 + math.exp(-min(max(0.7 * raw - 0.2, -40), 40)))
         assert math.isclose(rows[i]["score"], score, rel_tol=1e-5), i
         assert rows[i]["kept"] == (not rows[i]["base_failed"] and rows[i]["score"] >= 0.5)
+
+
+def test_toxicity_learns_from_its_rows_alone(spark, make):
+    """Labels and texts of held-out rows, and texts without an id, change nothing in the model; a row without an id and a
+    very long text score as the same words do elsewhere."""
+    texts = [("you idiot moron %d trash grumble" if k % 3 == 0 else "a nice cup of tea number %d for all") % k for k in range(120)]
+    held = [k for k in range(120) if zlib.crc32(str(k).encode()) % 5 == 0]
+    labels = lambda flip: spark.createDataFrame([(k, int((k % 3 == 0) != (flip and k in held))) for k in range(120)], "doc_id long, toxic int")
+    model = toxicity.train(make(texts), labels(False))
+    other = [t if k not in held else "other words %d" % k for k, t in enumerate(texts)] + ["idiot without an id"]
+    again = toxicity.train(make(other, [*range(120), None]), labels(True))
+    assert model[0].any() and (model[0] == again[0]).all() and model[1:] == again[1:]
+    rows = toxicity.score_toxicity(make([texts[0], texts[0], (texts[0] + " ") * 50_000, texts[1], "z" * 2_000_000], [1, None, 2, 3, 4]), model).collect()
+    scores = {r["doc_id"]: r["score"] for r in rows}
+    assert scores[1] == scores[None] == scores[2] > 0.5 > scores[3] and 0 <= scores[4] <= 1
+
+
+def test_held_out_is_null_without_an_id(spark, make, tmp_path):
+    make(["some words", None, "more"], [5, None, 7]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = {r["doc_id"]: (r["held_out"], r["predicted"]) for r in toxicity.op2_toxicity(spark, str(tmp_path)).collect()}
+    assert rows == {i: (zlib.crc32(str(i).encode()) % 5 == 0, 0) for i in (5, 7)} | {None: (None, 0)}
