@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, small_batches, store
-from shapeflow.llm.tokenization import encoder, vocabulary_path, worker_table
+from shapeflow.llm.merge_ranks import ranks_decide, word_encoder
+from shapeflow.llm.tokenization import vocabulary_path, worker_table
 
 WINDOW = 2048
 DOCUMENT_END = 0
@@ -211,12 +212,13 @@ class Bins:
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:
     """Each document's ids with its end, cut into pieces of WINDOW; the last piece has what is left."""
+    by_rank = ranks_decide(path)
     small_batches(docs.sparkSession)
     schema = arrow_schema(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        table = worker_table(path, "ids", own.ids)
+        own = word_encoder(path, by_rank)
+        table = worker_table(path, f"ids, {by_rank}", own.ids)
         end = np.array([DOCUMENT_END], dtype="<u4").tobytes()
         size = 4 * WINDOW
         for batch in batches:

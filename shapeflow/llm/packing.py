@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, small_batches
-from shapeflow.llm.tokenization import encoder, vocabulary_path, worker_table
+from shapeflow.llm.merge_ranks import ranks_decide, word_encoder
+from shapeflow.llm.tokenization import vocabulary_path, worker_table
 
 WINDOW = 4096
 #: Context sizes, short to long; each is a power of two, so a full sequence of any of them has no padding.
@@ -145,12 +146,13 @@ def pack_documents(docs: DataFrame, path: str | None = None, groups: int = 8) ->
     token. Repeated rows are packed again; an empty table gives an empty result.
     """
     path = path or vocabulary_path()
+    by_rank = ranks_decide(path)
     small_batches(docs.sparkSession)
     schema = arrow_schema(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        table = worker_table(path, "ids", own.ids)
+        own = word_encoder(path, by_rank)
+        table = worker_table(path, f"ids, {by_rank}", own.ids)
         part = TaskContext.get().partitionId()
         packer, pooled = Packer(part << 40, groups, part % groups), 0
         end = np.array([DOCUMENT_END], dtype="<u4").tobytes()

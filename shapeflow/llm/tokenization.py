@@ -136,10 +136,10 @@ class Encoder:
 
     Texts are cut at the file's special tokens, then at ASCII white space, which no pre-split
     word crosses and normalisation keeps; each distinct chunk is normalised, pre-split and
-    encoded once and then looked up.
+    encoded once and then looked up. ``speller`` makes the ids of a pre-split word.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, speller: type = MergeAutomaton) -> None:
         from tokenizers import Tokenizer
 
         self.splitter = Tokenizer.from_file(path)
@@ -147,7 +147,7 @@ class Encoder:
             spec = json.load(f)
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = MergeAutomaton(model["vocab"], merges, model["end_of_word_suffix"])
+        self.automaton = speller(model["vocab"], merges, model["end_of_word_suffix"])
         self.special = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
         self.automaton.label.update({i: c.decode() for c, i in self.special.items()})
         steps = spec["pre_tokenizer"]["pretokenizers"]
