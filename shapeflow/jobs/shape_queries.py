@@ -155,6 +155,11 @@ d2 AS (SELECT *, CASE WHEN (src_ip = '10.137.0.7') <> (dst_ip = '10.137.0.7') TH
   CASE WHEN src_ip LIKE '10.%' AND dst_ip NOT LIKE '10.%' THEN s WHEN dst_ip LIKE '10.%' AND src_ip NOT LIKE '10.%' THEN d ELSE s END AS guess FROM dd),
 d3 AS (SELECT *, coalesce(dec, last_value(dec IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(guess) OVER w, guess) = s AS local_is_src FROM d2 WINDOW w AS (PARTITION BY iface, conv_key ORDER BY arrival_seq))"""
 
+#: Whether a record of RECORDS_SQL is a probe.
+PROBE_SQL = """CASE WHEN protocol IN (1, 58) THEN true
+  WHEN protocol = 6 THEN (CASE WHEN local_is_src THEN ds AND NOT ss ELSE ss AND NOT ds END) AND rst > 0 AND n > 0 AND bytes < 80 * n
+  WHEN n > 4 THEN false WHEN protocol = 17 THEN NOT local_is_src AND (CASE WHEN local_is_src THEN sp ELSE dp END) = 0 ELSE false END"""
+
 
 def w1(spark, sf, spread=False):
     from shapeflow.functions.net import in_networks, is_private_v4
@@ -200,9 +205,7 @@ ORACLES = {
     "j5_first_seen": f"{_SPARSE}, {MEASURES_SQL} SELECT iface, key, first_ms, last_ms, island, cut, first_seen_ms FROM e3",
     "s12_rebase": f"{_SPARSE}, o AS (SELECT iface, min(first_ms) AS origin FROM segs GROUP BY iface), z AS (SELECT segs.*, CAST(floor(1700000000000 + (last_ms - origin) / 2.5::DOUBLE) AS BIGINT) AS new_last_ms FROM segs JOIN o USING (iface)) SELECT iface, key, island, cut, new_last_ms - CAST(floor((last_ms - first_ms) / 2.5::DOUBLE) AS BIGINT) AS new_first_ms, new_last_ms FROM z",
     "w1_sticky_orientation": f"WITH {RECORDS_SQL} SELECT iface, arrival_seq, local_is_src FROM d3",
-    "f6_f7_probe_records": f"""WITH {RECORDS_SQL} SELECT iface, arrival_seq, local_is_src, CASE WHEN protocol IN (1, 58) THEN true
-  WHEN protocol = 6 THEN (CASE WHEN local_is_src THEN ds AND NOT ss ELSE ss AND NOT ds END) AND rst > 0 AND n > 0 AND bytes < 80 * n
-  WHEN n > 4 THEN false WHEN protocol = 17 THEN NOT local_is_src AND (CASE WHEN local_is_src THEN sp ELSE dp END) = 0 ELSE false END AS probe
+    "f6_f7_probe_records": f"""WITH {RECORDS_SQL} SELECT iface, arrival_seq, local_is_src, {PROBE_SQL} AS probe
 FROM d3 WHERE NOT (protocol = 17 AND dst_port = 65530 AND dst_ip = '239.192.255.254')""",
 }
 #: The plain fold over each link's starts in the order in which they came.
