@@ -80,18 +80,18 @@ def _round(df, *cols):
 QUERIES = {
     "a1_a2_a3_entropy_bits": lambda s, d: _round(derived.answers(s, d).select("iface", "tick", A.entropy_bits(F.col("probabilities")).alias("entropy"), A.identifying_bits(F.col("probabilities"), N).alias("bits")).withColumn("anonymity", F.round(A.anonymity_set(F.col("bits")) / 1e6, 3)), "entropy", "bits"),
     "a4_w8_smoothed": lambda s, d: _round(A.smoothed(derived.answers(s, d), KEYS), "p", "smoothed"),
-    "a7_w14_top_smoothed": lambda s, d: _round(A.ranked(A.smoothed(derived.answers(s, d), KEYS)).drop("p"), "smoothed"),
-    "a5_a6_w9_w10_episodes": lambda s, d: _round(A.episodes(derived.answers(s, d), KEYS).drop("anonymity_set"), "entropy", "bits", "gain", "total_bits", "raw_total_bits"),
+    "a7_w14_top_smoothed": lambda s, d: _round(A.top_smoothed(derived.answers(s, d), KEYS), "smoothed"),
+    "a5_a6_w9_w10_episodes": lambda s, d: _round(A.episodes(derived.answers(s, d), KEYS, True).drop("anonymity_set"), "entropy", "bits", "gain", "total_bits", "raw_total_bits"),
     "a5_a6_w9_w10_episodes_in_ranges": lambda s, d: _round(A.episodes(derived.answers(s, d), KEYS, True).drop("anonymity_set"), "entropy", "bits", "gain", "total_bits", "raw_total_bits"),
-    "a12_session_totals": lambda s, d: _round(A.session_totals(A.episodes(derived.answers(s, d), KEYS)), "total_bits", "raw_total_bits"),
-    "a12_all_links": lambda s, d: _round(A.all_links(A.session_totals(A.episodes(derived.answers(s, d), KEYS))), "total_bits"),
+    "a12_session_totals": lambda s, d: _round(A.session_totals(A.episodes(derived.answers(s, d), KEYS, True)), "total_bits", "raw_total_bits"),
+    "a12_all_links": lambda s, d: _round(A.all_links(A.session_totals(A.episodes(derived.answers(s, d), KEYS, True))), "total_bits"),
     "a9_w11_rising_edges": lambda s, d: A.rising_edges(derived.answers(s, d)),
     "w13_latest_events": lambda s, d: A.latest_events(A.rising_edges(derived.answers(s, d))),
     "a8_w12_histories": lambda s, d: A.histories(derived.answers(s, d)).select("iface", "tick", F.array_join(F.transform("confidences", lambda x: F.format_number(x, 2)), ",").alias("confidences"), F.array_join(F.transform("intensities", lambda x: F.format_number(x, 2)), ",").alias("intensities")),
     "a10_previous_top": lambda s, d: A.previous_top(derived.answers(s, d)),
     "a11_token_totals": lambda s, d: A.token_totals(derived.answers(s, d), 2.0),
     "j9_answered": lambda s, d: A.answered(derived.answers(s, d).select("iface", "tick"), derived.answers(s, d).filter("input_tokens is not null")),
-    "s8_x15_snapshot": lambda s, d: A.snapshot(A.episodes(derived.answers(s, d), KEYS), s.createDataFrame([(k, n) for k, n in zip(KEYS, derived.ACTIVITIES) if n != "chat"], "key string, name string")),
+    "s8_x15_snapshot": lambda s, d: A.snapshot(A.episodes(derived.answers(s, d), KEYS, True), s.createDataFrame([(k, n) for k, n in zip(KEYS, derived.ACTIVITIES) if n != "chat"], "key string, name string")),
     "e1_sample_counts": lambda s, d: s6(s, d, 1).groupBy("mode", "label").agg(F.count("*").alias("n")),
     "e2_e6_report": lambda s, d: _round(E.report(results(s, d), "variant"), "accuracy", "mean_p"),
     "e3_pivot": lambda s, d: E.pivot(results(s, d), ["shape", "raw", "raw-ips"]).select("scenario", *(F.round(F.col(f"`{c}`"), 6).alias(c.replace("-", "_")) for c in ("shape", "raw", "raw-ips"))),

@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapeflow.functions.levels import level
+from shapeflow.operators.ranks import numbered_within
 from shapeflow.operators.scans import RANGE, in_ranges, running
+from shapeflow.session import store, tasks
 
 ALPHA, HISTORY, TOP_N, EVENT_AT = 0.4, 60, 5, 0.6
 #: Ticks that the smoothing looks back on: 0.6 ** 64 is below the precision of a double's last digits that matter here.
 LOOK_BACK = 63
+#: Answers of a link that are smoothed as one.
+BLOCK = 2_048
 
 
 def entropy_bits(p: Column) -> Column:
@@ -24,28 +28,51 @@ def entropy_bits(p: Column) -> Column:
 
 
 def identifying_bits(p: Column, options: int) -> Column:
-    return F.greatest(F.lit(0.0), F.log2(F.lit(float(options))) - entropy_bits(p)) if options > 1 else F.lit(0.0)
+    return bits_below(entropy_bits(p), options)
+
+
+def bits_below(entropy: Column, options: int) -> Column:
+    """What an entropy lacks of that of so many equal options."""
+    return F.greatest(F.lit(0.0), F.log2(F.lit(float(options))) - entropy) if options > 1 else F.lit(0.0)
 
 
 def anonymity_set(bits: Column, population: float = 8e9) -> Column:
     return F.greatest(F.lit(1.0), F.lit(float(population)) / F.pow(F.lit(2.0), bits))
 
 
-def smoothed(answers: DataFrame, keys: list[str]) -> DataFrame:
-    """(iface, tick, activity, p, smoothed): exponential mean over answered ticks, from 0; a missing key counts as 0.
+def _blocks(answers: DataFrame, keys: list[str], *also: Column) -> DataFrame:
+    """(iface, tick, ``also``, _p, _s): each activity's probability and its exponential mean over answered ticks, in the order of ``keys``.
 
-    The mean is a weighted sum over a bounded frame, so it neither recurs nor overflows.
+    Answers are numbered along their link and dealt by blocks of BLOCK; a block also gets the LOOK_BACK
+    answers before it, so a link of any length is spread over tasks. The weighted sum over the last 64 answers is put together
+    by doubling: each step adds the sums that end as far back as they reach.
     """
-    p = answers.select("iface", "tick", "probabilities", F.explode(F.array(*map(F.lit, keys))).alias("activity")).select("iface", "tick", "activity", F.coalesce(F.try_element_at("probabilities", F.col("activity")), F.lit(0.0)).alias("p"))
-    frame = Window.partitionBy("iface", "activity").orderBy("tick").rowsBetween(-LOOK_BACK, 0)
-    recent = F.collect_list("p").over(frame)
-    return p.withColumn("smoothed", F.aggregate(recent, F.lit(0.0), lambda a, x: a + F.lit(ALPHA) * (x - a)))
+    s = numbered_within(answers.select("iface", "tick", "probabilities"), "iface", "tick", "_nth", tasks(answers))
+    p = F.array(*(F.coalesce(F.try_element_at("probabilities", F.lit(k)), F.lit(0.0)) for k in keys))
+    s = s.select("iface", "tick", "_nth", *also, p.alias("_p")).withColumn("_nth", F.col("_nth") - 1).withColumn("_own", F.expr(f"_nth div {BLOCK}"))
+    s = s.withColumn("_block", F.explode(F.when(F.col("_nth") % BLOCK >= BLOCK - LOOK_BACK, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))).repartition(tasks(answers), "iface", "_block")
+    by, names = Window.partitionBy("iface", "_block").orderBy("_nth"), [f"_s{i}" for i in range(len(keys))]
+    s = s.select("*", *((F.get("_p", F.lit(i)) * ALPHA).alias(c) for i, c in enumerate(names)))
+    for k in (1, 2, 4, 8, 16, 32):
+        s = s.withColumns({c: F.col(c) + F.lit((1 - ALPHA) ** k) * F.coalesce(F.lag(c, k).over(by), F.lit(0.0)) for c in names})
+    return s.filter("_block = _own").withColumn("_s", F.array(*names)).drop("_nth", "_own", "_block", *names)
+
+
+def smoothed(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """(iface, tick, activity, p, smoothed): exponential mean over answered ticks, from 0; a missing key counts as 0."""
+    names = F.array(*map(F.lit, keys))
+    return _blocks(answers, keys).select("iface", "tick", F.inline(F.arrays_zip(names.alias("activity"), F.col("_p").alias("p"), F.col("_s").alias("smoothed"))))
+
+
+def _likeliest(keys: list[str]) -> Column:
+    """Structs (mark, activity, smoothed) of all activities, the likeliest first by their least mark; ties by name."""
+    return F.array(*(F.struct((-F.round(F.get("_s", F.lit(i)), 9)).alias("mark"), F.lit(k).alias("activity"), F.get("_s", F.lit(i)).alias("smoothed")) for i, k in enumerate(keys)))
 
 
-def ranked(smooth: DataFrame, n: int = TOP_N) -> DataFrame:
-    """The ``n`` likeliest smoothed activities of each tick; ties by name."""
-    by = Window.partitionBy("iface", "tick").orderBy(F.desc(F.round("smoothed", 9)), "activity")
-    return smooth.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
+def top_smoothed(answers: DataFrame, keys: list[str], n: int = TOP_N) -> DataFrame:
+    """(iface, tick, activity, smoothed, rank): the ``n`` likeliest smoothed activities of each tick; ties by name."""
+    top = _blocks(answers, keys).select("iface", "tick", F.posexplode(F.slice(F.array_sort(_likeliest(keys)), 1, n)).alias("_at", "_x"))
+    return top.select("iface", "tick", "_x.activity", "_x.smoothed", (F.col("_at") + 1).alias("rank"))
 
 
 def episodes(answers: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
@@ -53,10 +80,11 @@ def episodes(answers: DataFrame, keys: list[str], spread: bool = False) -> DataF
 
     With ``spread`` the running values of a link of any length are dealt over many tasks.
     """
-    top = ranked(smoothed(answers, keys), 1).select("iface", "tick", F.col("activity").alias("smoothed_top"))
-    a = answers.select("iface", "tick", entropy_bits(F.col("probabilities")).alias("entropy"), identifying_bits(F.col("probabilities"), len(keys)).alias("bits")).join(top, ["iface", "tick"])
+    a = _blocks(answers, keys, entropy_bits(F.col("probabilities")).alias("entropy"))
+    a = a.select("iface", "tick", "entropy", bits_below(F.col("entropy"), len(keys)).alias("bits"), F.array_min(_likeliest(keys))["activity"].alias("smoothed_top"))
+    a = store(a, "answer-tops")  # so that ranges are drawn without smoothing anew
     link, order = ["iface"], ["tick"]
-    a = running(in_ranges(a, link, order) if spread else a, link, order, _before=("last", F.col("smoothed_top"), True))
+    a = running(in_ranges(a, link, order, tasks(answers)) if spread else a, link, order, _before=("last", F.col("smoothed_top"), True))
     a = a.withColumn("_new", F.when(F.col("_before") == F.col("smoothed_top"), 0).otherwise(1))
     a = running(a, link, order, episode=("sum", F.col("_new"), False), raw_total_bits=("sum", F.col("bits"), False))
     a = running(a, ["iface", "episode"], order, _most=("max", F.col("bits"), True)).withColumn("gain", F.greatest(F.lit(0.0), F.col("bits") - F.coalesce("_most", F.lit(0.0))))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapeflow.session import store
+from shapeflow.session import store, tasks
 
 
-def numbered_within(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+def numbered_within(rows: DataFrame, group: str, order: str, name: str, ranges: int | None = None) -> DataFrame:
     """``rows`` with ``name``, the place from 1 of each row in its group by ``order``.
 
     Rows are dealt by ranges of (group, order), so a group of any size is spread over tasks;
     each range numbers its own rows and adds how many the group has in the ranges before,
-    a table of one row for each range and group. Equal values of ``order`` share a range.
+    a table of one row for each range and group. Equal values of ``order`` share a range. ``ranges``: how many at most.
     """
-    parts = store(rows.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = (ranges,) if ranges else ()
+    parts = store(rows.repartitionByRange(*dealt, group, order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = parts.groupBy(group, "_range").agg(F.count("*").alias("_own"))
     before = counts.select(group, "_range", F.coalesce(F.sum("_own").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range", group).orderBy(order))
-    return parts.withColumn("_at", inside).join(before, [group, "_range"]).withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_before", "_at")
+    return (parts.repartition(tasks(parts), "_range", group) if ranges else parts).withColumn("_at", inside).join(before, [group, "_range"]).withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_before", "_at")

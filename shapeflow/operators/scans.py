@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapeflow.session import store
+from shapeflow.session import store, tasks
 
 RANGE = "_range"
 
 
-def in_ranges(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def in_ranges(rows: DataFrame, group: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
     """``rows`` dealt by ranges of (group, order) and written, with the number of each row's range. Rows alike in all of these share a range."""
-    return store(rows.repartitionByRange(*group, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
+    dealt = (ranges,) if ranges else ()
+    return store(rows.repartitionByRange(*dealt, *group, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
 def _over(kind: str, value: Column) -> Column:
@@ -39,17 +40,20 @@ def running(rows: DataFrame, group: list[str], order: list[str], **values: tuple
     """``rows`` with running values of their group: name=(kind, value, whether the row itself is left out).
 
     kind: sum, max, last or first; nulls don't count. By a window over the group, or, where ``rows`` come from
-    ``in_ranges``, by an associative scan: each range computes its own values, and begins with what its group's ranges
-    before come to, a table of one row for each range and group. The result is written then, so several scans one
+    ``in_ranges`` by the group's columns, or some of them, and this order, by an associative scan: each range computes its own values, and begins with what its group's ranges
+    before come to, a table of one row for each range that goes on with a group. The result is written then, so several scans one
     after another read their rows once each.
     """
     upto = lambda part, left_out: Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if left_out else 0)
     if RANGE not in rows.columns:
         return rows.select("*", *(_over(kind, value).over(upto(group, out)).alias(name) for name, (kind, value, out) in values.items()))
+    rows = rows.repartition(tasks(rows), RANGE, *group)
     inside = rows.select("*", *(_over(kind, value).over(upto([RANGE, *group], out)).alias(name) for name, (kind, value, out) in values.items()))
     own = rows.groupBy(*group, RANGE).agg(*(_of_range(kind, value, order).alias(name) for name, (kind, value, _) in values.items()))
     ahead = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     before = own.select(*(F.col(c).alias(f"_b_{c}") for c in (*group, RANGE)), *(_over(kind, F.col(name)).over(ahead).alias(f"_v_{name}") for name, (kind, _, _) in values.items()))
+    before = before.filter(F.coalesce(*(F.col(f"_v_{name}").cast("string") for name in values)).isNotNull())
     same = [inside[c].eqNullSafe(before[f"_b_{c}"]) for c in group]
-    met = inside.join(before, [*same, inside[RANGE] == before[f"_b_{RANGE}"]])
+    # rows lie by group and order, so a range goes on with one group at most: no more rows than ranges
+    met = inside.join(F.broadcast(before), [*same, inside[RANGE] == before[f"_b_{RANGE}"]], "left")
     return store(met.select(*rows.columns, *(_joined(kind, F.col(f"_v_{name}"), F.col(name)).alias(name) for name, (kind, _, _) in values.items())), "scanned")

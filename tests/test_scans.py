@@ -76,3 +76,30 @@ def test_episodes_of_one_link(spark):
     rows = derived.answers(spark, SF).withColumn("iface", F.lit("vif0"))
     rounded = lambda df: df.select("tick", "smoothed_top", "episode", *(F.round(c, 6).alias(c) for c in ("bits", "gain", "total_bits", "raw_total_bits")))
     same(rounded(A.episodes(rows, keys)), rounded(A.episodes(rows, keys, True)))
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    from shapeflow import session
+    from shapeflow.operators import packets as P
+
+    rows = derived.packets(spark, SF)
+    assert P.at_ticks(rows).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(session, "TASK_ROWS", 1_000)
+    assert P.at_ticks(rows).rdd.getNumPartitions() == -(-5 * rows.count() // 1_000)
+
+
+def test_a_link_is_smoothed_in_blocks(spark, monkeypatch):
+    keys = ["k0", "k1"]
+    rows = spark.range(700).selectExpr("'vif0' AS iface", "id AS tick", "map('k0', id * 7 % 11 / 11, 'k1', id * 5 % 13 / 13) AS probabilities")
+    monkeypatch.setattr(A, "BLOCK", 128)
+    blocks = A._blocks(rows, keys)
+    assert blocks.groupBy(F.spark_partition_id()).count().count() > 1
+    mean = {"k0": 0.0, "k1": 0.0}
+    found = {(r["tick"], r["activity"]): r["smoothed"] for r in A.smoothed(rows, keys).collect()}
+    assert len(found) == 1400
+    for tick in range(700):
+        for k, p in (("k0", tick * 7 % 11 / 11), ("k1", tick * 5 % 13 / 13)):
+            mean[k] += 0.4 * (p - mean[k])
+            assert abs(found[tick, k] - mean[k]) < 1e-12
+    top = A.top_smoothed(rows, keys, 1).collect()
+    assert len(top) == 700 and all(r["rank"] == 1 and r["smoothed"] == max(found[r["tick"], k] for k in keys) for r in top)
