@@ -59,6 +59,7 @@ _REAL = ("mean_ps", "ps_cv", "tiny_frac", "large_frac", "mean_piat_ms", "piat_cv
 _WHOLE = ("flows", "endpoints", "new_endpoints", "up_bytes", "down_bytes", "up_packets", "down_packets", "bursts", "longest_burst_ms", "longest_gap_ms", "gaps_over_1s")
 _SEG_REAL = ("mean_ps", "stddev_ps", "mean_piat_ms", "stddev_piat_ms", "max_piat_ms", "up_mean_piat_ms", "up_stddev_piat_ms", "down_mean_piat_ms", "down_stddev_piat_ms")
 _SEG_WHOLE = ("iface", "key", "endpoint", "island", "cut", "first_ms", "last_ms", "protocol", "up_packets", "down_packets", "up_bytes", "down_bytes", "min_ps", "max_ps", "syn")
+_SEG_LISTS = ("splt_direction", "splt_ps", "splt_piat_ms")
 _SPARSE = f"WITH {derived.SPARSE_SQL}, {SEGMENTS_SQL}"
 _DENSE = f"WITH {derived.PACKETS_SQL}, {SEGMENTS_SQL}"
 
@@ -77,7 +78,9 @@ def _rounded_sql(whole, real, n=6):
 
 def g1(spark, sf, spread=False):
     s = S.segments(derived.packets(spark, sf), spread)
-    return _rounded(s, _SEG_WHOLE, _SEG_REAL).join(s.select("iface", "key", "island", "cut", *(F.array_join(c, ",").alias(c) for c in ("splt_direction", "splt_ps", "splt_piat_ms"))), ["iface", "key", "island", "cut"])
+    s = s.withColumns({c: F.array_join(c, ",") for c in _SEG_LISTS})
+    first = ("iface", "key", "island", "cut")
+    return _rounded(s, (*first, *(c for c in _SEG_WHOLE if c not in first), *_SEG_LISTS), _SEG_REAL).select(*first, *(c for c in (*_SEG_WHOLE, *_SEG_REAL, *_SEG_LISTS) if c not in first))
 
 
 def m_all(spark, sf, source=derived.sparse_packets):
@@ -174,7 +177,7 @@ def f7(spark, sf):
 
 
 QUERIES = {
-    "g1_g2_g3_segments": g1,
+    "g1_g2_g3_segments": lambda s, d: g1(s, d, True),
     "g1_segments_in_ranges": lambda s, d: g1(s, d, True),
     "j5_first_seen_in_ranges": lambda s, d: j5(s, d, True),
     "w1_orientation_in_ranges": lambda s, d: w1(s, d, True).select("iface", "arrival_seq", "local_is_src"),

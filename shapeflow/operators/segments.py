@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapeflow.operators.scans import RANGE, in_ranges, running
+from shapeflow.session import tasks
 
 IDLE_MS = ACTIVE_MS = 2_000
 SAMPLE = 10
@@ -19,7 +20,7 @@ def cut_segments(packets: DataFrame, spread: bool = False) -> DataFrame:
     With ``spread`` a flow of any length is dealt over many tasks.
     """
     flow, order = ["iface", "flow"], ["t_ms", "seq"]
-    p = running(in_ranges(packets, flow, order) if spread else packets, flow, order, _before=("last", F.col("t_ms"), True))
+    p = running(in_ranges(packets, flow, order, tasks(packets)) if spread else packets, flow, order, _before=("last", F.col("t_ms"), True))
     p = p.withColumn("_new", F.when(F.col("t_ms") - F.col("_before") < IDLE_MS, 0).otherwise(1))
     p = running(p, flow, order, island=("sum", F.col("_new"), False), _start=("last", F.when(F.col("_new") == 1, F.col("t_ms")), False))
     return p.withColumn("cut", F.expr(f"(t_ms - _start) div {ACTIVE_MS}")).drop("_before", "_new", "_start", RANGE)
@@ -32,7 +33,7 @@ def segments(packets: DataFrame, spread: bool = False) -> DataFrame:
     """
     key = ["iface", "flow", "island", "cut"]
     by = Window.partitionBy(*key).orderBy("t_ms", "seq")
-    p = cut_segments(packets, spread)
+    p = cut_segments(packets, spread).repartition(tasks(packets), *key)
     p = p.withColumn("gap", F.col("t_ms") - F.lag("t_ms").over(by)).withColumn("own_gap", F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy(*key, "out").orderBy("t_ms", "seq"))).withColumn("nth", F.row_number().over(by))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     up, down = F.col("out"), ~F.col("out")
