@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shapeflow.operators.scans import in_ranges, running
 from shapeflow.operators.segments import first_contacts, first_seen
-from shapeflow.session import store
+from shapeflow.session import store, tasks
 
 WINDOW_MS, STEP_MS, LAG_MS, BIN_MS = 10_000, 2_000, 2_250, 250
 BINS = WINDOW_MS // BIN_MS
@@ -15,14 +15,20 @@ TINY, LARGE, ACK = 100, 1000, 64
 #: Starts nearer than this are one burst; how long bursts count.
 SAME_MS, MINUTE_MS = 500, 60_000
 CELL = ["iface", "tick_end"]
+#: Ticks of a link that are dealt as one, and the key of a cell among them.
+BLOCK_TICKS = 64
+DEALT = ["iface", "_block", "tick_end"]
 
 
-def _ticks(last: str = "last_ms") -> str:
-    return f"sequence(cast(ceil(({last} - {LAG_MS}) / {STEP_MS}) AS bigint) * {STEP_MS}, cast(floor(({last} + {WINDOW_MS}) / {STEP_MS}) AS bigint) * {STEP_MS}, {STEP_MS}L)"
+FIRST_TICK, LAST_TICK = f"cast(ceil((last_ms - {LAG_MS}) / {STEP_MS}) AS bigint)", f"cast(floor((last_ms + {WINDOW_MS}) / {STEP_MS}) AS bigint)"
+
+
+def _ticks() -> str:
+    return f"sequence({FIRST_TICK} * {STEP_MS}, {LAST_TICK} * {STEP_MS}, {STEP_MS}L)"
 
 
 def prepare(segs: DataFrame) -> DataFrame:
-    return segment_scalars(first_seen(segs))
+    return first_seen(segment_scalars(segs))
 
 
 def segment_scalars(segs: DataFrame) -> DataFrame:
@@ -37,34 +43,41 @@ def segment_scalars(segs: DataFrame) -> DataFrame:
 
 
 def members(prepared: DataFrame) -> DataFrame:
-    """Each segment in each window it belongs to: last seen in the window, or up to LAG_MS behind its end."""
-    return prepared.withColumn("tick_end", F.explode(F.expr(_ticks()))).withColumn("start_ms", F.col("tick_end") - WINDOW_MS).repartition(*CELL)
+    """Each segment in each window it belongs to: last seen in the window, or up to LAG_MS behind its end.
+
+    What is exchanged is each segment once for each block of ticks it belongs to, seldom two; windows multiply
+    it in the block's task, where all that is grouped by DEALT stays.
+    """
+    block = lambda tick: f"cast(floor({tick} / {BLOCK_TICKS}) AS bigint)"
+    dealt = prepared.withColumn("_block", F.explode(F.expr(f"sequence({block(FIRST_TICK)}, {block(LAST_TICK)})"))).repartition(tasks(prepared, WINDOW_MS // STEP_MS + 1), "iface", "_block")
+    own = f"sequence(greatest({FIRST_TICK}, _block * {BLOCK_TICKS}) * {STEP_MS}, least({LAST_TICK}, _block * {BLOCK_TICKS} + {BLOCK_TICKS - 1}) * {STEP_MS}, {STEP_MS}L)"
+    return dealt.withColumn("tick_end", F.explode(F.expr(own))).withColumn("start_ms", F.col("tick_end") - WINDOW_MS)
 
 
 def spine(prepared: DataFrame) -> DataFrame:
     """Every tick of a link from its first window to its last."""
-    ends = prepared.groupBy("iface").agg(F.min(F.expr(f"cast(ceil((last_ms - {LAG_MS}) / {STEP_MS}) AS bigint)")).alias("a"), F.max(F.expr(f"cast(floor((last_ms + {WINDOW_MS}) / {STEP_MS}) AS bigint)")).alias("b"))
+    ends = prepared.groupBy("iface").agg(F.min(F.expr(FIRST_TICK)).alias("a"), F.max(F.expr(LAST_TICK)).alias("b"))
     return ends.select("iface", F.explode(F.sequence("a", "b")).alias("tick")).select("iface", (F.col("tick") * STEP_MS).alias("tick_end"))
 
 
 def flow_measures(m: DataFrame) -> DataFrame:
-    keys = m.groupBy(*CELL, "start_ms", "key").agg(
+    keys = m.groupBy(*DEALT, "start_ms", "key").agg(
         (F.max("last_ms") - F.min(F.least("first_ms", "first_seen_ms"))).alias("life"), F.sum(F.col("up_bytes") + F.col("down_bytes")).alias("bytes"),
         ((F.sum("syn") > 0) | (F.min(F.least("first_ms", "first_seen_ms")) >= F.col("start_ms"))).alias("new"))
-    return keys.groupBy(*CELL).agg(
+    return keys.groupBy(*DEALT).agg(
         F.count("*").alias("flows"), F.avg("life").alias("mean_lifetime_ms"), F.avg(F.col("new").cast("int")).alias("new_flow_frac"),
         F.coalesce(F.max("bytes") / F.nullif(F.sum("bytes"), F.lit(0)), F.lit(0.0)).alias("top_flow_share"))
 
 
 def sum_measures(m: DataFrame) -> DataFrame:
-    cell = Window.partitionBy(*CELL)
+    cell = Window.partitionBy(*DEALT)
     n = F.col("packets")
     m = m.withColumn("_mean", F.sum(F.col("mean_ps") * n).over(cell) / F.sum(n).over(cell))
     each = lambda x, y: F.coalesce(F.sum(x) / F.nullif(F.sum(y), F.lit(0)), F.lit(0.0))
     ways = [(F.col(f"{w}_packets"), F.col(f"{w}_mean_piat_ms"), F.col(f"{w}_stddev_piat_ms")) for w in ("up", "down")]
     cv_n = sum(F.when((k > 1) & (mean > 0), k - 1).otherwise(0) for k, mean, _ in ways)
     cv = sum(F.when((k > 1) & (mean > 0), sd / mean * (k - 1)).otherwise(0.0) for k, mean, sd in ways)
-    return m.groupBy(*CELL).agg(
+    return m.groupBy(*DEALT).agg(
         F.count_distinct("endpoint").alias("endpoints"), *(F.sum(c).alias(c) for c in ("up_bytes", "down_bytes", "up_packets", "down_packets")),
         each(F.col("mean_ps") * n, n).alias("mean_ps"), each((F.col("stddev_ps") * F.col("stddev_ps") + (F.col("mean_ps") - F.col("_mean")) * (F.col("mean_ps") - F.col("_mean"))) * n, n).alias("_var"),
         each(F.col("tiny") * n, n).alias("tiny_frac"), each(F.col("large") * n, n).alias("large_frac"),
@@ -81,30 +94,30 @@ def bin_table(m: DataFrame) -> DataFrame:
     frac = F.when(F.col("last_ms") > F.col("first_ms"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("b") - F.col("a")) / (F.col("last_ms") - F.col("first_ms"))))).otherwise(1.0)
     place = lambda c: f"cast(least({BINS - 1}, greatest(0, ({c} - start_ms) div {BIN_MS})) AS int)"
     m = m.withColumn("f", frac).withColumn("i0", F.expr(place("a"))).withColumn("i1", F.expr(place("b")))
-    spans = m.groupBy(*CELL, "i0", "i1").agg(F.sum(F.col("packets") * F.col("f")).alias("p"), F.sum(F.col("up_packets") * F.col("f")).alias("u"))
-    bins = spans.withColumn("bin", F.explode(F.sequence("i0", "i1"))).groupBy(*CELL, "bin").agg(F.sum(F.col("p") / (F.col("i1") - F.col("i0") + 1)).alias("packets"), F.sum(F.col("u") / (F.col("i1") - F.col("i0") + 1)).alias("up"))
-    dense = bins.select(*CELL).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
-    return dense.join(bins, [*CELL, "bin"], "left").select(*CELL, "bin", F.coalesce("packets", F.lit(0.0)).alias("packets"), F.coalesce("up", F.lit(0.0)).alias("up"))
+    spans = m.groupBy(*DEALT, "i0", "i1").agg(F.sum(F.col("packets") * F.col("f")).alias("p"), F.sum(F.col("up_packets") * F.col("f")).alias("u"))
+    none = F.array(F.struct(F.lit(0).alias("i0"), F.lit(BINS - 1).alias("i1"), F.lit(0.0).alias("p"), F.lit(0.0).alias("u")))  # makes all bins of the cell
+    spans = spans.groupBy(*DEALT).agg(F.collect_list(F.struct("i0", "i1", "p", "u")).alias("own")).select(*DEALT, F.inline(F.concat("own", none)))
+    each = lambda c: F.sum(F.col(c) / (F.col("i1") - F.col("i0") + 1))
+    return spans.withColumn("bin", F.explode(F.sequence("i0", "i1"))).groupBy(*DEALT, "bin").agg(each("p").alias("packets"), each("u").alias("up"))
 
 
 def burst_measures(bins: DataFrame) -> DataFrame:
-    by = Window.partitionBy(*CELL).orderBy("bin")
-    g = bins.withColumn("active", F.round("packets", 9) >= 0.5)
+    by, cell = Window.partitionBy(*DEALT).orderBy("bin"), Window.partitionBy(*DEALT)
+    g = bins.withColumn("active", F.round("packets", 9) >= 0.5).withColumn("up_bin_cv", F.when(F.avg("up").over(cell) > 0, F.stddev_pop("up").over(cell) / F.avg("up").over(cell)).otherwise(0.0))
     runs = (
         g.withColumn("new", F.when(F.lag("active").over(by) == F.col("active"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-        .groupBy(*CELL, "run").agg(F.first("active").alias("active"), F.count("*").alias("n"), F.min("bin").alias("first"), F.max("bin").alias("last"))
+        .groupBy(*DEALT, "run").agg(F.first("active").alias("active"), F.first("up_bin_cv").alias("up_bin_cv"), F.count("*").alias("n"), F.min("bin").alias("first"), F.max("bin").alias("last"))
     )
     on, off = F.col("active"), ~F.col("active")
     inner = F.when(off & (F.col("first") > 0) & (F.col("last") < BINS - 1), F.col("n"))
-    per_tick = runs.groupBy(*CELL).agg(
+    return runs.groupBy(*DEALT).agg(
+        F.first("up_bin_cv").alias("up_bin_cv"),
         (F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)) / BINS).alias("active_bin_frac"), F.count_if(on).alias("bursts"),
         F.coalesce(F.max(F.when(on, F.col("n"))) * BIN_MS, F.lit(0)).alias("longest_burst_ms"), F.coalesce(F.median(F.when(on, F.col("n"))) * BIN_MS, F.lit(0.0)).alias("typical_burst_ms"),
         F.coalesce(F.max(F.when(off, F.col("n"))) * BIN_MS, F.lit(0)).alias("longest_gap_ms"), F.count_if(off & (F.col("n") * BIN_MS >= 1000)).alias("gaps_over_1s"),
         F.when(F.count(inner) >= 2, F.stddev_pop(inner) / F.avg(inner)).otherwise(-1.0).alias("burst_gap_cv"),
         F.array_sort(F.collect_list(F.when(on, F.col("tick_end") - WINDOW_MS + F.col("first") * BIN_MS))).alias("burst_starts_ms"),
     )
-    ups = bins.groupBy(*CELL).agg(F.when(F.avg("up") > 0, F.stddev_pop("up") / F.avg("up")).otherwise(0.0).alias("up_bin_cv"))
-    return per_tick.join(ups, CELL)
 
 
 def new_endpoints(segs: DataFrame) -> DataFrame:
@@ -116,7 +129,9 @@ def measures(segs: DataFrame) -> DataFrame:
     """One row for each tick of each link, silent ones too. The prepared segments are written once and read by all parts."""
     prepared = store(prepare(segs), "prepared-segments")
     m = members(prepared)
-    joined = spine(prepared).join(flow_measures(m), CELL, "left").join(sum_measures(m), CELL, "left").join(burst_measures(bin_table(m)), CELL, "left").join(new_endpoints(prepared), CELL, "left")
+    joined = spine(prepared)
+    for part in (flow_measures(m), sum_measures(m), burst_measures(bin_table(m)), new_endpoints(prepared)):
+        joined = joined.join(part.drop("_block").hint("merge"), CELL, "left")  # as long as the log: never through the driver
     zero = lambda c, t="long": F.coalesce(c, F.lit(0).cast(t)).alias(c)
     whole = ("flows", "endpoints", "new_endpoints", "up_bytes", "down_bytes", "up_packets", "down_packets", "bursts", "longest_burst_ms")
     real = ("mean_ps", "ps_cv", "tiny_frac", "large_frac", "mean_piat_ms", "piat_cv", "tcp_frac", "udp_frac", "alternation", "active_bin_frac", "typical_burst_ms", "up_bin_cv", "mean_lifetime_ms", "new_flow_frac", "top_flow_share")
