@@ -57,13 +57,15 @@ class Plan(NamedTuple):
 
     entries: of all n-grams in it. least: the least level of words and of pairs in it. share: what part of all pairs in
     the training texts its pairs are. means: for words and for pairs, the mean count of those of each level; at
-    0, of the words that the filter leaves out (0 where it has all, and for pairs).
+    0, of the words that the filter leaves out (0 where it has all, and for pairs). counted: what part the pairs are that
+    were counted, in the filter or not.
     """
 
     entries: int
     least: tuple[int, int]
     share: float
     means: tuple[np.ndarray, np.ndarray]
+    counted: float
 
 
 def blocks_of(grams: np.ndarray, blocks: int) -> np.ndarray:
@@ -156,6 +158,14 @@ def before_each(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def shifted(values: np.ndarray, starts: np.ndarray, first: float) -> np.ndarray:
+    """The value of the word before each word; ``first`` before a text's first."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
+
+
 def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
     """Runs of texts of about ``size`` bytes."""
     own, held = [], 0
@@ -259,8 +269,9 @@ def filter_plan(counts: DataFrame) -> Plan:
     """The filter's plan from counts of n-grams by level.
 
     All n-grams enter while their entries fit FILTER_BYTES. Beyond it, the least level of pairs rises until they do,
-    then that of words: the model knows pairs from a higher count on, words last of all, and the chance of a false count stays
-    what ENTRY_BITS makes it. Words that are left out share the mean of their counts, so chances still sum to one.
+    then that of words, and the chance of a false count stays what ENTRY_BITS makes it. The counts of n-grams that are left out
+    are looked up in a join (``open_scores``), so the bound changes no score. A scorer that has the filter alone gives words
+    that are left out the mean of their counts, so chances still sum to one.
     """
     level = F.floor(F.log2("n")) + 1
     pair = F.col("gram").bitwiseAND(1) == 1
@@ -276,7 +287,8 @@ def filter_plan(counts: DataFrame) -> Plan:
         means[int(r["pair"]), r["level"]] = r["n"] / r["grams"]
     out = [r for r in rows if not r["pair"] and not inside(r)]
     means[0, 0] = sum(r["n"] for r in out) / max(1, sum(r["grams"] for r in out))
-    return Plan(entries, (least[0], least[1]), sum(r["n"] for r in rows if r["pair"] and inside(r)) / all_pairs, (means[0], means[1]))
+    part = lambda kept: sum(r["n"] for r in rows if r["pair"] and kept(r)) / all_pairs
+    return Plan(entries, (least[0], least[1]), part(inside), (means[0], means[1]), part(lambda r: True))
 
 
 def build_filter(counts: DataFrame, plan: Plan) -> np.ndarray:
@@ -350,22 +362,88 @@ class Scorer:
 
     def logs(self, words: np.ndarray, singles: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """``words`` are hashes and ``singles`` their counts, of texts laid one behind another."""
-        before = np.empty_like(singles)
-        before[1:] = singles[:-1]
-        before[starts] = self.start
         pairs, back = np.unique(pair_grams(before_each(words, starts), words), return_inverse=True)
-        both = self.means[1][levels(self.table, pairs)][back]
+        return self.chances(self.means[1][levels(self.table, pairs)][back], shifted(singles, starts, self.start), singles)
+
+    def chances(self, both: np.ndarray, before: np.ndarray, singles: np.ndarray) -> np.ndarray:
         alone = (singles + 1) / self.size
         known = DISCOUNT * np.minimum(1.0, both / np.maximum(before, 1)) + (1 - DISCOUNT * self.share) * alone
         return np.log10(np.where(before > 0, known, alone))
 
 
+class OpenPairs(NamedTuple):
+    """Pairs of texts for which the filter does not settle the score, each text's once.
+
+    text: the text's place. times: how often it has the pair. pair: its code. before, word: codes of the words that the
+    filter leaves out, else null. before_level, word_level: levels of those that it has, else 0.
+    """
+
+    text: np.ndarray
+    times: np.ndarray
+    pair: np.ndarray
+    before: pa.Array
+    word: pa.Array
+    before_level: np.ndarray
+    word_level: np.ndarray
+
+
+def settled(scorer: Scorer, least: tuple[int, int], words: np.ndarray, level: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, OpenPairs]:
+    """log10 probability of each token, 0 where counts that the filter leaves out are needed, and those pairs.
+
+    ``words`` are hashes and ``level`` their levels in the filter. An n-gram is in the filter from the least level
+    on, so one found below it is left out, or not there at all. A pair is counted from LEAST on: a word met less often has none.
+    """
+    first = int(levels(scorer.table, single_grams(word_hashes([b""])))[0])
+    ahead = shifted(level, starts, first)
+    codes = pair_grams(before_each(words, starts), words)
+    pairs, back = np.unique(codes, return_inverse=True)
+    both = levels(scorer.table, pairs)[back]
+    no_word, no_before = level < least[0], ahead < least[0]
+    possible = np.minimum(level, ahead) >= level_of(np.array([LEAST]))[0]
+    if least[0] == 1:
+        no_word[:] = no_before[:] = False
+    opened = no_word | no_before | (possible & (both < least[1]))
+    level, ahead = np.where(no_word, 0, level), np.where(no_before, 0, ahead)
+    logs = np.where(opened, 0.0, scorer.chances(np.where(both < least[1], 0.0, scorer.means[1][both]), scorer.means[0][ahead], scorer.means[0][level]))
+    at = np.flatnonzero(opened)
+    text = np.searchsorted(starts, at, side="right") - 1
+    keys, where, times = np.unique(text * len(pairs) + back[at], return_index=True, return_counts=True)
+    at = at[where]
+    ends = np.where(np.isin(at, starts), word_hashes([b""])[0], before_each(words, starts)[at])
+    code = lambda hashes, out: pa.array(single_grams(hashes).view(np.int64), mask=~out)
+    return logs, OpenPairs(keys // max(1, len(pairs)), times, codes[at].view(np.int64), code(ends, no_before[at]), code(words[at], no_word[at]), ahead[at], level[at])
+
+
+def open_scores(pairs: DataFrame, counts: DataFrame, plan: Plan, size: int) -> DataFrame:
+    """(row, score): what ``OpenPairs`` add to the score of each row, by the counts of the n-grams that the filter leaves out."""
+    level = lambda n: F.length(F.bin(n))
+    mean = lambda kind, at: F.get(F.array(*(F.lit(float(x)) for x in plan.means[kind])), at)
+    is_pair = F.col("gram").bitwiseAND(1) == 1
+    rest = counts.filter(level(F.col("n")) < F.when(is_pair, plan.least[1]).otherwise(plan.least[0]))
+
+    def met(rows: DataFrame, key: str, kind: int, name: str) -> DataFrame:
+        own = rest.filter(is_pair if kind else ~is_pair).select(F.col("gram").alias(key), mean(kind, level(F.col("n"))).alias(name))
+        return rows.join(own, key, "left")
+
+    n_before, n_word = mean(0, F.col("before_level")), mean(0, F.col("word_level"))
+    if plan.least[0] == 1:
+        rows = met(pairs.select("row", "times", "pair", "before_level", "word_level"), "pair", 1, "_both")
+    else:  # where the filter has the word, the key is the pair's code, which is no word's: nulls would meet in one task
+        rows = met(pairs.withColumns({c: F.coalesce(c, "pair") for c in ("before", "word")}), "pair", 1, "_both")
+        rows = met(met(rows, "before", 0, "_before"), "word", 0, "_word")
+        n_before, n_word = F.coalesce("_before", n_before), F.coalesce("_word", n_word)
+    alone = (n_word + 1) / F.lit(float(size))
+    known = DISCOUNT * F.least(F.lit(1.0), F.coalesce("_both", F.lit(0.0)) / F.greatest(n_before, F.lit(1.0))) + (1 - DISCOUNT * plan.counted) * alone
+    return rows.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.when(n_before > 0, known).otherwise(alone))).alias("score"))
+
+
 def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``.
 
     base_score: smoothed unigrams over words and an end, with exact counts: common tokens are
     summed in the tasks by a bounded table, all others meet their counts in a join on the
-    token. score: log10 probability of the tokens under the Bloom-filter model. Null text counts
+    token. score: log10 probability of the tokens under the Bloom-filter model; where the filter is too small for all
+    n-grams, texts' pairs that it doesn't settle are written, and meet the counts left out in a join on the code. Null text counts
     as empty: one end token. Rows repeated with one id give one row each; rows without an id are scored like others; an
     empty table gives an empty result.
     """
@@ -376,15 +454,18 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast({bytes(r["token"]): r["n"] for r in counts.filter(F.col("n") > total / COMMON_TOKENS).collect()})  # fewer than COMMON_TOKENS by the threshold
     grams = store(gram_counts(training, total), "gram-counts")
     plan = filter_plan(grams)
+    least, whole = plan.least, plan.least == (1, 1)
+    plan = plan._replace(share=plan.counted, means=(np.append(0.0, plan.means[0][1:]), plan.means[1]))  # the join has what the filter leaves out
     model = spark.sparkContext.broadcast((build_filter(grams, plan), plan, total, distinct))  # FILTER_BYTES at most
     ddl = "doc_id long, row long, token binary, times long, n_tokens long, n_known long, logs double, score double"
+    ddl += "" if whole else ", pair long, before long, word long, before_level int, word_level int"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, exact = Scorer(*model.value), common.value
         vocabulary = Vocabulary()
-        none = np.zeros(0), np.zeros(0, dtype=np.uint64), np.zeros(0)
-        logs, hashes, singles = none  # of each word: log of its exact count plus one if it is common, else 0; hash; count in the filter
+        none = np.zeros(0), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        logs, hashes, level = none  # of each word: log of its exact count plus one if it is common, else 0; hash; level in the filter
         for batch in batches:
             ids, row_numbers = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             at = 0
@@ -393,10 +474,14 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
                 new = vocabulary.words[len(hashes) :]
                 fresh = word_hashes(new)
                 logs = np.concatenate((logs, np.log10(np.fromiter((exact.get(w, 0) for w in new), dtype=np.float64, count=len(new)) + 1)))
-                hashes, singles = np.concatenate((hashes, fresh)), np.concatenate((singles, scorer.counts(fresh)))
+                hashes, level = np.concatenate((hashes, fresh)), np.concatenate((level, levels(scorer.table, single_grams(fresh))))
                 sizes = np.diff(np.append(starts, len(numbers)))
                 own = logs[numbers]
-                score = np.add.reduceat(scorer.logs(hashes[numbers], singles[numbers], starts), starts)
+                if whole:
+                    of_tokens = scorer.logs(hashes[numbers], plan.means[0][level][numbers], starts)
+                else:
+                    of_tokens, opened = settled(scorer, least, hashes[numbers], level[numbers], starts)
+                score = np.add.reduceat(of_tokens, starts)
                 known, base = np.add.reduceat((own > 0).astype(np.int64), starts), np.add.reduceat(own, starts)
                 # rarer tokens: one row for each text and token
                 rare = np.flatnonzero(own == 0)
@@ -407,19 +492,30 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
                 # one row of each text itself, under a token that no text has, then its rarer tokens
                 mine, n = slice(at, at + len(texts)), len(keys)
                 zeros, blank = np.zeros(n, dtype=np.int64), np.zeros(n)
+                nulls = [] if whole else [pa.nulls(len(texts) + n, f.type) for f in list(schema)[8:]]
                 yield record_batch(schema, [
                     ids[mine] + of_text(ids), row_numbers[mine] + of_text(row_numbers), [b" %d" % r for r in row_numbers[mine]] + [vocabulary.words[i] for i in word.tolist()],
-                    np.concatenate((np.zeros(len(texts), dtype=np.int64), times)), np.concatenate((sizes, zeros)), np.concatenate((known, zeros)), np.concatenate((base, blank)), np.concatenate((score, blank))])
+                    np.concatenate((np.zeros(len(texts), dtype=np.int64), times)), np.concatenate((sizes, zeros)), np.concatenate((known, zeros)), np.concatenate((base, blank)), np.concatenate((score, blank)), *nulls])
+                if not whole and len(opened.text):
+                    n, text = len(opened.text), opened.text
+                    blanks = [pa.nulls(n, f.type) for f in list(schema)[4:8]]
+                    yield record_batch(schema, [of_text(ids), of_text(row_numbers), pa.nulls(n, pa.binary()), opened.times, *blanks, *opened[2:]])
                 at += len(texts)
                 if len(vocabulary) > TABLE_ENTRIES:
-                    vocabulary, (logs, hashes, singles) = Vocabulary(), none
+                    vocabulary, (logs, hashes, level) = Vocabulary(), none
 
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, ddl)
+    if not whole:
+        rows = store(rows, "scored")
+        opened = open_scores(rows.filter(F.col("pair").isNotNull()), grams, plan, total + distinct + 1)
+        rows = rows.filter(F.col("pair").isNull()).select(*rows.columns[:8])
     met = rows.join(counts, "token", "left")
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
         (F.sum("logs") + F.sum(F.when(F.col("n").isNotNull(), F.col("times") * F.log10(F.col("n") + 1)).otherwise(0.0))).alias("logs"), F.sum("score").alias("score"))
+    if not whole:
+        sums = sums.join(opened.withColumnRenamed("score", "_more"), "row", "left").withColumn("score", F.col("score") + F.coalesce("_more", F.lit(0.0)))
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))).alias("base_score"), "score")
 
 

@@ -349,6 +349,25 @@ def test_chances_sum_to_one(spark, make, monkeypatch, most):
     assert abs(np.average([x for x, _ in sums], weights=[n for _, n in sums]) - 1) < 0.06
 
 
+@pytest.mark.parametrize("most, least", [(20_000, 1), (9_000, 2)])
+def test_scores_do_not_depend_on_the_bound(make, monkeypatch, most, least):
+    """What a filter too small for all n-grams leaves out, pairs or words too, comes back by the join."""
+    monkeypatch.setattr(lm_scoring, "FILTER_BYTES", most)
+    monkeypatch.setattr(lm_scoring, "ENTRY_BITS", 100)
+    plans, planned = [], lm_scoring.filter_plan
+    monkeypatch.setattr(lm_scoring, "filter_plan", lambda counts: plans.append(planned(counts)) or plans[-1])
+    rng = np.random.default_rng(5)
+    texts = [None, "", "w1 w1 w1 w1", *(" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 60) if k < 3000) for _ in range(90))]
+    training = [k % 7 != 2 for k in range(len(texts))]
+    docs = make(texts)
+    rows = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, docs.filter("doc_id % 7 <> 2")).collect()}
+    assert len(rows) == len(texts) and plans[0].least[1] > 1 and (plans[0].least[0] > 1) == (least > 1)
+    for i, (n, known, total, base, score) in enumerate(brute_scores(texts, training)):
+        r = rows[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9), i
+
+
 def test_filter_is_built_in_few_jobs(spark, make):
     """However many partitions the counts have, the blocks come to the driver at once."""
     grams = spark.range(0, 5000, numPartitions=20).selectExpr("xxhash64(id) AS gram", "id % 9 + 1 AS n")
