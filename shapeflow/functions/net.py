@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 #: IPv4 networks that count as private, and addresses within them that do not. Fixed values.
 PRIVATE_V4 = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32")
 NOT_PRIVATE_V4 = ("192.0.0.9/32", "192.0.0.10/32")
+#: Four decimal bytes without leading zeros, and how the text of private addresses begins.
+IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+PRIVATE_V4_TEXT = r"^(?:0|10|127|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|192\.(?:0\.[02]|168)|198\.(?:1[89]|51\.100)|203\.0\.113|2[45][0-9])\."
 
 
 def ipv4_number(ip: Column) -> Column:
     """The address as a long; null for anything but four decimal bytes without leading zeros."""
-    ok = ip.rlike(r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$")
-    parts = F.split(ip, r"\.")
-    number = sum((parts[i].try_cast("long") * (1 << 8 * (3 - i)) for i in range(1, 4)), parts[0].try_cast("long") * (1 << 24))
+    ok = ip.rlike(IPV4)
+    part = lambda i: F.substring_index(F.substring_index(ip, ".", i + 1), ".", -1).try_cast("long")
+    number = sum((part(i) * (1 << 8 * (3 - i)) for i in range(1, 4)), part(0) * (1 << 24))
     return F.when(ok, number)
 
 
@@ -46,6 +49,11 @@ def is_private_v4(ip: Column) -> Column:
     return in_networks(ip, PRIVATE_V4) & ~in_networks(ip, NOT_PRIVATE_V4)
 
 
+def is_private_v4_text(ip: Column) -> Column:
+    """``is_private_v4`` by the text alone, without a number."""
+    return ip.rlike(PRIVATE_V4_TEXT) & ip.rlike(IPV4) & ~ip.isin(*(net.split("/")[0] for net in NOT_PRIVATE_V4))
+
+
 def is_private_number(number: Column) -> Column:
     """``is_private_v4`` of an address that is a number already."""
     return number_in(number, PRIVATE_V4) & ~number_in(number, NOT_PRIVATE_V4)
@@ -53,10 +61,10 @@ def is_private_number(number: Column) -> Column:
 
 def private_addresses(addresses: DataFrame, column: str) -> DataFrame:
     """(column, private) for each distinct address of either version; false for text that is no address."""
-    from shapeflow.functions.addresses import is_private_address, parsed_address
+    from shapeflow.functions.addresses import is_private_text
 
     distinct = addresses.select(column).filter(F.col(column).isNotNull()).distinct()
-    return distinct.withColumn("_p", F.explode(F.array(parsed_address(F.col(column))))).select(column, is_private_address(F.col("_p")).alias("private"))
+    return distinct.select(column, is_private_text(F.col(column)).alias("private"))
 
 
 def salted_id(salt: str, *parts: Column) -> Column:

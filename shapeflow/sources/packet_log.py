@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeflow.functions.addresses import bound, is_private_address, longest_prefix, parsed_address
+from shapeflow.functions.addresses import is_private_text, longest_prefix
 from shapeflow.functions.net import endpoint_id, flow_id
 
 #: Groups: time, source, source port, destination, destination port, tcp, its length, UDP, its length. Fixed value.
@@ -32,20 +32,22 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def line_counts(lines: DataFrame, local: list[str] | None = None) -> DataFrame:
-    """Per link: all lines, and those that give no packet, be it that they don't match or that neither host is the profiled side."""
-    p = with_direction(parse(lines), local)
-    return p.groupBy("iface").agg(F.count("*").alias("total_lines"), F.count_if(F.col("out").isNull()).alias("skipped_lines"))
+    """Per link: all lines, and those that give no packet, be it that they don't match or that neither host is the profiled side.
+
+    Lines between the same two hosts are counted before their direction is told, once for all of them.
+    """
+    p = with_direction(parse(lines).groupBy("iface", "src", "dst").agg(F.count("*").alias("n")), local)
+    return p.groupBy("iface").agg(F.sum("n").alias("total_lines"), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("n"))), F.lit(0)).alias("skipped_lines"))
 
 
 def with_direction(parsed: DataFrame, local: list[str] | None = None) -> DataFrame:
     """``out``: true outwards, false inwards, null for packets of other hosts: a local address decides, else the private side is the local one.
 
-    Addresses of both versions become numbers once a line, and the answer leaves through a generator, behind which nothing computes it again.
+    What is known of the two addresses leaves through a generator, behind which nothing computes it again.
     """
     named = lambda side: F.col(side).isin(local or [])
-    ends = F.struct(parsed_address(F.col("src")).alias("src"), parsed_address(F.col("dst")).alias("dst"))
-    out = bound(ends, lambda n: direction(named("src"), named("dst"), is_private_address(n["src"]), is_private_address(n["dst"])))
-    return parsed.select("*", F.explode(F.array(out)).alias("out"))
+    known = parsed.select("*", F.explode(F.array(F.struct(is_private_text(F.col("src")).alias("src"), is_private_text(F.col("dst")).alias("dst")))).alias("_private"))
+    return known.select(*parsed.columns, direction(named("src"), named("dst"), F.col("_private.src"), F.col("_private.dst")).alias("out"))
 
 
 def direction(local_src: Column, local_dst: Column, private_src: Column, private_dst: Column) -> Column:
@@ -58,7 +60,7 @@ def with_direction_by(parsed: DataFrame, networks: DataFrame) -> DataFrame:
     Each distinct address is looked up once, and what is known of it comes back by two joins on the address.
     """
     ends = parsed.select(F.explode(F.array("src", "dst")).alias("ip"))
-    known = longest_prefix(ends, "ip", networks).withColumn("_p", F.explode(F.array(parsed_address(F.col("ip"))))).select("ip", F.col("net").isNotNull().alias("local"), is_private_address(F.col("_p")).alias("private"))
+    known = longest_prefix(ends, "ip", networks).select("ip", F.col("net").isNotNull().alias("local"), F.explode(F.array(is_private_text(F.col("ip")))).alias("private"))
     side = lambda name: known.select(F.col("ip").alias(name), F.struct("local", "private").alias(f"_{name}"))
     both = parsed.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
     return both.select(*parsed.columns, direction(F.col("_src.local"), F.col("_dst.local"), F.col("_src.private"), F.col("_dst.private")).alias("out"))

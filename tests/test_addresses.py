@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from shapeflow.functions import addresses as A
+from shapeflow.functions import net as N
 from shapeflow.sources import packet_log
 
 ODD = [
@@ -41,6 +42,33 @@ def test_keys_and_private_addresses(spark):
     assert [int(ipaddress.ip_address(r["ip"])) for r in v6] == sorted(int(ipaddress.ip_address(r["ip"])) for r in v6)
 
 
+def test_private_addresses_by_text(spark):
+    """The patterns that decide most addresses agree with the standard library, at the edges of all networks too."""
+    edges = {str(ipaddress.IPv4Address(n)) for net in (*N.PRIVATE_V4, *N.NOT_PRIVATE_V4, "192.0.0.8/29", "172.16.0.0/12") for low, high in [N.bounds(net)] for n in (low - 1, low, low + 1, high, high + 1) if 0 <= n < 1 << 32}
+    groups = ["", "0", "00", "0000", "1", "db8", "0db8", "fd00", "fbff", "fe80", "febf", "fec0", "2001", "2002", "ff9b", "1ff", "200", "64", "0064", "100", "ffff", "10.0.0.1", "8.8.8.8"]
+    rng = random.Random(9)
+    texts = {":".join(rng.choice(groups) for _ in range(rng.randint(2, 9))) for _ in range(6000)} | {f"{a}:{b}::{c}" for a in groups for b in groups for c in groups[:6]}
+    texts |= edges | {"::ffff:" + x for x in edges} | {"::FFFF:10.0.0.1", "::ffff:10.1", "10.0.0", "10.0.0.256"} | set(some_addresses())
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "ip string").select("ip", A.is_private_text(F.col("ip")).alias("private")).collect()
+    for r in rows:
+        try:
+            want = ipaddress.ip_address(r["ip"]).is_private
+        except ValueError:
+            want = False
+        assert r["private"] == want, r["ip"]
+
+
+def test_addresses_are_distinct_before_they_are_parsed(spark):
+    """Keys are made of written distinct addresses and networks; lines between two hosts are counted before their direction is told."""
+    ips = spark.createDataFrame([("10.1.2.3",)] * 3 + [("2600::1",)], "ip string")
+    found = A.longest_prefix(ips, "ip", spark.createDataFrame([("10.0.0.0/8",)] * 2, "net string"))
+    assert {f.split("/")[-2].split("-")[0] for f in found.inputFiles()} == {"addresses", "networks"}
+    lines = spark.createDataFrame([("a", 1, "1.5 IP 10.0.0.1.5 > 8.8.8.8.6: tcp 9"), ("a", 2, "junk"), ("a", 3, "1.6 IP 10.0.0.1.7 > 8.8.8.8.6: tcp 9"), ("b", 4, "1.5 IP 9.9.9.9.5 > 8.8.8.8.6: tcp 9")], "iface string, seq long, value string")
+    counts = packet_log.line_counts(lines)
+    assert sorted(map(tuple, counts.collect())) == [("a", 3, 1), ("b", 1, 1)]
+    assert str(counts._jdf.queryExecution().optimizedPlan()).count("Aggregate") == 2
+
+
 def test_smallest_network_of_each_address(spark):
     rng = random.Random(8)
     nets = ["10.1.2.3/8", "10.0.0.0/8", "10.1.0.0/16", "10.1.2.3", "0.0.0.0/0", "::/0", "2600::/20", "2600:9000::5/33", "2600:9000::5", "fe80::/10", "::ffff:10.0.0.0/104", "junk", "1.2.3.4/33", "1.2.3.4/x", "::/129", "1.2.3.4/5/6", ""]
