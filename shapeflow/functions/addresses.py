@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeflow.functions.net import bounds, ipv4_number, is_private_number, is_private_v4_text
+from shapeflow.functions.net import bounds, ipv4_number, is_private_number, is_private_v4
 from shapeflow.session import store
 
 #: IPv6 networks that count as private, and networks within them that do not. Fixed values.
@@ -89,7 +89,7 @@ def is_private_text(ip: Column) -> Column:
     """``is_private_address`` of text, which patterns decide for all but a few networks; only the rest becomes numbers."""
     others = bound(parsed_address(ip), is_private_address)
     return (
-        F.when(ip.isNull(), False).when(~F.contains(ip, F.lit(":")), is_private_v4_text(ip)).when(ip.rlike(MAPPED_TEXT), is_private_v4_text(F.substring(ip, 8, 99)))
+        F.when(ip.isNull(), False).when(~F.contains(ip, F.lit(":")), is_private_v4(ip)).when(ip.rlike(MAPPED_TEXT), is_private_v4(F.substring(ip, 8, 99)))
         .when(~ip.rlike(MAY_BE_PRIVATE), False).when(ip.rlike(PRIVATE_V6_TEXT), True).otherwise(others)
     )
 

@@ -46,12 +46,8 @@ def in_networks(ip: Column, cidrs: tuple[str, ...] | list[str]) -> Column:
 
 
 def is_private_v4(ip: Column) -> Column:
-    return in_networks(ip, PRIVATE_V4) & ~in_networks(ip, NOT_PRIVATE_V4)
-
-
-def is_private_v4_text(ip: Column) -> Column:
-    """``is_private_v4`` by the text alone, without a number."""
-    return ip.rlike(PRIVATE_V4_TEXT) & ip.rlike(IPV4) & ~ip.isin(*(net.split("/")[0] for net in NOT_PRIVATE_V4))
+    """Whether an IPv4 address is private, by patterns of its text, without a number; false for other text."""
+    return F.coalesce(ip.rlike(PRIVATE_V4_TEXT) & ip.rlike(IPV4) & ~ip.isin(*(net.split("/")[0] for net in NOT_PRIVATE_V4)), F.lit(False))
 
 
 def is_private_number(number: Column) -> Column:

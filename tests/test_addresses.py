@@ -58,6 +58,13 @@ def test_private_addresses_by_text(spark):
         assert r["private"] == want, r["ip"]
 
 
+def test_private_v4_needs_no_lambda(spark):
+    """Patterns decide: a lambda is not compiled, and flow records ask twice a row."""
+    rows = spark.createDataFrame([("10.1.2.3",), ("192.0.0.9",), ("10.1.2.3.4",), (None,)], "ip string").select("ip", N.is_private_v4(F.col("ip")).alias("private"))
+    assert [r["private"] for r in rows.collect()] == [True, False, False, False]
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_addresses_are_distinct_before_they_are_parsed(spark):
     """Keys are made of written distinct addresses and networks; lines between two hosts are counted before their direction is told."""
     ips = spark.createDataFrame([("10.1.2.3",)] * 3 + [("2600::1",)], "ip string")
