@@ -47,10 +47,11 @@ def _blocks(answers: DataFrame, keys: list[str], *also: Column) -> DataFrame:
     answers before it, so a link of any length is spread over tasks. The weighted sum over the last 64 answers is put together
     by doubling: each step adds the sums that end as far back as they reach.
     """
-    s = numbered_within(answers.select("iface", "tick", "probabilities"), "iface", "tick", "_nth", tasks(answers))
+    n = tasks(answers)
     p = F.array(*(F.coalesce(F.try_element_at("probabilities", F.lit(k)), F.lit(0.0)) for k in keys))
-    s = s.select("iface", "tick", "_nth", *also, p.alias("_p")).withColumn("_nth", F.col("_nth") - 1).withColumn("_own", F.expr(f"_nth div {BLOCK}"))
-    s = s.withColumn("_block", F.explode(F.when(F.col("_nth") % BLOCK >= BLOCK - LOOK_BACK, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))).repartition(tasks(answers), "iface", "_block")
+    s = numbered_within(answers.select("iface", "tick", "probabilities"), "iface", "tick", "_nth", n, ("iface", "tick", *also, p.alias("_p")))
+    s = s.withColumn("_nth", F.col("_nth") - 1).withColumn("_own", F.expr(f"_nth div {BLOCK}"))
+    s = s.withColumn("_block", F.explode(F.when(F.col("_nth") % BLOCK >= BLOCK - LOOK_BACK, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))).repartition(n, "iface", "_block")
     by, names = Window.partitionBy("iface", "_block").orderBy("_nth"), [f"_s{i}" for i in range(len(keys))]
     s = s.select("*", *((F.get("_p", F.lit(i)) * ALPHA).alias(c) for i, c in enumerate(names)))
     for k in (1, 2, 4, 8, 16, 32):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapeflow.session import store, tasks
+from shapeflow.session import one_task_each, store
 
 RANGE = "_range"
 
@@ -47,7 +47,7 @@ def running(rows: DataFrame, group: list[str], order: list[str], **values: tuple
     upto = lambda part, left_out: Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if left_out else 0)
     if RANGE not in rows.columns:
         return rows.select("*", *(_over(kind, value).over(upto(group, out)).alias(name) for name, (kind, value, out) in values.items()))
-    rows = rows.repartition(tasks(rows), RANGE, *group)
+    rows = one_task_each(rows, RANGE)
     inside = rows.select("*", *(_over(kind, value).over(upto([RANGE, *group], out)).alias(name) for name, (kind, value, out) in values.items()))
     own = rows.groupBy(*group, RANGE).agg(*(_of_range(kind, value, order).alias(name) for name, (kind, value, _) in values.items()))
     ahead = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from shapeflow.operators import answers as A
 from shapeflow.operators import scans
 from shapeflow.operators import segments as S
+from shapeflow.operators.ranks import numbered_within
+from shapeflow.session import one_task_each
 from shapeflow.sources import derived
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +105,14 @@ def test_a_link_is_smoothed_in_blocks(spark, monkeypatch):
             assert abs(found[tick, k] - mean[k]) < 1e-12
     top = A.top_smoothed(rows, keys, 1).collect()
     assert len(top) == 700 and all(r["rank"] == 1 and r["smoothed"] == max(found[r["tick"], k] for k in keys) for r in top)
+
+
+def test_a_range_is_a_tasks_share(spark):
+    """Ranges dealt by their hashes fell together, so the largest task grew with their number."""
+    rows = spark.range(2400).selectExpr("if(id < 2200, 'hot', if(id < 2300, 'b', null)) AS g", "id * 7 % 2400 AS at")
+    numbered = numbered_within(rows, "g", "at", "nth", 24).withColumn("task", F.spark_partition_id())
+    assert max(r["count"] for r in numbered.groupBy("task").count().collect()) < 250
+    places = {g: sorted(r["nth"] for r in numbered.filter(F.col("g").eqNullSafe(F.lit(g))).collect()) for g in ("hot", "b", None)}
+    assert places == {g: list(range(1, n + 1)) for g, n in (("hot", 2200), ("b", 100), (None, 100))}
+    ranged = one_task_each(scans.in_ranges(rows, ["g"], ["at"], 24), scans.RANGE).withColumn("task", F.spark_partition_id())
+    assert ranged.groupBy("task").agg(F.countDistinct(scans.RANGE).alias("n")).filter("n > 1").isEmpty()
