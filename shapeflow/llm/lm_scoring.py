@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeflow.llm.common import arrow_schema, byte_texts, documents, record_batch, small_batches, store
+from shapeflow.llm.common import arrow_schema, documents, record_batch, small_batches, store
 
 #: Least count of a pair of words in the model. Pairs met once are as many as the corpus is long and tell nothing of the next text.
 LEAST = 2
@@ -27,10 +28,12 @@ LEVELS = 60
 #: Bits for each (n-gram, level) entry, and the most bytes of the whole filter: the broadcast's bound.
 ENTRY_BITS = 12
 FILTER_BYTES = 64 << 20
-#: Most tokens whose exact counts travel to the workers; all others meet their counts in a join.
+#: Most tokens whose exact counts travel to the workers, the most frequent ones; all others meet their counts in a join.
 COMMON_TOKENS = 400_000
-#: Words (or tokens) that a task's table holds before it starts anew.
+#: Tokens with their counts that a task gathers before it sums them up and hands them on.
 TABLE_ENTRIES = 400_000
+#: Bytes of texts whose words are numbered together.
+TEXT_BYTES = 4 << 20
 #: N-grams that a task gathers before it hands their counts on, and training tokens for each bucket of counts.
 SLICE, BUCKET_TOKENS = 1 << 21, 1 << 20
 START = np.uint64(0x5851F42D4C957F2D)
@@ -74,13 +77,13 @@ def blocks_of(grams: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def places(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """First bit and step of the HASHES bits that stand for a level of each n-gram in its block."""
+    """First bit and step of the HASHES bits that stand for a level of each n-gram in its block, of which 16 bits count: a block has 2 ** 15."""
     g = mix(grams ^ np.uint64(0x9E3779B97F4A7C15 * level & 0xFFFFFFFFFFFFFFFF))
-    return g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+    return g.astype(np.uint16), (g >> np.uint64(32)).astype(np.uint16) | np.uint16(1)
 
 
 def bit_at(first: np.ndarray, step: np.ndarray, k: int) -> np.ndarray:
-    return ((first + step * np.uint64(k)) % np.uint64(BLOCK_BYTES * 8)).astype(np.int64)
+    return (first + step * np.uint16(k)) & np.uint16(BLOCK_BYTES * 8 - 1)
 
 
 def levels(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -88,11 +91,16 @@ def levels(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
     base = blocks_of(grams, len(table) // BLOCK_BYTES) * BLOCK_BYTES
     out, alive, level = np.zeros(len(grams), dtype=np.int64), np.arange(len(grams)), 1
     while len(alive) and level <= LEVELS:
-        first, step = places(grams[alive], level)
-        for k in range(HASHES):  # most n-grams that are not there end at their first bit
-            bit = bit_at(first, step, k)
-            found = (table[base[alive] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0
-            alive, first, step = alive[found], first[found], step[found]
+        first, step = places(grams, level)
+
+        def found(k: int) -> np.ndarray:
+            bit = bit_at(first, step, k)  # noqa: B023
+            return table[base + (bit >> np.uint16(3))] >> (bit & np.uint16(7)).astype(np.uint8) & np.uint8(1)  # noqa: B023
+
+        at = np.flatnonzero(found(0))  # most n-grams that are not there end at their first bit
+        alive, grams, base, first, step = alive[at], grams[at], base[at], first[at], step[at]
+        at = np.flatnonzero(np.bitwise_and.reduce([found(k) for k in range(1, HASHES)]))
+        alive, grams, base = alive[at], grams[at], base[at]
         out[alive] = level
         level += 1
     return out
@@ -104,40 +112,88 @@ def false_count_rate(table: np.ndarray) -> float:
     return float((filled**HASHES).mean())
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.Table]:
+    """The rows of batches in runs of about ``size`` bytes of text (TEXT_BYTES), one row at least; the last run may be shorter."""
+    size = size or TEXT_BYTES
+    own, held = [], 0
+    for batch in batches:
+        upto = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            end = min(batch.num_rows, max(at + 1, int(np.searchsorted(upto, upto[at] + size - held))))
+            own.append(batch.slice(at, end - at))
+            held += int(upto[end] - upto[at])
+            at = end
+            if held >= size:
+                yield pa.Table.from_batches(own)
+                own, held = [], 0
+    if own:
+        yield pa.Table.from_batches(own)
+
+
+def count_steps(counts: DataFrame) -> tuple[int, int, int]:
+    """Sum and number of all counts, and the least step above which there are COMMON_TOKENS at most. Steps are eight to a doubling."""
+    rows = counts.groupBy(count_step().alias("step")).agg(F.count("*").alias("tokens"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()  # eight rows a level at most
+    above, held = -1, 0
+    for r in rows:
+        held += r["tokens"]
+        if held > COMMON_TOKENS:
+            above = r["step"]
+            break
+    return sum(r["n"] for r in rows), sum(r["tokens"] for r in rows), above
+
+
+def count_step() -> Column:
+    return F.floor(F.log2("n") * 8)
+
+
+class Tokens(NamedTuple):
+    """Tokens of some texts: each text's words and one end, the empty word.
+
+    words: the distinct ones, the end last. numbers: each token's place in ``words``. starts: where each text's tokens start.
+    """
+
+    words: pa.Array
+    numbers: np.ndarray
+    starts: np.ndarray
+
+
+def tokens_of(texts: pa.ChunkedArray) -> Tokens:
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.combine_chunks(), "")))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    real = pc.binary_length(flat).to_numpy() > 0  # blanks at an edge leave an empty piece
+    upto = np.append(0, np.cumsum(real))[offsets - offsets[0]]
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    texts_before = np.arange(len(lists))
+    numbers = np.full(int(upto[-1]) + len(lists), len(coded.dictionary), dtype=np.int64)
+    word = np.ones(len(numbers), dtype=bool)
+    word[upto[1:] + texts_before] = False
+    numbers[word] = coded.indices.to_numpy()
+    return Tokens(pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([b""], type=pa.binary())]), numbers, upto[:-1] + texts_before)
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over all rows of ``docs``: words and one end (the empty string) for each text."""
     schema = arrow_schema("token binary, n long")
 
+    def summed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return iter(pa.Table.from_batches(held, schema).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(schema.names).to_batches())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
-        for batch in batches:
-            for text in byte_texts(batch.column("text")):
-                own.update(text.lower().split())
-                own[b""] += 1
-            if len(own) > TABLE_ENTRIES:
-                yield record_batch(schema, [list(own), list(own.values())])
-                own.clear()
-        yield record_batch(schema, [list(own), list(own.values())])
+        held: list[pa.RecordBatch] = []
+        for rows in slices(batches):
+            words, numbers, _ = tokens_of(rows["text"])
+            held.append(record_batch(schema, [words, np.bincount(numbers, minlength=len(words))]))
+            if sum(x.num_rows for x in held) > TABLE_ENTRIES:
+                yield from summed(held)
+                held = []
+        yield from summed(held)
 
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary(dict):
-    """word -> its number in ``words``, given when a text first has it."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.words: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.words)
-        self.words.append(word)
-        return number
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    one = xxhash.xxh3_64_intdigest
-    return np.fromiter((one(w) for w in words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def single_grams(words: np.ndarray) -> np.ndarray:
@@ -166,30 +222,6 @@ def shifted(values: np.ndarray, starts: np.ndarray, first: float) -> np.ndarray:
     return out
 
 
-def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Runs of texts of about ``size`` bytes."""
-    own, held = [], 0
-    for x in texts:
-        own.append(x)
-        held += len(x)
-        if held >= size:
-            yield own
-            own, held = [], 0
-    if own:
-        yield own
-
-
-def tokens_of(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of some texts, each text's words and one end (the empty word), and where each text starts."""
-    flat: list[bytes] = []
-    starts = []
-    for x in texts:
-        starts.append(len(flat))
-        flat += x.lower().split()
-        flat.append(b"")
-    return np.fromiter(map(vocabulary.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array(starts, dtype=np.int64)
-
-
 def counted(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct codes with the sums of their counts."""
     order = np.argsort(codes, kind="stable")
@@ -227,19 +259,14 @@ def gram_counts(docs: DataFrame, tokens: int) -> DataFrame:
         return record_batch(run_schema, [bucket[edge[:-1]].astype(np.int32), [squeezed(x) for x in steps], [squeezed(counts[s:e].astype(np.uint32)) for s, e in ranges]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, hashes = Vocabulary(), np.zeros(0, dtype=np.uint64)
         held: list[np.ndarray] = []
-        for batch in batches:
-            for texts in slices(byte_texts(batch.column("text"))):
-                numbers, starts = tokens_of(texts, vocabulary)
-                hashes = np.concatenate((hashes, word_hashes(vocabulary.words[len(hashes) :])))
-                words = hashes[numbers]
-                held += [single_grams(words), pair_grams(before_each(words, starts), words)]
-                if len(vocabulary) > TABLE_ENTRIES:
-                    vocabulary, hashes = Vocabulary(), hashes[:0]
-                if sum(map(len, held)) >= SLICE:
-                    yield hand_on(held)
-                    held = []
+        for rows in slices(batches):
+            distinct, numbers, starts = tokens_of(rows["text"])
+            words = word_hashes(distinct.to_pylist())[numbers]
+            held += [single_grams(words), pair_grams(before_each(words, starts), words)]
+            if sum(map(len, held)) >= SLICE:
+                yield hand_on(held)
+                held = []
         if held:
             yield hand_on(held)
 
@@ -450,8 +477,9 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     counts = store(token_counts(training), "token-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = spark.sparkContext.broadcast({bytes(r["token"]): r["n"] for r in counts.filter(F.col("n") > total / COMMON_TOKENS).collect()})  # fewer than COMMON_TOKENS by the threshold
+    total, distinct, above = count_steps(counts)
+    often = counts.filter(count_step() > above).toArrow()  # COMMON_TOKENS at most
+    common = spark.sparkContext.broadcast(dict(zip(often["token"].to_pylist(), often["n"].to_pylist())))
     grams = store(gram_counts(training, total), "gram-counts")
     plan = filter_plan(grams)
     least, whole = plan.least, plan.least == (1, 1)
@@ -463,46 +491,33 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, exact = Scorer(*model.value), common.value
-        vocabulary = Vocabulary()
-        none = np.zeros(0), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        logs, hashes, level = none  # of each word: log of its exact count plus one if it is common, else 0; hash; level in the filter
-        for batch in batches:
-            ids, row_numbers = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-            at = 0
-            for texts in slices(byte_texts(batch.column("text"))):
-                numbers, starts = tokens_of(texts, vocabulary)
-                new = vocabulary.words[len(hashes) :]
-                fresh = word_hashes(new)
-                logs = np.concatenate((logs, np.log10(np.fromiter((exact.get(w, 0) for w in new), dtype=np.float64, count=len(new)) + 1)))
-                hashes, level = np.concatenate((hashes, fresh)), np.concatenate((level, levels(scorer.table, single_grams(fresh))))
-                sizes = np.diff(np.append(starts, len(numbers)))
-                own = logs[numbers]
-                if whole:
-                    of_tokens = scorer.logs(hashes[numbers], plan.means[0][level][numbers], starts)
-                else:
-                    of_tokens, opened = settled(scorer, least, hashes[numbers], level[numbers], starts)
-                score = np.add.reduceat(of_tokens, starts)
-                known, base = np.add.reduceat((own > 0).astype(np.int64), starts), np.add.reduceat(own, starts)
-                # rarer tokens: one row for each text and token
-                rare = np.flatnonzero(own == 0)
-                place = np.repeat(np.arange(len(texts)), sizes)[rare]
-                keys, times = np.unique(place * len(vocabulary.words) + numbers[rare], return_counts=True)
-                text, word = keys // len(vocabulary.words), keys % len(vocabulary.words)
-                of_text = lambda column: [column[at + i] for i in text.tolist()]  # noqa: B023, E731
-                # one row of each text itself, under a token that no text has, then its rarer tokens
-                mine, n = slice(at, at + len(texts)), len(keys)
-                zeros, blank = np.zeros(n, dtype=np.int64), np.zeros(n)
-                nulls = [] if whole else [pa.nulls(len(texts) + n, f.type) for f in list(schema)[8:]]
-                yield record_batch(schema, [
-                    ids[mine] + of_text(ids), row_numbers[mine] + of_text(row_numbers), [b" %d" % r for r in row_numbers[mine]] + [vocabulary.words[i] for i in word.tolist()],
-                    np.concatenate((np.zeros(len(texts), dtype=np.int64), times)), np.concatenate((sizes, zeros)), np.concatenate((known, zeros)), np.concatenate((base, blank)), np.concatenate((score, blank)), *nulls])
-                if not whole and len(opened.text):
-                    n, text = len(opened.text), opened.text
-                    blanks = [pa.nulls(n, f.type) for f in list(schema)[4:8]]
-                    yield record_batch(schema, [of_text(ids), of_text(row_numbers), pa.nulls(n, pa.binary()), opened.times, *blanks, *opened[2:]])
-                at += len(texts)
-                if len(vocabulary) > TABLE_ENTRIES:
-                    vocabulary, (logs, hashes, level) = Vocabulary(), none
+        for part in slices(batches):
+            ids, row_numbers = part["doc_id"].combine_chunks(), part["row"].to_numpy()
+            words, numbers, starts = tokens_of(part["text"])
+            known_words = words.to_pylist()
+            hashes = word_hashes(known_words)
+            level = levels(scorer.table, single_grams(hashes))
+            logs = np.log10(np.fromiter(map(exact.get, known_words, repeat(0)), dtype=np.float64, count=len(words)) + 1)  # of each word: log of its exact count plus one if it is common, else 0
+            sizes = np.diff(np.append(starts, len(numbers)))
+            own = logs[numbers]
+            if whole:
+                of_tokens = scorer.logs(hashes[numbers], plan.means[0][level][numbers], starts)
+            else:
+                of_tokens, opened = settled(scorer, least, hashes[numbers], level[numbers], starts)
+            score = np.add.reduceat(of_tokens, starts)
+            known, base = np.add.reduceat((own > 0).astype(np.int64), starts), np.add.reduceat(own, starts)
+            # one row of each text itself, under a token that no text has
+            yield record_batch(schema, [
+                ids, row_numbers, [b" %d" % r for r in row_numbers.tolist()], np.zeros(len(ids), dtype=np.int64), sizes, known, base, score,
+                *(pa.nulls(len(ids), f.type) for f in list(schema)[8:])])
+            # rarer tokens: one row for each text and token
+            rare = np.flatnonzero(own == 0)
+            keys, times = np.unique(np.repeat(np.arange(len(ids)), sizes)[rare] * len(words) + numbers[rare], return_counts=True)
+            text, word = keys // len(words), keys % len(words)
+            yield record_batch(schema, [pa.nulls(len(keys), pa.int64()), row_numbers[text], words.take(pa.array(word)), times, *(pa.nulls(len(keys), f.type) for f in list(schema)[4:])])
+            if not whole and len(opened.text):
+                blanks = [pa.nulls(len(opened.text), f.type) for f in list(schema)]
+                yield record_batch(schema, [blanks[0], row_numbers[opened.text], blanks[2], opened.times, *blanks[4:8], *opened[2:]])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, ddl)
     if not whole:
