@@ -19,6 +19,7 @@ def numbered_within(rows: DataFrame, group: str, order: str, name: str, ranges:
     dealt = (ranges,) if ranges else ()
     parts = store(rows.repartitionByRange(*dealt, group, order).select(*columns, F.spark_partition_id().alias("_range")), "ranges")
     counts = parts.groupBy(group, "_range").agg(F.count("*").alias("_own"))
+    counts = counts.repartition(ranges, group) if ranges else counts
     before = counts.select(group, "_range", F.coalesce(F.sum("_own").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range", group).orderBy(order))
     if not ranges:

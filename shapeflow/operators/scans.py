@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapeflow.session import one_task_each, store
+from shapeflow.session import numbers_of, one_task_each, store
 
 RANGE = "_range"
 
@@ -47,10 +47,12 @@ def running(rows: DataFrame, group: list[str], order: list[str], **values: tuple
     upto = lambda part, left_out: Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if left_out else 0)
     if RANGE not in rows.columns:
         return rows.select("*", *(_over(kind, value).over(upto(group, out)).alias(name) for name, (kind, value, out) in values.items()))
-    rows = one_task_each(rows, RANGE)
+    ranges = numbers_of(rows, RANGE)
+    rows = one_task_each(rows, RANGE, ranges)
     inside = rows.select("*", *(_over(kind, value).over(upto([RANGE, *group], out)).alias(name) for name, (kind, value, out) in values.items()))
     own = rows.groupBy(*group, RANGE).agg(*(_of_range(kind, value, order).alias(name) for name, (kind, value, _) in values.items()))
     ahead = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.repartition(ranges, *group)  # groups may be as many as rows: adaptive execution would merge theirs into one task by their compressed bytes
     before = own.select(*(F.col(c).alias(f"_b_{c}") for c in (*group, RANGE)), *(_over(kind, F.col(name)).over(ahead).alias(f"_v_{name}") for name, (kind, _, _) in values.items()))
     before = before.filter(F.coalesce(*(F.col(f"_v_{name}").cast("string") for name in values)).isNotNull())
     same = [inside[c].eqNullSafe(before[f"_b_{c}"]) for c in group]

@@ -116,3 +116,14 @@ def test_a_range_is_a_tasks_share(spark):
     assert places == {g: list(range(1, n + 1)) for g, n in (("hot", 2200), ("b", 100), (None, 100))}
     ranged = one_task_each(scans.in_ranges(rows, ["g"], ["at"], 24), scans.RANGE).withColumn("task", F.spark_partition_id())
     assert ranged.groupBy("task").agg(F.countDistinct(scans.RANGE).alias("n")).filter("n > 1").isEmpty()
+
+
+def test_many_groups_stay_dealt(spark, monkeypatch):
+    """What groups come to in each range met in a few tasks, merged by compressed bytes, so the largest task grew with the groups."""
+    rows = spark.range(4000).selectExpr("'vif0' AS g", "id div 13 AS part", "id AS at", "id * 7919 % 1000 AS v")
+    ranged = scans.in_ranges(rows, ["g"], ["at"], 16)
+    kept, plain = [], scans.F.broadcast
+    monkeypatch.setattr(scans.F, "broadcast", lambda df: kept.append(df) or plain(df))
+    most = scans.running(ranged, ["g", "part"], ["at"], most=("max", F.col("v"), True))
+    same(scans.running(rows, ["g", "part"], ["at"], most=("max", F.col("v"), True)), most.drop(scans.RANGE))
+    assert len(kept) == 1 and 0 < kept[0].count() < 16 and kept[0].rdd.getNumPartitions() == 16
