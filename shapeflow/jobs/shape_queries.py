@@ -137,16 +137,20 @@ def s12(spark, sf):
     return S.rebase(segs(spark, sf), 1_700_000_000_000, 2.5).select("iface", "key", "island", "cut", "new_first_ms", "new_last_ms")
 
 
+#: A flow record of each line of ``lineitem``: two hosts, SYN and RST counts, both ways.
+RECORD = (
+    "concat('vif', l_suppkey % 3) AS iface", "(l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) AS bigint) AS arrival_seq",
+    "concat('conv', l_suppkey % 40, '-', l_linenumber % 4) AS conv_key",
+    "CASE WHEN l_partkey % 2 = 0 THEN concat('10.137.0.', l_suppkey % 40) ELSE concat('8.8.', l_linenumber % 4, '.', l_suppkey % 40) END AS src_ip", "CASE WHEN l_partkey % 31 = 0 THEN '239.192.255.254' WHEN l_partkey % 2 = 1 THEN concat('10.137.0.', l_suppkey % 40) ELSE concat('8.8.', l_linenumber % 4, '.', l_suppkey % 40) END AS dst_ip",
+    "5000 AS src_port", "CASE WHEN l_partkey % 31 = 0 THEN 65530 ELSE 5000 END AS dst_port", "element_at(array(6, 17, 6, 1), cast(l_orderkey % 4 + 1 AS int)) AS protocol",
+    "cast(l_quantity % 7 AS bigint) AS src2dst_packets", "cast(l_quantity % 5 AS bigint) AS dst2src_packets", "cast(l_quantity % 3 = 0 AS int) AS src2dst_syn_packets", "cast(l_quantity % 4 = 0 AS int) AS dst2src_syn_packets",
+    "cast(l_quantity % 7 + l_quantity % 5 AS bigint) AS bidirectional_packets", "cast((l_quantity % 7 + l_quantity % 5) * (l_partkey % 120) AS bigint) AS bidirectional_bytes", "cast(l_partkey % 3 AS int) AS bidirectional_rst_packets",
+)
+
+
 def records(spark, sf):
-    """Flow records derived from orders of ``lineitem``: two hosts, SYN and RST counts, both ways."""
-    return derived.table(spark, sf, "lineitem").selectExpr(
-        "concat('vif', l_suppkey % 3) AS iface", "(l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) AS bigint) AS arrival_seq",
-        "concat('conv', l_suppkey % 40, '-', l_linenumber % 4) AS conv_key",
-        "CASE WHEN l_partkey % 2 = 0 THEN concat('10.137.0.', l_suppkey % 40) ELSE concat('8.8.', l_linenumber % 4, '.', l_suppkey % 40) END AS src_ip", "CASE WHEN l_partkey % 31 = 0 THEN '239.192.255.254' WHEN l_partkey % 2 = 1 THEN concat('10.137.0.', l_suppkey % 40) ELSE concat('8.8.', l_linenumber % 4, '.', l_suppkey % 40) END AS dst_ip",
-        "5000 AS src_port", "CASE WHEN l_partkey % 31 = 0 THEN 65530 ELSE 5000 END AS dst_port", "element_at(array(6, 17, 6, 1), cast(l_orderkey % 4 + 1 AS int)) AS protocol",
-        "cast(l_quantity % 7 AS bigint) AS src2dst_packets", "cast(l_quantity % 5 AS bigint) AS dst2src_packets", "cast(l_quantity % 3 = 0 AS int) AS src2dst_syn_packets", "cast(l_quantity % 4 = 0 AS int) AS dst2src_syn_packets",
-        "cast(l_quantity % 7 + l_quantity % 5 AS bigint) AS bidirectional_packets", "cast((l_quantity % 7 + l_quantity % 5) * (l_partkey % 120) AS bigint) AS bidirectional_bytes", "cast(l_partkey % 3 AS int) AS bidirectional_rst_packets",
-    )
+    """Flow records derived from orders of ``lineitem``."""
+    return derived.table(spark, sf, "lineitem").selectExpr(*RECORD)
 
 
 RECORDS_SQL = """rec AS (SELECT 'vif' || (l_suppkey % 3) AS iface, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS arrival_seq, 'conv' || (l_suppkey % 40) || '-' || (l_linenumber % 4) AS conv_key,
@@ -164,11 +168,15 @@ PROBE_SQL = """CASE WHEN protocol IN (1, 58) THEN true
   WHEN n > 4 THEN false WHEN protocol = 17 THEN NOT local_is_src AND (CASE WHEN local_is_src THEN sp ELSE dp END) = 0 ELSE false END"""
 
 
-def w1(spark, sf, spread=False):
+def oriented(rows, spread=False):
     from shapeflow.functions.net import in_networks, is_private_v4
 
     nets = ["10.137.0.7/32"]
-    return S.local_is_src(records(spark, sf), in_networks(F.col("src_ip"), nets), in_networks(F.col("dst_ip"), nets), is_private_v4(F.col("src_ip")), is_private_v4(F.col("dst_ip")), spread)
+    return S.local_is_src(rows, in_networks(F.col("src_ip"), nets), in_networks(F.col("dst_ip"), nets), is_private_v4(F.col("src_ip")), is_private_v4(F.col("dst_ip")), spread)
+
+
+def w1(spark, sf, spread=False):
+    return oriented(records(spark, sf), spread)
 
 
 def f7(spark, sf):

@@ -18,6 +18,9 @@ CELL = ["iface", "tick_end"]
 #: Ticks of a link that are dealt as one, and the key of a cell among them.
 BLOCK_TICKS = 64
 DEALT = ["iface", "_block", "tick_end"]
+#: What the measures read of a prepared segment.
+MEASURED = ("iface", "key", "endpoint", "protocol", "first_ms", "last_ms", "first_seen_ms", "packets", "up_packets", "down_packets", "up_bytes", "down_bytes", "mean_ps", "stddev_ps", "mean_piat_ms",
+            "up_mean_piat_ms", "up_stddev_piat_ms", "down_mean_piat_ms", "down_stddev_piat_ms", "syn", "tiny", "large", "pairs", "changes")
 
 
 FIRST_TICK, LAST_TICK = f"cast(ceil((last_ms - {LAG_MS}) / {STEP_MS}) AS bigint)", f"cast(floor((last_ms + {WINDOW_MS}) / {STEP_MS}) AS bigint)"
@@ -42,16 +45,25 @@ def segment_scalars(segs: DataFrame) -> DataFrame:
     return s.drop("_d", "splt_direction", "splt_ps", "splt_piat_ms")
 
 
+def _dealt(prepared: DataFrame, count: int | None = None) -> DataFrame:
+    """Each segment once for each block of ticks it belongs to (``_number``), dealt by link and block, which ``_block`` stands for: equal ones share a task."""
+    block = lambda tick: f"cast(floor({tick} / {BLOCK_TICKS}) AS bigint)"
+    rows = prepared.withColumn("_number", F.explode(F.expr(f"sequence({block(FIRST_TICK)}, {block(LAST_TICK)})")))
+    return rows.withColumn("_block", F.xxhash64("iface", "_number")).repartition(tasks(prepared, WINDOW_MS // STEP_MS + 1, count), "_block")
+
+
+def _in_windows(dealt: DataFrame) -> DataFrame:
+    own = f"sequence(greatest({FIRST_TICK}, _number * {BLOCK_TICKS}) * {STEP_MS}, least({LAST_TICK}, _number * {BLOCK_TICKS} + {BLOCK_TICKS - 1}) * {STEP_MS}, {STEP_MS}L)"
+    return dealt.withColumn("tick_end", F.explode(F.expr(own))).drop("_number").withColumn("start_ms", F.col("tick_end") - WINDOW_MS)
+
+
 def members(prepared: DataFrame) -> DataFrame:
     """Each segment in each window it belongs to: last seen in the window, or up to LAG_MS behind its end.
 
     What is exchanged is each segment once for each block of ticks it belongs to, seldom two; windows multiply
     it in the block's task, where all that is grouped by DEALT stays.
     """
-    block = lambda tick: f"cast(floor({tick} / {BLOCK_TICKS}) AS bigint)"
-    dealt = prepared.withColumn("_block", F.explode(F.expr(f"sequence({block(FIRST_TICK)}, {block(LAST_TICK)})"))).repartition(tasks(prepared, WINDOW_MS // STEP_MS + 1), "iface", "_block")
-    own = f"sequence(greatest({FIRST_TICK}, _block * {BLOCK_TICKS}) * {STEP_MS}, least({LAST_TICK}, _block * {BLOCK_TICKS} + {BLOCK_TICKS - 1}) * {STEP_MS}, {STEP_MS}L)"
-    return dealt.withColumn("tick_end", F.explode(F.expr(own))).withColumn("start_ms", F.col("tick_end") - WINDOW_MS)
+    return _in_windows(_dealt(prepared))
 
 
 def spine(prepared: DataFrame) -> DataFrame:
@@ -125,12 +137,18 @@ def new_endpoints(segs: DataFrame) -> DataFrame:
     return first_contacts(segs).withColumn("tick_end", F.explode(F.expr(_ticks()))).groupBy(*CELL).agg(F.count("*").alias("new_endpoints"))
 
 
-def measures(segs: DataFrame) -> DataFrame:
-    """One row for each tick of each link, silent ones too. The prepared segments are written once and read by all parts."""
-    prepared = store(prepare(segs), "prepared-segments")
-    m = members(prepared)
-    joined = spine(prepared)
-    for part in (flow_measures(m), sum_measures(m), burst_measures(bin_table(m)), new_endpoints(prepared)):
+def measures(segs: DataFrame, count: int | None = None) -> DataFrame:
+    """One row for each tick of each link, silent ones too.
+
+    The prepared segments, without what no part reads, are written once. Where the caller knows a ``count`` that the segments don't exceed they are
+    not written, as they need not be counted. All parts share one exchange: its rows leave through a generator that no filter or pruning passes, so its readers are alike.
+    """
+    prepared = prepare(segs).select(*MEASURED)
+    dealt = _dealt(prepared if count is not None else store(prepared, "prepared-segments"), count)
+    dealt = dealt.select("_block", F.inline(F.array(F.struct("_number", *MEASURED))))
+    m = _in_windows(dealt)
+    joined = spine(dealt)
+    for part in (flow_measures(m), sum_measures(m), burst_measures(bin_table(m)), new_endpoints(dealt)):
         joined = joined.join(part.drop("_block").hint("merge"), CELL, "left")  # as long as the log: never through the driver
     zero = lambda c, t="long": F.coalesce(c, F.lit(0).cast(t)).alias(c)
     whole = ("flows", "endpoints", "new_endpoints", "up_bytes", "down_bytes", "up_packets", "down_packets", "bursts", "longest_burst_ms")

@@ -24,21 +24,30 @@ def flipped(directions: Column) -> Column:
     return F.transform(directions, lambda d: F.when(d.isin(0, 1), 1 - d).otherwise(d))
 
 
+def _pick(mine: str, other: str) -> Column:
+    return F.when(F.col("local_is_src"), F.col(mine)).otherwise(F.col(other))
+
+
+def flow_key(salt: str) -> Column:
+    """The salted id of a record's flow."""
+    return flow_id(salt, F.col("protocol"), _pick("src_port", "dst_port"), _pick("dst_ip", "src_ip"), _pick("dst_port", "src_port"))
+
+
 def to_segments(records: DataFrame, salt: str) -> DataFrame:
     """Segments of flow records with ``local_is_src``, so that up always means from the local side.
 
     Missing figures count as 0, missing arrays as empty. Addresses and ports end here: the
-    flow, endpoint and host ids are salted digests. A plain select, so it needs no exchange.
+    flow, endpoint and host ids are salted digests. A flow's id that records have already, as ``key``, stays. A plain select, so it needs no exchange.
     """
     local = F.col("local_is_src")
-    pick = lambda mine, other: F.when(local, F.col(mine)).otherwise(F.col(other))
+    key = F.col("key") if "key" in records.columns else flow_key(salt)
     filled = lambda c, t: F.coalesce(c.cast(t), F.lit(0).cast(t))
-    port, ip, remote = pick("src_port", "dst_port"), pick("dst_ip", "src_ip"), pick("dst_port", "src_port")
+    ip, remote = _pick("dst_ip", "src_ip"), _pick("dst_port", "src_port")
     array = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))
     return records.select(
-        "iface", "arrival_seq", flow_id(salt, F.col("protocol"), port, ip, remote).alias("key"), endpoint_id(salt, F.col("protocol"), ip, remote).alias("endpoint"), host_id(salt, ip).alias("host"), "protocol",
+        "iface", "arrival_seq", key.alias("key"), endpoint_id(salt, F.col("protocol"), ip, remote).alias("endpoint"), host_id(salt, ip).alias("host"), "protocol",
         *(filled(F.col(c), t).alias(name) for name, (c, t) in SHARED.items()),
-        *(filled(pick(f"src2dst_{c}", f"dst2src_{c}"), t).alias(f"up_{name}") for name, (c, t) in WAYS.items()),
-        *(filled(pick(f"dst2src_{c}", f"src2dst_{c}"), t).alias(f"down_{name}") for name, (c, t) in WAYS.items()),
+        *(filled(_pick(f"src2dst_{c}", f"dst2src_{c}"), t).alias(f"up_{name}") for name, (c, t) in WAYS.items()),
+        *(filled(_pick(f"dst2src_{c}", f"src2dst_{c}"), t).alias(f"down_{name}") for name, (c, t) in WAYS.items()),
         F.when(local, array("splt_direction")).otherwise(flipped(array("splt_direction"))).alias("splt_direction"), array("splt_ps").alias("splt_ps"), array("splt_piat_ms").alias("splt_piat_ms"),
     )
