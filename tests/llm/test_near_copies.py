@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from shapeflow.llm import line_dedup, near_copies
+from shapeflow.llm import line_dedup, near_copies, simhash
 from shapeflow.llm.common import store
 from shapeflow.llm.near_copies import shingles
 
@@ -87,3 +88,18 @@ def test_links_among_rows_away_from_the_pivot(make, monkeypatch, spark):
     monkeypatch.setattr(near_copies, "links", lambda first, numbered: links(first.withColumn("bands", F.array(F.lit(7).cast("long"))), numbered))
     whole = {r["doc_id"] for r in pipeline.drop_near_copies(spark, make(texts), "").collect()}
     assert whole == brute_kept(texts) and len(whole) == 12
+
+
+def test_rows_that_op5_links_are_copies_too(make, spark):
+    """Shingles that repeat weigh more in a fingerprint: below 0.8 as sets, within op5's radius. Before, both rows stayed."""
+    block = " ".join("w%d" % i for i in range(40))
+    texts = [" ".join([block] * 20 + ["%s%d" % (k, i) for i in range(14)]) for k in "ab"] + [" ".join("v%d" % i for i in range(60))]
+    assert brute_kept(texts) == {0, 1, 2} and simhash.bit_difference(*(np.array([simhash.fingerprint(t.encode(), 4)], dtype=np.uint64) for t in texts[:2]))[0] <= simhash.RADIUS
+    docs = make([*texts, texts[1]], [5, 3, 1, None])
+    assert sorted(r["doc_id"] for r in dict(pipeline.STAGES)["near-copy dedup"](spark, docs, "").collect()) == [1, 3]
+
+
+def test_no_two_rows_that_stay_are_linked_by_op5(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    near = store(dict(pipeline.STAGES)["near-copy dedup"](spark, docs, ""), "near")
+    assert simhash.simhash_groups(near, width=4).select("component_id").distinct().count() == near.count()  # 1 less before
